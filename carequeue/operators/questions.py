@@ -507,7 +507,7 @@ def _amount(column: str, decimals: int) -> Column:
     return F.format_number(column, decimals)
 
 
-def _plain(column: str, decimals: int) -> Column:
+def _plain(column: Column | str, decimals: int) -> Column:
     return F.replace(F.format_number(column, decimals), F.lit(","), F.lit(""))
 
 
@@ -590,6 +590,8 @@ def format_answers(questions: DataFrame, patients: DataFrame) -> DataFrame:
             .alias("answer"),
         )
     )
+    # means that end in 5 are shown alike in whatever order they were summed
+    nudged = F.col("value") + 1e-9
     # a request has one line per specialty, season, age group or previewed patient
     lines = (
         answers.where(~is_text)
@@ -598,7 +600,7 @@ def format_answers(questions: DataFrame, patients: DataFrame) -> DataFrame:
             F.array_join(
                 F.array_sort(
                     F.collect_list(
-                        F.concat("metric", F.lit("="), _plain("value", 4))
+                        F.concat("metric", F.lit("="), _plain(nudged, 4))
                     )
                 ),
                 ", ",
