@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from carequeue.functions.fixed_values import SEASONS
 
 
-def season_of_date(date: Column) -> Column:
-    """Season of a date: December to February is winter, and so on by quarters."""
-    quarter = F.floor(F.pmod(F.month(date), F.lit(12)) / 3).cast("int")
-    return F.element_at(F.array(*[F.lit(s) for s in SEASONS]), quarter + 1)
+def season_of_date(date: str) -> Column:
+    """Season of a date column: December to February is winter, and so on by quarters."""
+    return F.expr(
+        f"""case when month({date}) in (12, 1, 2) then '{SEASONS[0]}'
+            when month({date}) <= 5 then '{SEASONS[1]}'
+            when month({date}) <= 8 then '{SEASONS[2]}'
+            when month({date}) <= 11 then '{SEASONS[3]}' end"""
+    )
 
 
 def previous_season(season: Column) -> Column:

@@ -13,70 +13,51 @@ from carequeue.functions.fixed_values import AGE_BINS, SPECIALTY_WEIGHTS
 from carequeue.schema import has_staffing
 
 
-def _points(condition: Column, value: float) -> Column:
-    return F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
-
-
-def _capped(score: Column) -> Column:
-    # ``least`` would turn a missing score into 1.0
-    return F.when(score > 1.0, F.lit(1.0)).otherwise(score)
-
-
-def specialty_weight(specialty: Column) -> Column:
-    weight = F.lit(0.0)
-    for name, value in SPECIALTY_WEIGHTS.items():
-        weight = F.when(specialty == name, F.lit(value)).otherwise(weight)
-    return weight
+def _weight_cases() -> str:
+    cases = " ".join(f"when '{name}' then {weight}D" for name, weight in SPECIALTY_WEIGHTS.items())
+    return f"case specialty {cases} else 0D end"
 
 
 def priority_score() -> Column:
-    season = F.col("season")
-    return _capped(
-        _points(F.col("age") > 70, 0.15)
-        + _points(F.col("los") > 3, 0.15)
-        + _points(F.col("cost_estimate") > 5000, 0.15)
-        + specialty_weight(F.col("specialty"))
-        + F.when(season == "Winter", F.lit(0.07))
-        .when(season == "Autumn", F.lit(0.03))
-        .otherwise(F.lit(0.0))
+    return F.expr(
+        f"""least(1D,
+            if(age > 70, 0.15D, 0D)
+            + if(los > 3, 0.15D, 0D)
+            + if(cost_estimate > 5000, 0.15D, 0D)
+            + {_weight_cases()}
+            + case season when 'Winter' then 0.07D when 'Autumn' then 0.03D else 0D end)"""
     )
 
 
-def patients_per_doctor() -> Column:
-    return F.col("planned_count") / (F.col("doctors_fte") + 0.1)
-
-
-def patients_per_nurse() -> Column:
-    return F.col("planned_count") / (F.col("nurses_fte") + 0.1)
+PATIENTS_PER_DOCTOR = "planned_count / (doctors_fte + 0.1D)"
+PATIENTS_PER_NURSE = "planned_count / (nurses_fte + 0.1D)"
 
 
 def readmit_risk(staffing: bool) -> Column:
     """Readmission risk; ``staffing`` says whether the staffing columns exist."""
-    risk = (
-        _points(F.col("age") > 70, 0.2)
-        + _points(F.col("los") > 5, 0.2)
-        + F.col("cancel_risk") * 0.2
-        + _points(F.col("cost_estimate") > 6000, 0.2)
-        + _points(F.col("season") == "Winter", 0.2)
+    workload = f"""
+            + if({PATIENTS_PER_DOCTOR} > 60, 0.1D, 0D)
+            + if({PATIENTS_PER_NURSE} > 30, 0.1D, 0D)"""
+    # ``least`` skips NULL, so a missing cancellation risk is kept out of it
+    return F.expr(
+        f"""if(cancel_risk is null, null, least(1D,
+            if(age > 70, 0.2D, 0D)
+            + if(los > 5, 0.2D, 0D)
+            + 0.2D * cancel_risk
+            + if(cost_estimate > 6000, 0.2D, 0D)
+            + if(season = 'Winter', 0.2D, 0D)
+            {workload if staffing else ""}))"""
     )
-    if staffing:
-        risk = (
-            risk
-            + _points(patients_per_doctor() > 60, 0.1)
-            + _points(patients_per_nurse() > 30, 0.1)
-        )
-    return _capped(risk)
 
 
-def spread(key: Column, modulus: int, seed: int = 42) -> Column:
+def spread(key: str, modulus: int, seed: int = 42) -> Column:
     """Repeatable stand-in for a random integer in [0, modulus), keyed by a row id."""
-    return F.pmod(F.pmod(key, F.lit(modulus)) * 7919 + seed, F.lit(modulus))
+    return F.expr(f"cast(pmod(pmod({key}, {modulus}) * 7919 + {seed}, {modulus}) as int)")
 
 
 def wait_days() -> Column:
     """Days waited: falls with priority, plus a per-patient spread of 0..30 days."""
-    base = (F.lit(100) - F.col("priority_score") * 100).cast("int")
-    return base + spread(F.col("patient_id"), 31).cast("int")
+    return F.expr("cast(100 - priority_score * 100 as int)") + spread("patient_id", 31)
 
 
 def combined_score(risk_weight: float) -> Column:
@@ -89,11 +70,12 @@ def potential_cancellation_loss() -> Column:
     return F.col("cost_estimate") * F.col("cancel_risk")
 
 
-def age_group(age: Column) -> Column:
+def age_group(age: str = "age") -> Column:
     """Name of the age bin; 0 and ages above the last bin have none."""
-    return F.coalesce(
-        *[F.when((age > low) & (age <= high), F.lit(name)) for low, high, name in AGE_BINS]
+    cases = " ".join(
+        f"when {age} > {low} and {age} <= {high} then '{name}'" for low, high, name in AGE_BINS
     )
+    return F.expr(f"case {cases} end")
 
 
 def age_group_order(group: Column) -> Column:
@@ -107,15 +89,13 @@ def to_percent(probability: Column) -> Column:
 
 def with_staffing_ratios(df: DataFrame) -> DataFrame:
     total = (
-        F.col("planned_count") / (F.col("total_fte") + 0.1)
-        if "total_fte" in df.columns
-        else patients_per_doctor()
+        "planned_count / (total_fte + 0.1D)" if "total_fte" in df.columns else PATIENTS_PER_DOCTOR
     )
     return df.withColumns(
         {
-            "patients_per_doctor": patients_per_doctor(),
-            "patients_per_nurse": patients_per_nurse(),
-            "total_staff_efficiency": total,
+            "patients_per_doctor": F.expr(PATIENTS_PER_DOCTOR),
+            "patients_per_nurse": F.expr(PATIENTS_PER_NURSE),
+            "total_staff_efficiency": F.expr(total),
         }
     )
 
@@ -128,10 +108,8 @@ def with_efficiency_label(df: DataFrame) -> DataFrame:
     """
     if has_staffing(df):
         df = with_staffing_ratios(df)
-        efficient = (
-            (F.col("cancel_risk") < 0.05)
-            & (F.col("patients_per_doctor") < 70)
-            & (F.col("patients_per_nurse") < 35)
+        efficient = F.expr(
+            "cancel_risk < 0.05D and patients_per_doctor < 70 and patients_per_nurse < 35"
         )
     else:
         df = df.withColumns(

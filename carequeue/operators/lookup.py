@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carequeue.functions import fixed_values as V
@@ -10,18 +10,13 @@ from carequeue.functions import fixed_values as V
 SUGGESTIONS_SHOWN = 5
 
 
-def _glossary() -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(term).alias("term"),
-                F.lit(title).alias("title"),
-                F.lit(V.MEDICAL_SUMMARIES[title]).alias("summary"),
-                F.lit(V.ENCYCLOPEDIA + page).alias("url"),
-            )
-            for term, title, page in V.MEDICAL_TERMS
-        ]
+def _glossary() -> str:
+    entries = ", ".join(
+        f"named_struct('term', '{term}', 'title', '{title}',"
+        f" 'summary', '{V.MEDICAL_SUMMARIES[title]}', 'url', '{V.ENCYCLOPEDIA}{page}')"
+        for term, title, page in V.MEDICAL_TERMS
     )
+    return f"array({entries})"
 
 
 def lookup_terms(df: DataFrame, column: str = "search") -> DataFrame:
@@ -30,21 +25,17 @@ def lookup_terms(df: DataFrame, column: str = "search") -> DataFrame:
     The glossary is a literal of 28 entries, so rows stay where they are. Blank and
     unknown searches have no entry.
     """
-    text = F.trim(F.lower(column))
-
-    def partly(entry: Column) -> Column:
-        return (
-            F.contains(entry["term"], text)
-            | F.contains(text, entry["term"])
-            | F.contains(F.lower(entry["title"]), text)
-        )
-
-    exact = F.get(F.filter(_glossary(), lambda e: e["term"] == text), F.lit(0))
-    partial = F.get(F.filter(_glossary(), partly), F.lit(0))
-    return (
-        df.withColumn("_entry", F.when(text != "", F.coalesce(exact, partial)))
-        .select(*df.columns, "_entry.*")
+    text = f"trim(lower({column}))"
+    partly = (
+        f"contains(e.term, {text}) or contains({text}, e.term)"
+        f" or contains(lower(e.title), {text})"
     )
+    entry = F.expr(
+        f"""if({text} = '', null, coalesce(
+            get(filter({_glossary()}, e -> e.term = {text}), 0),
+            get(filter({_glossary()}, e -> {partly}), 0)))"""
+    )
+    return df.withColumn("_entry", entry).select(*df.columns, "_entry.*")
 
 
 def suggest_questions(df: DataFrame, column: str = "typed") -> DataFrame:

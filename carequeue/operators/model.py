@@ -141,7 +141,7 @@ def feature_importance(rows: DataFrame, fitted: PipelineModel, top: int = 5) ->
 def evaluate(df: DataFrame, model: str = "forest", numeric_only: bool = False) -> DataFrame:
     """AUC and accuracy on the training rows, and on a fifth of rows held out by id."""
     rows = written(training_rows(df), "training")
-    held = spread(F.col("patient_id"), 5) == 0
+    held = spread("patient_id", 5) == 0
     learned, unseen = rows.where(~held), rows.where(held)
 
     area = BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC")

@@ -11,11 +11,9 @@ from carequeue.functions.scoring import spread
 from carequeue.operators.rank import rank_rows
 
 
-def rename_specialty(specialty: Column) -> Column:
-    renamed = specialty
-    for old, new in V.SPECIALTY_RENAMES.items():
-        renamed = F.when(specialty == old, F.lit(new)).otherwise(renamed)
-    return renamed
+def rename_specialty() -> Column:
+    cases = " ".join(f"when '{old}' then '{new}'" for old, new in V.SPECIALTY_RENAMES.items())
+    return F.expr(f"case specialty {cases} else specialty end")
 
 
 def to_number(value: Column, type_name: str = "double") -> Column:
@@ -28,7 +26,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     doubles = [
         f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
     ]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
+    return df.withColumns({c: F.expr(f"nullif({c}, double('NaN'))") for c in doubles})
 
 
 def parse_age_band(df: DataFrame) -> DataFrame:
@@ -46,9 +44,10 @@ def parse_age_band(df: DataFrame) -> DataFrame:
 
 def age_within_band() -> Column:
     """Age inside the band, spread evenly and repeatably by patient."""
-    width = F.col("age_max") - F.col("age_min") + 1
-    step = F.pmod(F.pmod(F.col("patient_id"), F.lit(1_000_003)) * 7919 + 42, width)
-    return (F.col("age_min") + step).cast("int")
+    return F.expr(
+        """cast(age_min + pmod(pmod(patient_id, 1000003) * 7919 + 42, age_max - age_min + 1)
+           as int)"""
+    )
 
 
 def add_patient_ids(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -72,14 +71,14 @@ def normalize_patients(df: DataFrame, *id_order: Column | str) -> DataFrame:
         df = df.withColumn("age", age_within_band())
     else:
         df = df.withColumn("age", F.lit(V.DEFAULT_AGE))
-    df = df.withColumn("specialty", rename_specialty(F.col("specialty")))
+    df = df.withColumn("specialty", rename_specialty())
     seasons = F.array(*[F.lit(s) for s in V.SEASONS])
     defaults = {
         "planned_count": F.lit(V.DEFAULT_PLANNED_COUNT),
         "cancel_risk": F.lit(V.DEFAULT_CANCEL_RISK),
         "los": F.lit(V.DEFAULT_LOS),
         "cost_estimate": F.lit(V.DEFAULT_COST),
-        "season": F.element_at(seasons, spread(F.col("patient_id"), 4).cast("int") + 1),
+        "season": F.element_at(seasons, spread("patient_id", 4) + 1),
     }
     return df.withColumns({c: v for c, v in defaults.items() if c not in df.columns})
 
@@ -105,7 +104,7 @@ def labels_from_one_hot(df: DataFrame) -> DataFrame:
         return F.coalesce(*named, F.lit(default))
 
     def pick(names: list[str]) -> Column:
-        at = spread(F.col("patient_id"), len(names)).cast("int") + 1
+        at = spread("patient_id", len(names)) + 1
         return F.element_at(F.array(*[F.lit(n) for n in names]), at)
 
     has_season = any(c.startswith("season_") for c in df.columns)

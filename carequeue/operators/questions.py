@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from carequeue.functions import fixed_values as V
 from carequeue.functions.questions import question_parameters, question_report, question_type
-from carequeue.functions.scoring import age_group, potential_cancellation_loss
+from carequeue.functions.scoring import age_group
 from carequeue.operators.capacity import capacity_answer_columns
 from carequeue.operators.sampling import preview
 from carequeue.operators.shared import written
@@ -102,14 +102,27 @@ def with_requests(df: DataFrame) -> DataFrame:
     )
 
 
-def _long(df: DataFrame, key: Column, metrics: dict[str, Column]) -> DataFrame:
-    rows = F.array(
-        *[
-            F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
-            for name, value in metrics.items()
-        ]
+def _pairs(metrics: dict[str, str]) -> str:
+    """SQL array of (metric, value) structs."""
+    rows = ", ".join(
+        f"named_struct('metric', '{name}', 'value', cast({value} as double))"
+        for name, value in metrics.items()
+    )
+    return f"array({rows})"
+
+
+def _long(df: DataFrame, key: str, metrics: dict[str, str]) -> DataFrame:
+    return df.selectExpr(
+        "request", "report", f"cast({key} as string) as key", f"inline({_pairs(metrics)})"
+    )
+
+
+def _long_by_report(df: DataFrame, key: str, metrics: dict[str, dict[str, str]]) -> DataFrame:
+    """Long rows whose metrics depend on the report of the row."""
+    cases = " ".join(f"when '{name}' then {_pairs(m)}" for name, m in metrics.items())
+    return df.selectExpr(
+        "request", "report", f"cast({key} as string) as key", f"inline(case report {cases} end)"
     )
-    return df.select("request", "report", key.cast("string").alias("key"), F.inline(rows))
 
 
 def _scoped(column: str) -> Column:
@@ -122,15 +135,15 @@ def _wanted(column: str) -> Column:
     return F.explode(F.coalesce(F.col(column), F.array(F.lit(ALL))))
 
 
-def _summed() -> dict[str, Column]:
-    return {
-        "wait": F.col("wait_days"),
-        "los": F.col("los"),
-        "cost": F.col("cost_estimate"),
-        "cancel": F.col("cancel_risk"),
-        "readmit": F.col("readmit_risk"),
-        "loss": potential_cancellation_loss(),
-    }
+# what is summed in every cell, by the name of the sum
+SUMMED = {
+    "wait": "wait_days",
+    "los": "los",
+    "cost": "cost_estimate",
+    "cancel": "cancel_risk",
+    "readmit": "readmit_risk",
+    "loss": "cost_estimate * cancel_risk",
+}
 
 
 def patient_cells(patients: DataFrame) -> DataFrame:
@@ -140,9 +153,9 @@ def patient_cells(patients: DataFrame) -> DataFrame:
     number of patients.
     """
     sums = [
-        part
-        for name, value in _summed().items()
-        for part in (F.sum(value).alias(name), F.count(value).alias(f"{name}_n"))
+        F.expr(part)
+        for name, value in SUMMED.items()
+        for part in (f"sum({value}) as {name}", f"count({value}) as {name}_n")
     ]
     return patients.groupBy("age", "season", "specialty").agg(
         F.count("*").alias("rows"), F.count("patient_id").alias("n"), *sums
@@ -150,17 +163,16 @@ def patient_cells(patients: DataFrame) -> DataFrame:
 
 
 def _summed_up() -> list[Column]:
-    names = ["rows", "n", *[x for name in _summed() for x in (name, f"{name}_n")]]
-    return [F.sum(c).alias(c) for c in names]
+    names = ["rows", "n", *[x for name in SUMMED for x in (name, f"{name}_n")]]
+    return [F.expr(f"sum({c}) as {c}") for c in names]
 
 
-def _mean(name: str) -> Column:
-    count = F.col(f"{name}_n")
-    return F.when(count > 0, F.col(name) / count)
+def _mean(name: str) -> str:
+    return f"if({name}_n > 0, {name} / {name}_n, null)"
 
 
-def _total(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0.0))
+def _total(name: str) -> str:
+    return f"coalesce({name}, 0D)"
 
 
 def _specialty_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
@@ -175,9 +187,9 @@ def _specialty_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
         "request", "report", _wanted("specialties").alias("scope")
     )
     metrics = {
-        "average_wait_time": {"avg_wait_days": _mean("wait"), "patient_count": F.col("n")},
+        "average_wait_time": {"avg_wait_days": _mean("wait"), "patient_count": "n"},
         "specialty_analysis": {
-            "patient_count": F.col("n"),
+            "patient_count": "n",
             "avg_wait_days": _mean("wait"),
             "avg_cost": _mean("cost"),
             "avg_cancel_risk": _mean("cancel"),
@@ -186,27 +198,11 @@ def _specialty_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
         "cost_impact": {
             "total_cost": _total("cost"),
             "avg_cost": _mean("cost"),
-            "patient_count": F.col("cost_n"),
+            "patient_count": "cost_n",
             "potential_loss_from_cancellations": _total("loss"),
         },
     }
-    return _metrics_by_report(asked.join(totals, "scope"), F.col("specialty"), metrics)
-
-
-def _metrics_by_report(
-    df: DataFrame, key: Column, metrics: dict[str, dict[str, Column]]
-) -> DataFrame:
-    """Long rows whose metrics depend on the report of the row."""
-    arrays = None
-    for report, columns in metrics.items():
-        rows = F.array(
-            *[
-                F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
-                for name, value in columns.items()
-            ]
-        )
-        arrays = (F if arrays is None else arrays).when(F.col("report") == report, rows)
-    return df.select("request", "report", key.cast("string").alias("key"), F.inline(arrays))
+    return _long_by_report(asked.join(totals, "scope"), "specialty", metrics)
 
 
 def high_risk_totals(patients: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -299,8 +295,8 @@ def _high_risk_answers(requests: DataFrame, patients: DataFrame) -> DataFrame:
     )
     return _long(
         asked.join(totals, ["threshold", "scope"]),
-        F.col("specialty"),
-        {c: F.col(c) for c in ["high_risk_count", "avg_risk", "avg_cost"]},
+        "specialty",
+        {c: c for c in ["high_risk_count", "avg_risk", "avg_cost"]},
     )
 
 
@@ -325,19 +321,19 @@ def _seasonal_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
     )
     return _long(
         found,
-        F.col("season"),
+        "season",
         {
             "avg_cancel_risk": _mean("cancel"),
             "avg_readmit_risk": _mean("readmit"),
             "avg_cost": _mean("cost"),
-            "total_cases": F.col("n"),
+            "total_cases": "n",
         },
     )
 
 
 def _age_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
     scoped = (
-        cells.withColumn("age_group", age_group(F.col("age")))
+        cells.withColumn("age_group", age_group())
         .where(F.col("age_group").isNotNull())
         .groupBy("age", "age_group", "specialty")
         .agg(*_summed_up())
@@ -366,37 +362,37 @@ def _age_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
     metrics = {
         "age_based_risk": {
             "avg_readmit_risk": _mean("readmit"),
-            "total_patients": F.col("n"),
+            "total_patients": "n",
         },
         "age_based_cancellation": {
             "avg_cancel_risk": _mean("cancel"),
-            "total_patients": F.col("n"),
+            "total_patients": "n",
         },
         "age_based_cost": {
             "avg_cost": _mean("cost"),
-            "total_cost": F.col("cost"),
-            "patient_count": F.col("cost_n"),
+            "total_cost": "cost",
+            "patient_count": "cost_n",
         },
     }
-    return _metrics_by_report(found, F.col("age_group"), metrics)
+    return _long_by_report(found, "age_group", metrics)
 
 
 def _cancellation_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
     # the report name joins one row of sums to every reduction asked for
     sums = cells.agg(*_summed_up()).withColumn("report", F.lit("cancellation_whatif"))
     expected = _total("cancel")
-    prevented = expected * (F.col("percentage") / 100)
-    bed_days = prevented * _mean("los")
+    prevented = f"{expected} * (percentage / 100)"
+    bed_days = f"{prevented} * {_mean('los')}"
     return _long(
         requests.where(F.col("report") == "cancellation_whatif").join(sums, "report"),
-        F.lit(""),
+        "''",
         {
-            "reduction_percentage": F.col("percentage"),
-            "current_expected_cancellations": F.bround(expected, 2),
-            "cancellations_prevented": F.bround(prevented, 2),
-            "cost_savings": F.bround(prevented * _mean("cost"), 2),
-            "bed_days_freed": F.bround(bed_days, 2),
-            "weekly_capacity_freed": F.bround(bed_days / 7 * 5, 2),
+            "reduction_percentage": "percentage",
+            "current_expected_cancellations": f"bround({expected}, 2)",
+            "cancellations_prevented": f"bround({prevented}, 2)",
+            "cost_savings": f"bround({prevented} * {_mean('cost')}, 2)",
+            "bed_days_freed": f"bround({bed_days}, 2)",
+            "weekly_capacity_freed": f"bround({bed_days} / 7 * 5, 2)",
         },
     )
 
@@ -441,9 +437,7 @@ def _capacity_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
             F.col("percentage").alias("uplift_percentage"),
         )
     )
-    return _long(
-        capacity_answer_columns(rows), F.lit(""), {c: F.col(c) for c in CAPACITY_METRICS}
-    )
+    return _long(capacity_answer_columns(rows), "''", {c: c for c in CAPACITY_METRICS})
 
 
 def _preview_answers(requests: DataFrame, patients: DataFrame) -> DataFrame:
@@ -452,8 +446,8 @@ def _preview_answers(requests: DataFrame, patients: DataFrame) -> DataFrame:
     )
     return _long(
         requests.where(F.col("report") == "preview").join(first, "report"),
-        F.col("patient_id"),
-        {c: F.col(c) for c in PREVIEW_METRICS},
+        "patient_id",
+        {c: c for c in PREVIEW_METRICS},
     )
 
 

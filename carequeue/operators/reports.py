@@ -269,7 +269,7 @@ def season_cost_delta(df: DataFrame, current: str | None = None) -> DataFrame:
 
 
 def _by_age_group(df: DataFrame, *aggregates: Column) -> DataFrame:
-    return _by(df.withColumn("age_group", S.age_group(F.col("age"))), "age_group", *aggregates)
+    return _by(df.withColumn("age_group", S.age_group()), "age_group", *aggregates)
 
 
 def age_based_risk(df: DataFrame, **ages) -> DataFrame:

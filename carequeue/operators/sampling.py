@@ -18,8 +18,8 @@ def sample_key(row_id: Column, seed: int) -> Column:
 def fixed_sample(df: DataFrame, size: int, seed: int = 42, row_id: str = "patient_id") -> DataFrame:
     """The ``size`` rows with the smallest keys, or all rows if there are fewer.
 
-    Counts per key bucket tell which buckets lie wholly inside the sample; only the one
-    bucket at its edge is sorted.
+    Counts per key bucket tell how many rows each bucket gives; only buckets that give
+    any are looked at again, and each is numbered on its own.
     """
     keyed = df.withColumn("_key", sample_key(F.col(row_id), seed)).withColumn(
         "_bucket", F.floor(F.col("_key") / _BUCKET_WIDTH).cast("int")
@@ -30,19 +30,16 @@ def fixed_sample(df: DataFrame, size: int, seed: int = 42, row_id: str = "patien
         .agg(F.count("*").alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .where(F.col("_before") < size)
-        .select("_bucket", F.least("_rows", F.lit(size) - F.col("_before")).alias("_take"), "_rows")
+        .select("_bucket", (F.lit(size) - F.col("_before")).alias("_take"))
     )
-    # at most 65,536 rows of three numbers, whatever the number of patients
-    near = keyed.join(F.broadcast(buckets), "_bucket")
-    inside = near.where(F.col("_take") == F.col("_rows")).select(*df.columns)
     nth = Window.partitionBy("_bucket").orderBy("_key", row_id)
-    edge = (
-        near.where(F.col("_take") < F.col("_rows"))
+    return (
+        # at most 65,536 pairs of numbers, whatever the number of patients
+        keyed.join(F.broadcast(buckets), "_bucket")
         .withColumn("_nth", F.row_number().over(nth))
         .where(F.col("_nth") <= F.col("_take"))
         .select(*df.columns)
     )
-    return inside.unionByName(edge)
 
 
 def preview(df: DataFrame, size: int = 10, row_id: str = "patient_id") -> DataFrame:

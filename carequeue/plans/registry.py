@@ -109,7 +109,7 @@ def sql_passthrough(spark: SparkSession, folder: str) -> DataFrame:
 
 def season_of_orders(spark: SparkSession, folder: str) -> DataFrame:
     return load_table(spark, folder, "orders").select(
-        "o_orderkey", season_of_date(F.col("o_orderdate")).alias("season")
+        "o_orderkey", season_of_date("o_orderdate").alias("season")
     )
 
 
@@ -179,7 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "wait_days": _exact(lambda p: p.select("patient_id", "wait_days")),
     "age_group": _exact(
-        lambda p: p.select("patient_id", "age", S.age_group(F.col("age")).alias("age_group"))
+        lambda p: p.select("patient_id", "age", S.age_group().alias("age_group"))
     ),
     # filters
     "high_risk_patients_list": _exact(

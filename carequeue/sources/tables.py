@@ -51,23 +51,27 @@ def raw_patients(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     names = F.array(*[F.lit(s) for s in RAW_SPECIALTIES])
-    key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    nation = F.col("c_nationkey")
     return (
-        orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        orders.join(customers, F.expr("o_custkey = c_custkey"))
         .join(stays, "o_orderkey", "left")
-        .select(
-            key.alias("patient_id"),
-            ((key * 31 + customer * 17) % 96).cast("int").alias("age"),
-            F.element_at(names, (customer % 18).cast("int") + 1).alias("specialty"),
-            F.when(key % 2 == 0, "F").otherwise("M").alias("gender"),
-            season_of_date(F.col("o_orderdate")).alias("season"),
-            F.coalesce("n_lines", F.lit(0)).cast("double").alias("los"),
-            (F.col("o_totalprice") / 50.0).alias("cost_estimate"),
-            F.coalesce("mean_discount", F.lit(0.03)).alias("cancel_risk"),
-            (F.lit(20) + customer % 200).cast("int").alias("planned_count"),
-            (F.lit(1) + nation % 10).cast("double").alias("doctors_fte"),
-            (F.lit(2) + nation % 23).cast("double").alias("nurses_fte"),
-            (F.lit(3) + nation % 10 + nation % 23).cast("double").alias("total_fte"),
+        .withColumns(
+            {
+                "specialty": F.element_at(names, F.expr("cast(o_custkey % 18 as int) + 1")),
+                "season": season_of_date("o_orderdate"),
+            }
+        )
+        .selectExpr(
+            "o_orderkey as patient_id",
+            "cast((o_orderkey * 31 + o_custkey * 17) % 96 as int) as age",
+            "specialty",
+            "if(o_orderkey % 2 = 0, 'F', 'M') as gender",
+            "season",
+            "cast(coalesce(n_lines, 0) as double) as los",
+            "o_totalprice / 50D as cost_estimate",
+            "coalesce(mean_discount, 0.03D) as cancel_risk",
+            "cast(20 + o_custkey % 200 as int) as planned_count",
+            "cast(1 + c_nationkey % 10 as double) as doctors_fte",
+            "cast(2 + c_nationkey % 23 as double) as nurses_fte",
+            "cast(3 + c_nationkey % 10 + c_nationkey % 23 as double) as total_fte",
         )
     )
