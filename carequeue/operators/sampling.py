@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A multiplicative generator over the residues of a prime.
+# A quadratic over the residues of a prime: its products stay within 64 bits.
 PRIME = 2147483647
 MULTIPLIER = 48271
 _BUCKET_WIDTH = 32768  # 65,536 buckets
 
 
-def sample_key(row_id: Column, seed: int) -> Column:
-    return F.pmod(F.pmod(row_id, F.lit(PRIME)) * MULTIPLIER + seed, F.lit(PRIME))
+def sample_key(row_id: str, seed: int) -> Column:
+    """Scrambled row id in [0, PRIME), the same in every run."""
+    mixed = f"pmod((pmod({row_id}, {PRIME}) + {seed % PRIME}) * {MULTIPLIER}, {PRIME})"
+    return F.expr(f"pmod({mixed} * {mixed} + {mixed}, {PRIME})")
 
 
 def fixed_sample(df: DataFrame, size: int, seed: int = 42, row_id: str = "patient_id") -> DataFrame:
@@ -21,7 +23,7 @@ def fixed_sample(df: DataFrame, size: int, seed: int = 42, row_id: str = "patien
     Counts per key bucket tell how many rows each bucket gives; only buckets that give
     any are looked at again, and each is numbered on its own.
     """
-    keyed = df.withColumn("_key", sample_key(F.col(row_id), seed)).withColumn(
+    keyed = df.withColumn("_key", sample_key(row_id, seed)).withColumn(
         "_bucket", F.floor(F.col("_key") / _BUCKET_WIDTH).cast("int")
     )
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -696,8 +696,9 @@ ORACLE: dict[str, str] = {
              readmit_risk, wait_days from scored order by patient_id limit 10"""
     ),
     "fixed_sample": _patients(
-        f"""select patient_id, specialty, cost_estimate from patients
-            order by (patient_id % {PRIME} * {MULTIPLIER} + 42) % {PRIME}, patient_id limit 5000"""
+        f"""select patient_id, specialty, cost_estimate
+            from (select *, (patient_id % {PRIME} + 42) * {MULTIPLIER} % {PRIME} as k from patients)
+            order by (k * k + k) % {PRIME}, patient_id limit 5000"""
     ),
     "capacity_impact": _over(
         SCORED,
