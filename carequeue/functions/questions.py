@@ -59,10 +59,10 @@ def question_parameters(text: Column) -> dict[str, Column]:
     about_capacity = F.contains(lowered, F.lit("capacity")) | F.contains(
         lowered, F.lit("increase")
     )
-    baseline = F.coalesce(
-        _group(lowered, V.BASELINE_PATTERN, "bigint"),
-        F.when(about_capacity, F.lit(V.DEFAULT_BASELINE).cast("bigint")),
-    )
+    # a stated capacity that is no 64-bit number stays missing
+    baseline = F.when(
+        lowered.rlike(V.BASELINE_PATTERN), _group(lowered, V.BASELINE_PATTERN, "bigint")
+    ).when(about_capacity, F.lit(V.DEFAULT_BASELINE).cast("bigint"))
     numbers = F.regexp_extract_all(text, F.lit(V.NUMBER_PATTERN), 1)
 
     def mentions(name: str) -> Column:

@@ -26,7 +26,7 @@ NUMERIC = ["age", "los", "cost_estimate", "cancel_risk", "priority_score"]
 STAFFING = ["patients_per_doctor", "patients_per_nurse", "total_staff_efficiency"]
 CATEGORIES = ["gender", "specialty", "season"]
 LABEL = "efficiency_label"
-NO_VALUE = ""  # category of a missing value
+NO_VALUE = "(none)"  # category of a missing value; sorts before any name
 
 
 def _indexer(columns: Sequence[str]) -> StringIndexer:

@@ -71,7 +71,6 @@ def with_requests(df: DataFrame) -> DataFrame:
     def bound(side: str) -> Column:
         return F.when(by_age, F.coalesce("age", F.when(ranged, F.col(side))))
 
-    baseline = F.coalesce("baseline_capacity", F.lit(V.DEFAULT_BASELINE).cast("bigint"))
     requested = extract_parameters(route_questions(df)).select(
         *df.columns,
         "question_type",
@@ -81,7 +80,7 @@ def with_requests(df: DataFrame) -> DataFrame:
         bound("age_min").alias("age_min"),
         bound("age_max").alias("age_max"),
         percentage.alias("percentage"),
-        F.when(report == "capacity_answer", baseline).alias("baseline_capacity"),
+        F.when(report == "capacity_answer", F.col("baseline_capacity")).alias("baseline_capacity"),
     )
 
     def text(column: str) -> Column:
