@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,77 +28,87 @@ OWN_REPORT_TYPES = [
 ]
 
 
-def question_type(text: Column) -> Column:
+def question_type(lowered: str) -> Column:
     """First type whose pattern occurs in the lower-cased text."""
-    lowered = F.lower(text)
+    text = F.col(lowered)
     return F.coalesce(
-        *[F.when(lowered.rlike(p), F.lit(name)) for name, p in V.QUESTION_PATTERNS],
+        *[F.when(text.rlike(p), F.lit(name)) for name, p in V.QUESTION_PATTERNS],
         F.lit(V.DEFAULT_QUESTION_TYPE),
     )
 
 
-def _group(text: Column, pattern: str, type_name: str, group: int = 1) -> Column:
+def _group(text: str, pattern: str, type_name: str, group: int = 1) -> Column:
     found = F.regexp_extract(text, pattern, group)
     return F.when(found != "", found).try_cast(type_name)
 
 
-def _has_word(lowered: Column, word: str) -> Column:
-    return lowered.rlike(rf"\b{re.escape(word)}\b")
+def _mentions(lowered: str, name: str) -> str:
+    """SQL test for a name; single words must stand alone. The cheap test comes first."""
+    phrase = f"contains({lowered}, '{name}')"
+    if " " in name:
+        return phrase
+    return rf"{phrase} and {lowered} rlike r'\b{re.escape(name)}\b'"
 
 
-def _found(names: list[str], occurs) -> Column:
-    """Names for which ``occurs`` holds, in list order; NULL if there are none."""
-    flags = [F.when(occurs(n.lower()), F.lit(n)) for n in names]
-    found = F.array_compact(F.array(*flags))
-    return F.when(F.size(found) > 0, found)
+def _word(lowered: str, words: str) -> str:
+    """SQL test for words standing alone, one or more."""
+    return rf"contains({lowered}, '{words}') and {lowered} rlike r'\b{re.escape(words)}\b'"
 
 
-def question_parameters(text: Column) -> dict[str, Column]:
-    """Parameter columns of a question; what is not mentioned is NULL."""
-    lowered = F.lower(text)
-    about_capacity = F.contains(lowered, F.lit("capacity")) | F.contains(
-        lowered, F.lit("increase")
-    )
-    # a stated capacity that is no 64-bit number stays missing
-    baseline = F.when(
-        lowered.rlike(V.BASELINE_PATTERN), _group(lowered, V.BASELINE_PATTERN, "bigint")
-    ).when(about_capacity, F.lit(V.DEFAULT_BASELINE).cast("bigint"))
-    numbers = F.regexp_extract_all(text, F.lit(V.NUMBER_PATTERN), 1)
+def _found(names: list[str], lowered: str, test: Callable[[str, str], str]) -> Column:
+    """Names for which the test holds, in list order; NULL if there are none."""
+    flags = ", ".join(f"if({test(lowered, n.lower())}, '{n}', null)" for n in names)
+    return F.expr(f"nullif(array_compact(array({flags})), array())")
 
-    def mentions(name: str) -> Column:
-        phrase = F.contains(lowered, F.lit(name))
-        return phrase if " " in name else phrase & _has_word(lowered, name)
 
-    words = [(_has_word(lowered, w), w, low, high) for w, low, high in V.AGE_WORDS]
-
-    def from_words(value, otherwise: Column) -> Column:
-        return reduce(
-            lambda rest, row: F.when(row[0], F.lit(value(row))).otherwise(rest), words, otherwise
-        )
+def question_parameters(text: str, lowered: str) -> dict[str, Column]:
+    """Parameter columns of a question except the age range; NULL if not mentioned.
 
+    ``lowered`` names a column with the lower-cased text, so that it is lowered once.
+    """
+    numbers = F.regexp_extract_all(text, F.lit(V.NUMBER_PATTERN), 1)
+    # a stated capacity that is no 64-bit number stays missing
+    baseline = F.when(
+        F.col(lowered).rlike(V.BASELINE_PATTERN), _group(lowered, V.BASELINE_PATTERN, "bigint")
+    ).when(
+        F.expr(f"contains({lowered}, 'capacity') or contains({lowered}, 'increase')"),
+        F.lit(V.DEFAULT_BASELINE).cast("bigint"),
+    )
+    # the last word of the list that occurs
+    words = " ".join(f"when {_word(lowered, w)} then '{w}'" for w, _, _ in reversed(V.AGE_WORDS))
     return {
         "percentage": _group(text, V.PERCENT_PATTERN, "double"),
         "numbers": F.when(F.size(numbers) > 0, numbers).try_cast("array<double>"),
         "baseline_capacity": baseline,
-        "weekly_capacity": baseline,
         "risk_weight": _group(lowered, V.RISK_WEIGHT_PATTERN, "double"),
         "threshold": _group(lowered, V.THRESHOLD_PATTERN, "double"),
-        "specialties": _found(V.QUESTION_SPECIALTIES, mentions),
-        "seasons": _found(V.SEASONS, lambda name: _has_word(lowered, name)),
+        "specialties": _found(V.QUESTION_SPECIALTIES, lowered, _mentions),
+        "seasons": _found(V.SEASONS, lowered, _word),
         "age": _group(lowered, V.AGE_PATTERN, "int"),
-        "age_min": from_words(lambda r: r[2], _group(lowered, V.AGE_RANGE_PATTERN, "int", 1)),
-        "age_max": from_words(lambda r: r[3], _group(lowered, V.AGE_RANGE_PATTERN, "int", 2)),
-        "age_group": from_words(lambda r: r[1], F.lit(None).cast("string")),
+        "age_group": F.expr(f"case {words} end"),
     }
 
 
-def question_report(kind: Column, text: Column) -> Column:
+def age_range(lowered: str) -> dict[str, Column]:
+    """Ages of the age word if there is one, else those of a stated range."""
+
+    def bound(group: int) -> Column:
+        ages = " ".join(f"when '{row[0]}' then {row[group]}" for row in V.AGE_WORDS)
+        return F.coalesce(
+            F.expr(f"case age_group {ages} end"),
+            _group(lowered, V.AGE_RANGE_PATTERN, "int", group),
+        )
+
+    return {"age_min": bound(1), "age_max": bound(2)}
+
+
+def question_report(kind: Column, lowered: str) -> Column:
     """Report that answers a question of this type; the preview where there is none."""
-    lowered = F.lower(text)
+    text = F.col(lowered)
     what_if = (
-        F.when(F.contains(lowered, F.lit("cancel")), "cancellation_whatif")
+        F.when(F.contains(text, F.lit("cancel")), "cancellation_whatif")
         .when(
-            F.contains(lowered, F.lit("capacity")) | F.contains(lowered, F.lit("increase")),
+            F.contains(text, F.lit("capacity")) | F.contains(text, F.lit("increase")),
             "capacity_answer",
         )
         .otherwise("preview")

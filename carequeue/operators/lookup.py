@@ -12,7 +12,7 @@ SUGGESTIONS_SHOWN = 5
 
 def _glossary() -> str:
     entries = ", ".join(
-        f"named_struct('term', '{term}', 'title', '{title}',"
+        f"named_struct('term', '{term}', 'title', '{title}', 'lowered', '{title.lower()}',"
         f" 'summary', '{V.MEDICAL_SUMMARIES[title]}', 'url', '{V.ENCYCLOPEDIA}{page}')"
         for term, title, page in V.MEDICAL_TERMS
     )
@@ -25,27 +25,35 @@ def lookup_terms(df: DataFrame, column: str = "search") -> DataFrame:
     The glossary is a literal of 28 entries, so rows stay where they are. Blank and
     unknown searches have no entry.
     """
-    text = f"trim(lower({column}))"
-    partly = (
-        f"contains(e.term, {text}) or contains({text}, e.term)"
-        f" or contains(lower(e.title), {text})"
-    )
+    partly = "contains(e.term, _text) or contains(_text, e.term) or contains(e.lowered, _text)"
     entry = F.expr(
-        f"""if({text} = '', null, coalesce(
-            get(filter({_glossary()}, e -> e.term = {text}), 0),
+        f"""if(_text = '', null, coalesce(
+            get(filter({_glossary()}, e -> e.term = _text), 0),
             get(filter({_glossary()}, e -> {partly}), 0)))"""
     )
-    return df.withColumn("_entry", entry).select(*df.columns, "_entry.*")
+    return (
+        df.withColumn("_text", F.trim(F.lower(column)))
+        .withColumn("_entry", entry)
+        .select(*df.columns, "_entry.term", "_entry.title", "_entry.summary", "_entry.url")
+    )
 
 
 def suggest_questions(df: DataFrame, column: str = "typed") -> DataFrame:
     """Up to five suggestions per typed text, one row each, in list order."""
-    typed = F.lower(column)
-    listed = F.array(*[F.lit(s) for s in V.SUGGESTIONS])
-    matching = F.filter(
-        listed, lambda s: F.contains(F.lower(s), typed) & (F.lower(s) != typed)
+    listed = ", ".join(
+        f"named_struct('text', '{s}', 'lowered', '{s.lower()}')" for s in V.SUGGESTIONS
+    )
+    shown = F.expr(
+        f"""if(length({column}) >= 2, slice(
+            filter(array({listed}), s -> contains(s.lowered, _text) and s.lowered <> _text),
+            1, {SUGGESTIONS_SHOWN}), null)"""
     )
-    shown = F.when(F.length(column) >= 2, F.slice(matching, 1, SUGGESTIONS_SHOWN))
-    return df.select(*df.columns, F.posexplode(shown).alias("_at", "suggestion")).select(
-        *df.columns, (F.col("_at") + 1).alias("rank"), "suggestion"
+    return (
+        df.withColumn("_text", F.lower(column))
+        .select(*df.columns, F.posexplode(shown).alias("_at", "_shown"))
+        .select(
+            *df.columns,
+            (F.col("_at") + 1).alias("rank"),
+            F.col("_shown.text").alias("suggestion"),
+        )
     )

@@ -54,6 +54,11 @@ def training_rows(df: DataFrame) -> DataFrame:
     return labelled.withColumns({**numbers, **names})
 
 
+def stored_rows(df: DataFrame) -> DataFrame:
+    """Training rows written once in even parts, as fitting reads them many times."""
+    return written(training_rows(df).hint("rebalance"), "training")
+
+
 def _feature(column: str) -> str:
     return f"feature_{column}"
 
@@ -117,7 +122,7 @@ def score(rows: DataFrame, fitted: PipelineModel) -> DataFrame:
 
 def efficiency_model(df: DataFrame, model: str = "forest", numeric_only: bool = False) -> DataFrame:
     """Scored patients with the classifier's columns, trained on the same rows."""
-    rows = written(training_rows(df), "training")
+    rows = stored_rows(df)
     return score(rows, train(rows, model, numeric_only))
 
 
@@ -140,7 +145,7 @@ def feature_importance(rows: DataFrame, fitted: PipelineModel, top: int = 5) ->
 
 def evaluate(df: DataFrame, model: str = "forest", numeric_only: bool = False) -> DataFrame:
     """AUC and accuracy on the training rows, and on a fifth of rows held out by id."""
-    rows = written(training_rows(df), "training")
+    rows = stored_rows(df)
     held = spread("patient_id", 5) == 0
     learned, unseen = rows.where(~held), rows.where(held)
 

@@ -14,7 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carequeue.functions import fixed_values as V
-from carequeue.functions.questions import question_parameters, question_report, question_type
+from carequeue.functions.questions import (
+    age_range,
+    question_parameters,
+    question_report,
+    question_type,
+)
 from carequeue.functions.scoring import age_group
 from carequeue.operators.capacity import capacity_answer_columns
 from carequeue.operators.sampling import preview
@@ -37,18 +42,31 @@ PREVIEW_METRICS = [
 ]
 
 
+def _lowered(df: DataFrame) -> DataFrame:
+    return df.withColumn("_lowered", F.lower("question"))
+
+
 def classify_questions(df: DataFrame) -> DataFrame:
-    return df.withColumn("question_type", question_type(F.col("question")))
+    return _lowered(df).withColumn("question_type", question_type("_lowered")).drop("_lowered")
 
 
 def extract_parameters(df: DataFrame) -> DataFrame:
-    return df.withColumns(question_parameters(F.col("question")))
+    """Add the parameters of each question; what is not mentioned is NULL."""
+    return (
+        _lowered(df)
+        .withColumns(question_parameters("question", "_lowered"))
+        .withColumns({**age_range("_lowered"), "weekly_capacity": F.col("baseline_capacity")})
+        .drop("_lowered")
+    )
 
 
 def route_questions(df: DataFrame) -> DataFrame:
     """Add type and report of each question."""
-    return classify_questions(df).withColumn(
-        "report", question_report(F.col("question_type"), F.col("question"))
+    return (
+        _lowered(df)
+        .withColumn("question_type", question_type("_lowered"))
+        .withColumn("report", question_report(F.col("question_type"), "_lowered"))
+        .drop("_lowered")
     )
 
 
@@ -450,6 +468,15 @@ def _preview_answers(requests: DataFrame, patients: DataFrame) -> DataFrame:
     )
 
 
+def _written_requests(questions: DataFrame) -> DataFrame:
+    """Questions with their requests, read from their texts once.
+
+    The patterns cost far more than moving the texts, so these are spread evenly first.
+    """
+    texts = questions.select("question_id", "question").hint("rebalance")
+    return written(with_requests(texts).drop("question"), "questions")
+
+
 def answer_requests(requested: DataFrame, patients: DataFrame) -> DataFrame:
     """Answers of the distinct requests: request, report, key, metric, value.
 
@@ -488,7 +515,7 @@ def answer_questions(questions: DataFrame, patients: DataFrame) -> DataFrame:
 
     A question whose report finds nothing has no rows.
     """
-    requested = with_requests(questions)
+    requested = _written_requests(questions)
     return (
         requested.select("question_id", "request")
         .join(answer_requests(requested, patients), "request")
@@ -567,7 +594,7 @@ def format_answers(questions: DataFrame, patients: DataFrame) -> DataFrame:
     What-if answers are sentences; table answers say how many records were found and list
     them by key, with metrics rounded to four decimals.
     """
-    requested = with_requests(questions)
+    requested = _written_requests(questions)
     answers = answer_requests(requested, patients)
     figures = ["reduction_percentage", "cost_savings", "bed_days_freed",
                "weekly_capacity_freed", "cancellations_prevented", *CAPACITY_METRICS]

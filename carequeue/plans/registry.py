@@ -158,7 +158,7 @@ def _model(name: str):
 
 
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    rows = M.written(M.training_rows(scored(spark, folder)), "training")
+    rows = M.stored_rows(scored(spark, folder))
     return M.feature_importance(rows, M.train(rows))
 
 
