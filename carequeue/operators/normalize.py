@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from carequeue.functions import fixed_values as V
 from carequeue.functions.scoring import spread
 from carequeue.operators.rank import rank_rows
+from carequeue.schema import one_hot_columns
 
 
 def rename_specialty() -> Column:
@@ -97,9 +98,9 @@ def labels_from_one_hot(df: DataFrame) -> DataFrame:
         kept = {c: F.lit(c in present and bool(row[c])) for c in labels}
 
     def first_set(prefix: str, default: str) -> Column:
-        columns = [c for c in df.columns if c.startswith(prefix)]
         named = [
-            F.when(F.col(f"`{c}`") == 1, F.lit(c.removeprefix(prefix))) for c in columns
+            F.when(F.col(f"`{c}`") == 1, F.lit(c.removeprefix(prefix)))
+            for c in one_hot_columns(df.columns, prefix)
         ]
         return F.coalesce(*named, F.lit(default))
 
@@ -107,7 +108,7 @@ def labels_from_one_hot(df: DataFrame) -> DataFrame:
         at = spread("patient_id", len(names)) + 1
         return F.element_at(F.array(*[F.lit(n) for n in names]), at)
 
-    has_season = any(c.startswith("season_") for c in df.columns)
+    has_season = bool(one_hot_columns(df.columns, "season_"))
     rebuilt = {
         "specialty": first_set("specialty_", V.DEFAULT_SPECIALTY),
         "gender": (

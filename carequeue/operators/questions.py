@@ -480,7 +480,8 @@ def _written_requests(questions: DataFrame) -> DataFrame:
 def answer_requests(requested: DataFrame, patients: DataFrame) -> DataFrame:
     """Answers of the distinct requests: request, report, key, metric, value.
 
-    The distinct requests and the patient cells are written once and read by every family.
+    The distinct requests and the patient cells are written once and read by every family
+    of reports that was asked for.
     """
     requests = written(
         requested.select(
@@ -495,19 +496,30 @@ def answer_requests(requested: DataFrame, patients: DataFrame) -> DataFrame:
         ).distinct(),
         "requests",
     )
-    cells = written(patient_cells(patients), "cells")
-    return reduce(
-        DataFrame.unionByName,
-        [
-            _specialty_answers(requests, cells),
-            _high_risk_answers(requests, patients),
-            _seasonal_answers(requests, cells),
-            _age_answers(requests, cells),
-            _cancellation_answers(requests, cells),
-            _capacity_answers(requests, cells),
-            _preview_answers(requests, patients),
-        ],
-    )
+    # at most the eleven names of reports; families nobody asked for are left out
+    asked = {row.report for row in requests.select("report").distinct().collect()}
+    answers = []
+    of_cells = [f for names, f in _CELL_FAMILIES if asked & set(names)]
+    if of_cells:
+        cells = written(patient_cells(patients), "cells")
+        answers += [family(requests, cells) for family in of_cells]
+    if "high_risk_patients" in asked:
+        answers.append(_high_risk_answers(requests, patients))
+    if "preview" in asked:
+        answers.append(_preview_answers(requests, patients))
+    if not answers:
+        return requests.sparkSession.createDataFrame([], ANSWER_SCHEMA)
+    return reduce(DataFrame.unionByName, answers)
+
+
+_CELL_FAMILIES = [
+    (SPECIALTY_REPORTS, _specialty_answers),
+    (["seasonal_analysis"], _seasonal_answers),
+    (AGE_REPORTS, _age_answers),
+    (["cancellation_whatif"], _cancellation_answers),
+    (["capacity_answer"], _capacity_answers),
+]
+ANSWER_SCHEMA = "request string, report string, key string, metric string, value double"
 
 
 def answer_questions(questions: DataFrame, patients: DataFrame) -> DataFrame:
@@ -523,6 +535,12 @@ def answer_questions(questions: DataFrame, patients: DataFrame) -> DataFrame:
     )
 
 
+def ask(text: str, patients: DataFrame) -> DataFrame:
+    """Answer of a single question, in the form of ``answer_questions``."""
+    one = patients.sparkSession.createDataFrame([(1, text)], "question_id long, question string")
+    return answer_questions(one, patients)
+
+
 def _amount(column: str, decimals: int) -> Column:
     return F.format_number(column, decimals)
 

@@ -12,6 +12,7 @@ COLUMN_TYPES: dict[str, T.DataType] = {
     "age": T.IntegerType(),
     "age_band": T.StringType(),
     "specialty": T.StringType(),
+    "specialty_clean": T.StringType(),
     "gender": T.StringType(),
     "season": T.StringType(),
     "los": T.DoubleType(),
@@ -39,6 +40,11 @@ SCORED_COLUMNS = [
 STAFFING_COLUMNS = ["doctors_fte", "nurses_fte", "planned_count"]
 
 
+def one_hot_columns(columns: Sequence[str], prefix: str) -> list[str]:
+    """Names of the 0/1 columns of a label, in table order."""
+    return [c for c in columns if c.startswith(prefix) and c not in COLUMN_TYPES]
+
+
 def schema_of(columns: Sequence[str]) -> T.StructType:
     """Schema of a patient file with these header names; unknown names are strings."""
 
@@ -52,8 +58,10 @@ def schema_of(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(name, type_of(name), True) for name in columns])
 
 
-PATIENT_SCHEMA = schema_of([c for c in COLUMN_TYPES if c != "age_band"])
-AGE_BAND_SCHEMA = schema_of([c for c in COLUMN_TYPES if c not in ("patient_id", "age")])
+PATIENT_SCHEMA = schema_of([c for c in COLUMN_TYPES if c not in ("age_band", "specialty_clean")])
+AGE_BAND_SCHEMA = schema_of(
+    [c for c in COLUMN_TYPES if c not in ("patient_id", "age", "specialty_clean")]
+)
 
 
 def has_staffing(df: DataFrame) -> bool:

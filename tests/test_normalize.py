@@ -74,6 +74,13 @@ def test_labels_from_one_hot(spark):
     assert [r.season for r in rows] == ["Winter", "Spring", "Autumn", "Spring"]
 
 
+def test_cleaned_name_is_no_one_hot_column(spark):
+    df = spark.createDataFrame(
+        [(1, "ENT", None)], "patient_id long, specialty_clean string, specialty string"
+    )
+    assert N.labels_from_one_hot(df).first().specialty == "General Surgery"
+
+
 def test_labels_with_any_value_are_kept(spark):
     df = spark.createDataFrame(
         [(1, "ENT", None, 1), (2, None, None, 0)],
