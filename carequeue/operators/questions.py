@@ -422,6 +422,7 @@ CAPACITY_METRICS = [
     "baseline_capacity",
     "new_capacity",
     "additional_capacity",
+    "uplift_percentage",
     "efficiency_gain",
     "total_patients",
     "current_doctors",

@@ -281,7 +281,7 @@ whatif as (
     cost, los from requests, totals where report = 'cancellation_whatif'
 ),
 uplift as (
-  select request, report, baseline as base, total_patients as n,
+  select request, report, percentage, baseline as base, total_patients as n,
     cast(trunc(baseline * (1 + percentage / 100)) as bigint) as new
   from requests, totals where report = 'capacity_answer'
 ),
@@ -324,7 +324,7 @@ metrics as (
   select request, report, '', unnest([('weeks_saved', old_weeks - new_weeks),
     ('patients_moved_earlier', moved), ('baseline_weeks', old_weeks), ('new_weeks', new_weeks),
     ('baseline_capacity', base), ('new_capacity', new), ('additional_capacity', added),
-    ('efficiency_gain', round_even((old_weeks - new_weeks) / old_weeks * 100, 1)),
+    ('uplift_percentage', percentage), ('efficiency_gain', round_even((old_weeks - new_weeks) / old_weeks * 100, 1)),
     ('total_patients', n), ('current_doctors', round_even(base / 25e0, 1)),
     ('current_nurses', round_even(base / 12e0, 1)), ('patients_per_doctor', 25),
     ('patients_per_nurse', 12), ('additional_doctors_needed', round_even(added / 25e0, 1)),
