@@ -236,6 +236,7 @@ def high_risk_totals(patients: DataFrame, thresholds: DataFrame) -> DataFrame:
         return F.floor(inside * RISK_STEPS).cast("long")
 
     spark = patients.sparkSession
+    thresholds = thresholds.where("threshold < 1")  # no risk is above 1
     lower = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     # the window covers the fixed number of steps; the size of the written table tells
     # Spark whether to broadcast it
@@ -630,7 +631,7 @@ def format_answers(questions: DataFrame, patients: DataFrame) -> DataFrame:
         )
     )
     # means that end in 5 are shown alike in whatever order they were summed
-    nudged = F.col("value") + 1e-9
+    shown = F.coalesce(_plain(F.col("value") + 1e-9, 4), F.lit("missing"))
     # a request has one line per specialty, season, age group or previewed patient
     lines = (
         answers.where(~is_text)
@@ -639,7 +640,7 @@ def format_answers(questions: DataFrame, patients: DataFrame) -> DataFrame:
             F.array_join(
                 F.array_sort(
                     F.collect_list(
-                        F.concat("metric", F.lit("="), _plain(nudged, 4))
+                        F.concat("metric", F.lit("="), shown)
                     )
                 ),
                 ", ",

@@ -348,9 +348,10 @@ answers as (
 
 FORMATTED = """
 lines as (
-  select request, report, key, string_agg(metric || '=' || format('{:.4f}', value + 1e-9), ', '
-      order by metric || '=' || format('{:.4f}', value + 1e-9)) as line
-  from answers where report not in ('cancellation_whatif', 'capacity_answer') group by all
+  select request, report, key, string_agg(metric || '=' || shown, ', '
+      order by metric || '=' || shown) as line
+  from (select *, coalesce(format('{:.4f}', value + 1e-9), 'missing') as shown from answers)
+  where report not in ('cancellation_whatif', 'capacity_answer') group by all
 ),
 tables as (
   select request, 'Found ' || count(*) || ' records. '

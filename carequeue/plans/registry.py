@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,13 @@ REDUCTIONS = (5.0, 15.0, 20.0, 37.5)
 SCHEDULE = ["patient_id", "priority_score", "wait_days"]
 
 
+@lru_cache(maxsize=16)
 def patients(spark: SparkSession, folder: str) -> DataFrame:
+    """The same unevaluated DataFrame for every query of a session, as one would write it."""
     return N.normalize_patients(raw_patients(spark, folder))
 
 
+@lru_cache(maxsize=16)
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     return S.score_patients(patients(spark, folder))
 

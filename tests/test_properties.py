@@ -59,7 +59,9 @@ def test_group_counts_add_up(patients, rows):
 
 @pytest.fixture(scope="module")
 def given_patients(spark):
-    return scored(spark, "/root/testdata/sf0.001").cache()
+    df = scored(spark, "/root/testdata/sf0.001").cache()
+    yield df
+    df.unpersist()
 
 
 @pytest.mark.parametrize("schedule", [C.capacity_schedule, C.optimize_schedule])

@@ -203,6 +203,14 @@ def test_preview_answer_is_the_first_ten(ask, people):
     assert {m for _, m in found} == set(Q.PREVIEW_METRICS)
 
 
+def test_missing_question_and_missing_values(ask, people):
+    none = Q.format_answers(ask(None), people).first()
+    assert (none.question_type, none.report) == ("general_analysis", "preview")
+    unpriced = people.withColumn("cost_estimate", F.lit(None).cast("double"))
+    row = Q.format_answers(ask("specialty summary"), unpriced).first()
+    assert "avg_cost=missing" in row.answer
+
+
 def test_equal_requests_are_answered_once(ask, people):
     texts = ["average wait time in ENT", "ENT: mean waiting days", "high risk case 70%", "risky case"]
     requests = {r.request for r in Q.with_requests(ask(*texts)).collect()}
