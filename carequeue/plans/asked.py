@@ -40,7 +40,7 @@ QUESTION_FORMS = [
     "Compare performance across specialties",
 ]
 
-# Search forms; the last three find nothing, find by containing a term, and are blank.
+# Search forms: exact, partial, contained, title, unknown and blank ones.
 SEARCH_FORMS = [
     "{specialty}",
     "  {SPECIALTY} ",
@@ -84,7 +84,7 @@ def patient_searches(patients: DataFrame) -> DataFrame:
 
 
 def typed_questions(patients: DataFrame) -> DataFrame:
-    """Questions of the patients as far as typed: 1 to 20 letters of their end part."""
+    """The patients' questions as far as typed: their first 1 to 20 letters."""
     asked = patient_questions(patients)
     length = (F.lit(1) + F.pmod(F.col("question_id") * 7, F.lit(20))).cast("int")
     return asked.select(
