@@ -2,32 +2,63 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where none is set and Spark runs on this machine.
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """``folder`` if given, else ``spark.checkpoint.dir``, else a folder in the warehouse.
+
+    All three are storage that the driver and every executor read and write; nothing is
+    kept on one machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="carequeue-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A path nothing was written to yet; deleted with the scope it is made in."""
+    path = f"{shared_folder(spark, folder)}/{name}-{uuid.uuid4().hex}"
+    made = _SCOPE.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """The same rows, computed once and read back from a table in the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table, through the file system that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the intermediate tables that it wrote.
+
+    Results are evaluated late, so write or collect them inside the block.
+    """
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        made = _SCOPE.get()
+        _SCOPE.reset(token)
+        for path in made:
+            delete_table(spark, path)
