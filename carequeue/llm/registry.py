@@ -6,15 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carequeue.llm import chat, mixing
+from carequeue.llm import chat, fertility, mixing, sentencepiece_spans, token_counts
 from carequeue.llm.oracle import LLM_ORACLE
 from carequeue.sources.tables import load_table
 
 __all__ = ["LLM_ORACLE", "LLM_QUERIES"]
 
+PIECE_MODEL = "piece_bpe_32k.model"
+WORD_MODEL = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files are installed, on the driver and every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return load_table(spark, folder, "documents")
+
 
 def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_report(mixing.mix_plan(load_table(spark, folder, "documents")))
+    return mixing.mix_report(mixing.mix_plan(documents(spark, folder)))
+
+
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_spans.encoded_documents(
+        documents(spark, folder), tokenizer_path(PIECE_MODEL)
+    )
+
+
+def op7_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    return fertility.quality_rules(documents(spark, folder), tokenizer_path(PIECE_MODEL))
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.counted_documents(documents(spark, folder), tokenizer_path(WORD_MODEL))
 
 
 def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,5 +60,8 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op7_fertility": op7_fertility,
+    "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
 }
