@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carequeue.llm import chat, fertility, mixing, sentencepiece_spans, token_counts
+from carequeue.llm import (
+    chat,
+    fertility,
+    mixing,
+    personal_data,
+    sentencepiece_spans,
+    token_counts,
+)
 from carequeue.llm.oracle import LLM_ORACLE
 from carequeue.sources.tables import load_table
 
@@ -31,6 +38,10 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(mixing.mix_plan(documents(spark, folder)))
 
 
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.personal_data(documents(spark, folder))
+
+
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_spans.encoded_documents(
         documents(spark, folder), tokenizer_path(PIECE_MODEL)
@@ -60,6 +71,7 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_personal_data": op2_personal_data,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_fertility": op7_fertility,
     "op9_token_counts": op9_token_counts,
