@@ -71,4 +71,40 @@ select conv_id, count(*) as n_turns,
 from e group by conv_id
 """
 
-LLM_ORACLE = {"op1_mixing": MIXING, "op10_chat_format": CHAT}
+NEAR_DUPLICATES = r"""
+with recursive w as materialized (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as words
+  from documents),
+s as materialized (
+  select doc_id, unnest(case
+    when len(words) = 0 then []
+    when len(words) = 1 then words
+    else list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))
+    end) as shingle
+  from w),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+pairs as (
+  select a.doc_id as u, b.doc_id as v, count(*) as common
+  from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id),
+links as materialized (
+  select u, v from pairs p join n x on x.doc_id = u join n y on y.doc_id = v
+  where 100 * common >= 80 * (x.n + y.n - common)),
+ways as materialized (select u, v from links union all select v, u from links),
+reach(doc_id, seen) as (
+  select doc_id, doc_id from documents
+  union
+  select ways.v, reach.seen from reach join ways on ways.u = reach.doc_id),
+least as (select doc_id, min(seen) as component_id from reach group by doc_id)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id,
+  doc_id = component_id as kept
+from least left join n using (doc_id)
+"""
+
+LLM_ORACLE = {
+    "op1_mixing": MIXING,
+    "op5_near_duplicates": NEAR_DUPLICATES,
+    "op10_chat_format": CHAT,
+}

@@ -10,6 +10,7 @@ from carequeue.llm import (
     chat,
     fertility,
     mixing,
+    near_duplicates,
     personal_data,
     sentencepiece_spans,
     token_counts,
@@ -48,6 +49,10 @@ def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, folder))
+
+
 def op7_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return fertility.quality_rules(documents(spark, folder), tokenizer_path(PIECE_MODEL))
 
@@ -73,6 +78,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_personal_data": op2_personal_data,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_fertility": op7_fertility,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
