@@ -12,9 +12,10 @@ A bucket of equal keys never makes all its pairs:
 
 1. each member is paired with the least of its bucket; of these each document has its
    best, by keys shared, confirmed first,
-2. then the others whose ends are not yet connected,
-3. then, in buckets that still hold several components, the pairs across components whose
-   sizes and sketches allow the similarity.
+2. in buckets that then hold several components, members are paired with the least of the
+   least component, again one for each document, as long as that finds links,
+3. then the pairs across components are confirmed that the order of their shingles, their
+   sizes and sketches allow to be similar.
 
 No pair that could connect two components is left unconfirmed, whatever the bucket's size.
 
@@ -28,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carequeue.llm.batches import map_rows
@@ -40,16 +41,20 @@ SYMBOLS = 60
 CHUNKS = 12
 PER_CHUNK = SYMBOLS // CHUNKS
 SIMILARITY = 80  # percent
-#: Sketches have two bits a symbol. At similarity 0.8 they differ in 12 bits on average,
-#: 3.9 standard; at 40 and more a pair is seven deviations away.
-SKETCH_BITS = 40
+#: Sketches have two bits of each of twice as many symbols. At similarity 0.8 they differ
+#: in 24 bits on average, with a deviation of 5.5; pairs that differ in 54 and more are
+#: ruled out. At similarity 0.35, as of documents with one passage in common, it is 78.
+SKETCH_BITS = 54
+SKETCHES = ("sketch_a", "sketch_b", "sketch_c", "sketch_d")
+#: Rounds of stars go on while one pair in so many is a link; then pairs are compared.
+WORTHWHILE = 20
 #: Pairs up to this number are sent to the tasks that read the texts (16 bytes each);
 #: beyond it texts and pairs are joined by shuffling.
 BROADCAST_PAIRS = 500_000
 
 _rng = np.random.default_rng(5)
-_FACTORS = _rng.integers(1, 1 << 64, SYMBOLS, dtype=np.uint64) | np.uint64(1)
-_SHIFTS = _rng.integers(0, 1 << 64, SYMBOLS, dtype=np.uint64)
+_FACTORS = _rng.integers(1, 1 << 64, 2 * SYMBOLS, dtype=np.uint64) | np.uint64(1)
+_SHIFTS = _rng.integers(0, 1 << 64, 2 * SYMBOLS, dtype=np.uint64)
 _KEY_SALTS = _rng.integers(0, 1 << 64, (CHUNKS, PER_CHUNK), dtype=np.uint64)
 
 
@@ -69,20 +74,21 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return sets
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols (16 bits each) and the two halves of the sketch, of sets that are not empty."""
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Symbols (16 bits each) and the four parts of the sketch, of sets that are not empty."""
     every = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    least = np.empty((len(sets), SYMBOLS), np.uint64)
-    for j in range(SYMBOLS):
+    least = np.empty((len(sets), 2 * SYMBOLS), np.uint64)
+    for j in range(2 * SYMBOLS):
         least[:, j] = np.minimum.reduceat(every * _FACTORS[j] + _SHIFTS[j], starts)
     mixed = mix(least)
     places = np.arange(SYMBOLS, dtype=np.uint64)
-    halves = [
-        ((mixed >> np.uint64(40 + k) & np.uint64(1)) << places).sum(axis=1, dtype=np.uint64)
+    parts = [
+        ((half >> np.uint64(40 + k) & np.uint64(1)) << places).sum(axis=1, dtype=np.uint64)
+        for half in (mixed[:, :SYMBOLS], mixed[:, SYMBOLS:])
         for k in range(2)
     ]
-    return mixed & np.uint64(0xFFFF), halves[0], halves[1]
+    return mixed[:, :SYMBOLS] & np.uint64(0xFFFF), parts
 
 
 def chunk_keys(symbols: np.ndarray) -> np.ndarray:
@@ -99,31 +105,29 @@ def chunk_keys(symbols: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, sketch_a, sketch_b, keys); nulls where there is no set."""
+    """(doc_id, n_shingles, digest, sketches, keys); nulls where there is no set."""
 
     def make():
         def work(texts):
             sets = shingle_sets(texts, words)
             full = [s for s in sets if len(s)]
+            none = (0, *[None] * 6)
             if not full:
-                return [(0, None, None, None, None)] * len(sets)
-            symbols, a, b = signatures(full)
-            made = zip(chunk_keys(symbols).tolist(), a.tolist(), b.tolist())
-            rows = []
-            for s in sets:
-                if len(s):
-                    keys, x, y = next(made)
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), x, y, keys))
-                else:
-                    rows.append((0, None, None, None, None))
-            return rows
+                return [none] * len(sets)
+            symbols, parts = signatures(full)
+            made = zip(*(p.tolist() for p in parts), chunk_keys(symbols).tolist())
+            return [
+                (len(s), xxhash.xxh3_128_digest(s.tobytes()), *next(made)) if len(s) else none
+                for s in sets
+            ]
 
         return work
 
     return map_rows(
         docs.select("doc_id", "text"),
         make,
-        "n_shingles long, digest binary, sketch_a long, sketch_b long, keys array<long>",
+        "n_shingles long, digest binary, sketch_a long, sketch_b long, sketch_c long,"
+        " sketch_d long, keys array<long>",
     )
 
 
@@ -189,7 +193,7 @@ def _may_reach(left: str, right: str):
     a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
     far = sum(
         F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}")))
-        for s in ("sketch_a", "sketch_b")
+        for s in SKETCHES
     )
     return (100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)) & (far < SKETCH_BITS)
 
@@ -202,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
         .groupBy("digest")
         .agg(
             F.min("doc_id").alias("node"),
-            F.any_value(F.struct("n_shingles", "sketch_a", "sketch_b", "keys")).alias("_s"),
+            F.any_value(F.struct("n_shingles", *SKETCHES, "keys")).alias("_s"),
         )
         .select("digest", "node", "_s.*"),
         "near-classes",
@@ -235,35 +239,27 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
     links = written(confirmed(best, classes, docs, words), "near-links")
     found = written(components(links), "near-components")
 
-    rest = stars.drop("keys").join(best.select("u", "v"), ["u", "v"], "left_anti")
-    rest = written(_across(rest, found), "near-rest")
-    more = written(confirmed(rest, classes, docs, words), "near-links")
-    links = links.union(more)
-    found = written(components(links), "near-components")
-
-    # buckets that still hold several components
-    labelled = _labelled(members.select("key", "node"), found)
-    mixed = (
-        labelled.groupBy("key")
-        .agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_n"))
-        .where("_a != _b and _n > 2")  # of two members the pair has been confirmed already
-        .select("key")
-    )
-    open_ = written(
-        labelled.join(mixed, "key").join(about, "node"), "near-open"
-    )
-    a, b = open_.alias("a"), open_.alias("b")
-    crossing = a.join(
-        b,
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.component") < F.col("b.component"))
-        & _may_reach("a", "b"),
-    ).select(*_pair_columns("a", "b")).distinct()
-    done = stars.select("u", "v")
-    done = done.union(done.select("v", "u"))
-    crossing = written(crossing.join(done, ["u", "v"], "left_anti"), "near-crossing")
-    links = links.union(confirmed(crossing, classes, docs, words))
-    found = components(links)
+    done = best.select("u", "v")
+    while True:
+        labelled = _labelled(members.select("key", "node"), found)
+        open_ = written(_mixed_buckets(labelled), "near-open")
+        if open_.isEmpty():
+            break
+        pairs = written(_next_stars(open_, about, done), "near-best")
+        if pairs.isEmpty():
+            break
+        new = written(confirmed(pairs, classes, docs, words), "near-links")
+        done = written(done.union(pairs.select("u", "v")), "near-done")
+        links = links.union(new)
+        if WORTHWHILE * new.count() < pairs.count():
+            break
+        found = written(components(links), "near-components")
+    if not open_.isEmpty():
+        found = written(components(links), "near-components")
+        open_ = _mixed_buckets(_labelled(members.select("key", "node"), found))
+        crossing = written(_crossing(open_, about, docs, done, words), "near-crossing")
+        links = links.union(confirmed(crossing, classes, docs, words))
+        found = components(links)
 
     of_class = _labelled(classes.select("node", "digest"), found).select("digest", "component")
     by_class = rows.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
@@ -282,16 +278,98 @@ def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    of_u = found.select(F.col("node").alias("u"), F.col("component").alias("_cu"))
-    of_v = found.select(F.col("node").alias("v"), F.col("component").alias("_cv"))
-    return (
-        pairs.join(of_u, "u", "left")
-        .join(of_v, "v", "left")
-        .where(F.coalesce("_cu", "u") != F.coalesce("_cv", "v"))
-        .drop("_cu", "_cv")
+def _mixed_buckets(labelled: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their bucket's leader:
+    the least node of the least component."""
+    least = F.min(F.struct("component", "node"))
+    mixed = (
+        labelled.groupBy("key")
+        .agg(least.alias("_first"), F.max("component").alias("_last"))
+        .where("_first.component != _last")
+        .select("key", F.col("_first.component").alias("of"), F.col("_first.node").alias("leader"))
+    )
+    return labelled.join(mixed, "key")
+
+
+def _next_stars(open_: DataFrame, about: DataFrame, done: DataFrame) -> DataFrame:
+    """For each node its best leader of another component that it was not compared with."""
+    l, r = about.alias("l"), about.alias("r")
+    stars = (
+        open_.where("component != of")
+        .groupBy(F.col("node").alias("u"), F.col("leader").alias("v"))
+        .agg(F.count("*").alias("keys"))
+        .join(done, ["u", "v"], "left_anti")
+    )
+    possible = (
+        stars.join(l, F.col("u") == F.col("l.node"))
+        .join(r, F.col("v") == F.col("r.node"))
+        .where(_may_reach("l", "r"))
+    )
+    chosen = F.struct("v", F.col("l.digest").alias("u_digest"), F.col("r.digest").alias("v_digest"))
+    best = possible.groupBy("u").agg(
+        F.max_by(chosen, F.struct("keys", -F.col("v"))).alias("_b")
+    )
+    return best.select("u", "_b.*")
+
+
+def _crossing(
+    open_: DataFrame, about: DataFrame, docs: DataFrame, done: DataFrame, words: int
+) -> DataFrame:
+    """The pairs across components, among the members of mixed buckets, that nothing rules out.
+
+    Shingles are put in one order, rare ones first. Two sets with the similarity have their
+    first common shingle early in both: what follows it must be enough for the overlap. So
+    only the beginnings of the sets are joined, and copies of one text that each have a few
+    changes of their own are not paired by what they all have in common.
+    """
+    nodes = written(open_.select("node", "component").distinct().join(about, "node"), "near-nodes")
+    few = nodes.count() <= BROADCAST_PAIRS
+    wanted = nodes.select(F.col("node").alias("doc_id"), F.col("digest").alias("_of"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
+
+    def make():
+        def work(rows):
+            sets = shingle_sets(rows, words)
+            return [(xxhash.xxh3_128_digest(s.tobytes()), s.view(np.int64).tolist()) for s in sets]
+
+        return work
+
+    sets = map_rows(texts, make, "_digest binary, set array<long>").where("_digest = _of")
+    shingles = written(
+        sets.dropDuplicates(["doc_id"]).select(
+            F.col("doc_id").alias("node"), F.explode("set").alias("shingle")
+        ),
+        "near-shingles",
+    )
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("_f")).where("_f > 1")
+    order = Window.partitionBy("node").orderBy(F.coalesce("_f", F.lit(1)), "shingle")
+    n, at = F.col("n_shingles"), F.col("at")
+    begins = (
+        shingles.join(common, "shingle", "left")
+        .withColumn("at", F.row_number().over(order) - 1)
+        .where("_f is not null")
+        .join(nodes, "node")
+        .where(at <= n - F.ceil(n * SIMILARITY / 100))
+    )
+    begins = written(begins, "near-beginnings")
+    a, b = begins.alias("a"), begins.alias("b")
+    left = F.least(
+        F.col("a.n_shingles") - F.col("a.at"), F.col("b.n_shingles") - F.col("b.at")
+    )
+    both = F.col("a.n_shingles") + F.col("b.n_shingles")
+    pairs = (
+        a.join(
+            b,
+            (F.col("a.shingle") == F.col("b.shingle"))
+            & (F.col("a.component") < F.col("b.component"))
+            & ((100 + SIMILARITY) * left >= SIMILARITY * both)
+            & _may_reach("a", "b"),
+        )
+        .select(*_pair_columns("a", "b"))
+        .distinct()
     )
+    known = done.union(done.select("v", "u"))
+    return pairs.join(known, ["u", "v"], "left_anti")
 
 
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
