@@ -12,8 +12,10 @@ from carequeue.llm import (
     mixing,
     near_duplicates,
     personal_data,
+    quality,
     sentencepiece_spans,
     token_counts,
+    winnowing,
 )
 from carequeue.llm.oracle import LLM_ORACLE
 from carequeue.sources.tables import load_table
@@ -53,10 +55,18 @@ def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents(spark, folder))
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(documents(spark, folder), load_table(spark, folder, "labels"))
+
+
 def op7_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return fertility.quality_rules(documents(spark, folder), tokenizer_path(PIECE_MODEL))
 
 
+def op8_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.fingerprinted_documents(documents(spark, folder))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.counted_documents(documents(spark, folder), tokenizer_path(WORD_MODEL))
 
@@ -79,7 +89,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_personal_data": op2_personal_data,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_quality": op6_quality,
     "op7_fertility": op7_fertility,
+    "op8_winnowing": op8_winnowing,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
 }
