@@ -14,6 +14,7 @@ from carequeue.llm import (
     personal_data,
     quality,
     sentencepiece_spans,
+    suffix_dedup,
     token_counts,
     winnowing,
 )
@@ -45,6 +46,10 @@ def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.personal_data(documents(spark, folder))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicated(documents(spark, folder))
+
+
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_spans.encoded_documents(
         documents(spark, folder), tokenizer_path(PIECE_MODEL)
@@ -87,6 +92,7 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_personal_data": op2_personal_data,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality": op6_quality,
