@@ -5,7 +5,7 @@ document with a smaller id or further ahead in the same one.
 
 *Sparse suffixes.* In each string of ``LENGTH`` bytes one gram of ``GRAM`` bytes is chosen:
 the one with the least hash, the rightmost of equals. Equal strings choose equal grams, so
-only suffixes at chosen grams are indexed, about 1 in 39. Neighbouring strings mostly
+only suffixes at chosen grams are indexed, about 1 in 35. Neighbouring strings mostly
 choose the same gram; such a run of strings is one entry: hash of the gram, hash of all
 the run's bytes, document, first start, number of strings.
 
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,11 @@ from carequeue.llm.hashed_words import BASE, BYTE_VALUES, mix
 from carequeue.operators.shared import delete_table, new_path, written
 
 LENGTH = 100
-GRAM = 24
+GRAM = 32
 BATCHES = 3
+#: Ids of documents with any finding up to this number go to all tasks (8 bytes each), so
+#: that only those documents' texts are shuffled; beyond it all texts are.
+BROADCAST_KEYS = 1_000_000
 #: Strings of text that one bucket of the index and of the edges is made for.
 BUCKET_BYTES = 8 << 20
 PIECE = 1 << 18
@@ -67,9 +71,8 @@ def rolling_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     for n in (1, 2, 4, 8, 16, 32):
         h[2 * n] = joined(h[n], n, h[n], n)
-    h24 = joined(h[16], 16, h[8], 8)
     h96 = joined(h[64], 64, h[32], 32)
-    return h24, joined(h96, 96, h[4], 4)
+    return h[GRAM], joined(h96, 96, h[4], 4)
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -93,8 +96,8 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def runs(data: np.ndarray, parts: np.ndarray):
     """The runs of strings: text, start, number of strings, gram and run hashes."""
-    h24, h100 = rolling_hashes(data)
-    order = (mix(h24) >> _PLACE_BITS) << _PLACE_BITS
+    grams, h100 = rolling_hashes(data)
+    order = (mix(grams) >> _PLACE_BITS) << _PLACE_BITS
     order |= _PLACES - np.arange(len(order), dtype=np.uint64)
     least, width = order, 1
     while 2 * width <= _GRAMS:
@@ -117,12 +120,18 @@ def runs(data: np.ndarray, parts: np.ndarray):
     begin = at[first]
     part = parts[np.searchsorted(parts[:, 2], begin, "right") - 1]
     run = mix(mix(h100[begin] + number.astype(np.uint64)) * np.uint64(3) + h100[begin + number - 1])
-    gram = mix(h24[chosen[first]] * np.uint64(5))
+    gram = mix(grams[chosen[first]] * np.uint64(5))
     return part[:, 0], part[:, 1] + begin - part[:, 2], number, gram, run
 
 
 # entries in blobs, column by column and byte by byte so that they compress ---------------
-_FIELDS = (("gram", np.uint32, 4), ("run", np.uint64, 6), ("key", np.int64, 8), ("start", np.uint64, 5), ("number", np.uint8, 1))
+_FIELDS = (
+    ("gram", np.uint32, 4),
+    ("run", np.uint64, 6),
+    ("key", np.int64, 8),
+    ("start", np.uint64, 5),
+    ("number", np.uint8, 1),
+)
 
 
 def pack(entries: dict[str, np.ndarray]) -> bytes:
@@ -330,7 +339,7 @@ def _strings(docs: DataFrame, buckets: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             keys = batch.column("_key").to_pylist()
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            texts = map(zstandard.decompress, batch.column("packed").to_pylist())
             hashed, key, start = [], [], []
             for k, text, edges in zip(keys, texts, batch.column("edges").to_pylist()):
                 for e in edges or ():
@@ -351,7 +360,7 @@ def _strings(docs: DataFrame, buckets: int) -> DataFrame:
             h, key, start = mix(np.concatenate(values)), np.concatenate(key), np.concatenate(start)
             bucket = (h >> np.uint64(32)) % np.uint64(buckets)
             entries = {
-                "gram": (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), "run": h >> np.uint64(16),
+                "gram": (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), "run": h >> np.uint64(32),
                 "key": key, "start": start, "number": np.ones(len(h), np.uint8),
             }
             order = np.lexsort((start, key, h, entries["gram"], bucket))
@@ -404,7 +413,8 @@ def removed_spans(n: int, dups: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _results(rows: DataFrame, extra: list[str], touched: bool) -> DataFrame:
     """Figures of each document from its text and the repeated strings in ``dups``.
 
-    ``touched`` also gives back text and edges of documents that have edges.
+    ``touched`` also gives back the packed text and edges of documents that have edges.
+    Otherwise texts may come packed.
     """
     schema = "_key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += "".join(f", {e}" for e in extra)
@@ -414,9 +424,9 @@ def _results(rows: DataFrame, extra: list[str], touched: bool) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 if touched and r["edges"]:
-                    out.append((r["_key"], r["doc_id"], None, None, None, None, r["text"] or "", r["edges"], r["dups"]))
+                    out.append((r["_key"], r["doc_id"], None, None, None, None, zstandard.compress((r["text"] or "").encode()), r["edges"], r["dups"]))
                     continue
-                data = (r["text"] or "").encode()
+                data = zstandard.decompress(r["packed"]) if "packed" in r else (r["text"] or "").encode()
                 spans = removed_spans(len(data), [(d["start"], d["length"]) for d in r["dups"] or ()])
                 kept, done = [], 0
                 for a, b in spans:
@@ -438,8 +448,8 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
 def _rows_batch(out: list[tuple], touched: bool) -> pa.RecordBatch:
-    types = [pa.int64()] * 5 + [pa.string()] + [pa.string(), _SPAN, _SPAN] * touched
-    names = ["_key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text", "edges", "dups"] * touched
+    types = [pa.int64()] * 5 + [pa.string()] + [pa.binary(), _SPAN, _SPAN] * touched
+    names = ["_key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["packed", "edges", "dups"] * touched
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
 
@@ -463,23 +473,29 @@ def deduplicated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         rows = _stored(spark, path).where(F.col("kind") != ENTRIES)
         found = rows if found is None else found.union(rows)
     spans = _by_document(found, DUP, "dups").join(_by_document(found, EDGE, "edges"), "key", "full")
-    joined = docs.join(spans.withColumnRenamed("key", "_key"), "_key", "left").select(
-        "_key", "doc_id", "text", "dups", "edges"
-    )
+    keys = written(found.select(F.col("key").alias("_key")).distinct(), "suffix-keys")
+    few = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     kinds = "array<struct<start:bigint,length:bigint>>"
+    clean = docs.join(few, "_key", "left_anti").withColumn("dups", F.lit(None).cast(kinds))
+    joined = (
+        docs.join(few, "_key", "left_semi")
+        .join(spans.withColumnRenamed("key", "_key"), "_key", "left")
+        .select("_key", "doc_id", "text", "dups", "edges")
+    )
     first = written(
-        _results(joined, ["text string", f"edges {kinds}", f"dups {kinds}"], True), "suffix-first"
+        _results(joined, ["packed binary", f"edges {kinds}", f"dups {kinds}"], True), "suffix-first"
     )
-    result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    touched = first.where("text is not null").select("_key", "doc_id", "text", "edges", "dups")
-    more = _strings(touched.select("_key", "text", "edges"), buckets)
+    touched = first.where("packed is not null").select("_key", "doc_id", "packed", "edges", "dups")
+    more = _strings(touched.select("_key", "packed", "edges"), buckets)
     more = more.groupBy("bucket").applyInArrow(_first_strings(buckets), ROWS)
     more = _by_document(more, DUP, "more").withColumnRenamed("key", "_key")
     none = F.array().cast(kinds)
     rest = touched.join(more, "_key", "left").select(
         "_key",
         "doc_id",
-        "text",
+        "packed",
         F.concat(F.coalesce("dups", none), F.coalesce("more", none)).alias("dups"),
     )
-    return first.where("text is null").select(*result).union(_results(rest, [], False).select(*result))
+    result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    parts = [_results(clean, [], False), first.where("packed is null"), _results(rest, [], False)]
+    return parts[0].select(*result).union(parts[1].select(*result)).union(parts[2].select(*result))
