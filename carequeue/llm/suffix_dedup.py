@@ -38,6 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carequeue.llm.batches import ROWS_AT_ONCE
 from carequeue.llm.hashed_words import BASE, BYTE_VALUES, mix
 from carequeue.operators.shared import delete_table, new_path, written
 
@@ -51,6 +52,7 @@ BROADCAST_KEYS = 1_000_000
 BUCKET_BYTES = 8 << 20
 PIECE = 1 << 18
 LOCALLY_HOT = 8
+RUNS_AT_ONCE = 400_000
 _FLAG = 128
 _PLACE_BITS = np.uint64(24)
 _PLACES = np.uint64((1 << 24) - 1)
@@ -187,23 +189,39 @@ def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
+def _slices(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def suffix_arrays(docs: DataFrame, buckets: int) -> DataFrame:
     """Sorted entries of the documents of each task by bucket; repeats inside it at once."""
 
+    def parts(batches):
+        """Keys and runs of about ``RUNS_AT_ONCE`` runs, however long the texts are."""
+        made, n = [], 0
+        for part in _slices(batches):
+            keys = part.column("_key").to_numpy(zero_copy_only=False)
+            texts = [(t or "").encode() for t in part.column("text").to_pylist()]
+            for piece in pieces(texts):
+                row, *rest = runs(*piece)
+                made.append((keys[row], *rest))
+                n += len(row)
+                if n >= RUNS_AT_ONCE:
+                    yield made
+                    made, n = [], 0
+        if made:
+            yield made
+
     def work(batches):
-        for batch in batches:
-            keys = batch.column("_key").to_numpy(zero_copy_only=False)
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            made = [runs(*p) for p in pieces(texts)]
-            del texts
-            if not made:
-                continue
-            row, start, number, gram, run = (np.concatenate(c) for c in zip(*made))
+        for made in parts(batches):
+            key, start, number, gram, run = (np.concatenate(c) for c in zip(*made))
             del made
             bucket = (gram >> np.uint64(32)) % np.uint64(buckets)
             entries = {
                 "gram": gram.astype(np.uint32), "run": run & np.uint64((1 << 48) - 1),
-                "key": keys[row], "start": start, "number": number.astype(np.uint8),
+                "key": key, "start": start, "number": number.astype(np.uint8),
             }
             order = np.lexsort((start, entries["key"], entries["run"], entries["gram"], bucket))
             entries, bucket = _taken(entries, order), bucket[order]
@@ -336,18 +354,26 @@ def _entries(spark, path: str) -> DataFrame:
 def _strings(docs: DataFrame, buckets: int) -> DataFrame:
     """The strings of edge runs by bucket of their hash, repeats inside a task at once."""
 
+    def parts(batches):
+        """Bytes of edge runs with key, start and number, about ``RUNS_AT_ONCE`` strings."""
+        found, n = [], 0
+        for part in _slices(batches):
+            for r in part.to_pylist():
+                text = zstandard.decompress(r["packed"])
+                for e in r["edges"]:
+                    s, number = e["start"], e["length"]
+                    piece = np.frombuffer(text[s : s + number + LENGTH - 1], np.uint8)
+                    found.append((piece, r["_key"], s, number))
+                    n += number
+                if n >= RUNS_AT_ONCE:
+                    yield found
+                    found, n = [], 0
+        if found:
+            yield found
+
     def work(batches):
-        for batch in batches:
-            keys = batch.column("_key").to_pylist()
-            texts = map(zstandard.decompress, batch.column("packed").to_pylist())
-            hashed, key, start = [], [], []
-            for k, text, edges in zip(keys, texts, batch.column("edges").to_pylist()):
-                for e in edges or ():
-                    s, n = e["start"], e["length"]
-                    piece = np.frombuffer(text[s : s + n + LENGTH - 1], np.uint8)
-                    hashed.append((piece, k, s, n))
-            if not hashed:
-                continue
+        for hashed in parts(batches):
+            key, start = [], []
             values = []
             for i in range(0, len(hashed), 512):
                 group = hashed[i : i + 512]
@@ -420,9 +446,9 @@ def _results(rows: DataFrame, extra: list[str], touched: bool) -> DataFrame:
     schema += "".join(f", {e}" for e in extra)
 
     def work(batches):
-        for batch in batches:
+        for part in _slices(batches):
             out = []
-            for r in batch.to_pylist():
+            for r in part.to_pylist():
                 if touched and r["edges"]:
                     out.append((r["_key"], r["doc_id"], None, None, None, None, zstandard.compress((r["text"] or "").encode()), r["edges"], r["dups"]))
                     continue
@@ -435,9 +461,6 @@ def _results(rows: DataFrame, extra: list[str], touched: bool) -> DataFrame:
                 kept = b"".join([*kept, data[done:]])
                 made = (r["_key"], r["doc_id"], len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
                 out.append(made + (None, None, None) * touched)
-                if len(out) >= 500:
-                    yield _rows_batch(out, touched)
-                    out = []
             if out:
                 yield _rows_batch(out, touched)
 
