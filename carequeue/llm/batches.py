@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 ROWS_AT_ONCE = 256
+BYTES_AT_ONCE = 1 << 20
+
+
+def parts_of(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with some rows and about some bytes of text at most; a text that
+    is longer is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = int(np.searchsorted(ends, before + BYTES_AT_ONCE, "right"))
+        stop = max(at + 1, min(stop, at + ROWS_AT_ONCE))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def map_rows(
@@ -32,8 +49,7 @@ def map_rows(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in parts_of(batch, text):
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 made = list(zip(*fn(texts), strict=True))
                 arrays = [part.column(c) for c in kept]

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carequeue.llm.batches import ROWS_AT_ONCE
+from carequeue.llm.batches import parts_of
 from carequeue.llm.hashed_words import BASE, BYTE_VALUES, mix
 from carequeue.operators.shared import delete_table, new_path, written
 
@@ -191,8 +191,7 @@ def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _slices(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(at, ROWS_AT_ONCE)
+        yield from parts_of(batch, "packed" if "packed" in batch.schema.names else "text")
 
 
 def suffix_arrays(docs: DataFrame, buckets: int) -> DataFrame:
