@@ -27,8 +27,8 @@ class Scenario(NamedTuple):
 
 
 DEFAULT_SCENARIOS = (Scenario(1),)
-BACKLOG_WEEKS = 51
-TIMELINE_WEEKS = 52
+#: Weeks that one row of a block stands for before it is spread out.
+WEEKS_IN_BLOCK = 1000
 
 
 def _new_capacity(baseline: Column, uplift: Column) -> Column:
@@ -190,12 +190,20 @@ def capacity_impact(
     )
 
 
-def _week_rows(rows: DataFrame, weeks: Column) -> DataFrame:
-    last = F.greatest(weeks, F.lit(0)).cast("int")
-    numbers = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(
-        F.array().cast("array<int>")
+def _week_rows(rows: DataFrame, weeks: Column, max_weeks: int | None) -> DataFrame:
+    """A row for each week up to the last. Blocks of weeks are dealt out before they are
+    spread, so that a long horizon does not come from one task."""
+    last = weeks if max_weeks is None else F.least(weeks, F.lit(max_weeks))
+    rows = rows.withColumn("_last", F.greatest(last, F.lit(0)).cast("int"))
+    blocks = F.sequence(F.lit(0), F.expr(f"(_last - 1) div {WEEKS_IN_BLOCK}").cast("int"))
+    dealt = (
+        rows.where("_last > 0")
+        .withColumn("_block", F.explode(blocks))
+        .repartition("_block", *[f"`{c}`" for c in rows.columns])
     )
-    return rows.select("*", F.explode(numbers).alias("week"))
+    first = F.col("_block") * WEEKS_IN_BLOCK
+    numbers = F.sequence(first + 1, F.least(first + WEEKS_IN_BLOCK, F.col("_last")))
+    return dealt.withColumn("week", F.explode(numbers)).drop("_last", "_block")
 
 
 def _left_after(capacity: str) -> Column:
@@ -208,11 +216,15 @@ def weekly_backlog(
     df: DataFrame,
     scenarios: Sequence[Scenario] = DEFAULT_SCENARIOS,
     by: Sequence[str] = (),
+    max_weeks: int | None = None,
 ) -> DataFrame:
-    """Patients still waiting after each week, before and after the uplift."""
+    """Patients still waiting after each week, before and after the uplift.
+
+    All weeks until the backlog is cleared; ``max_weeks`` shortens what is shown.
+    """
     rows = _over_scenarios(df, scenarios, by)
-    weeks = F.least(_weeks("total_patients", "baseline_capacity"), F.lit(BACKLOG_WEEKS))
-    return _week_rows(rows, weeks).select(
+    weeks = _weeks("total_patients", "baseline_capacity")
+    return _week_rows(rows, weeks, max_weeks).select(
         *by,
         "scenario_id",
         "week",
@@ -225,11 +237,12 @@ def backlog_timeline(
     df: DataFrame,
     scenarios: Sequence[Scenario] = DEFAULT_SCENARIOS,
     by: Sequence[str] = (),
+    max_weeks: int | None = None,
 ) -> DataFrame:
-    """As the weekly backlog, up to five weeks past clearance and a year at most."""
+    """As the weekly backlog, up to five weeks past clearance."""
     rows = _over_scenarios(df, scenarios, by)
-    weeks = F.least(_weeks("total_patients", "baseline_capacity") + 5, F.lit(TIMELINE_WEEKS))
-    return _week_rows(rows, weeks).select(
+    weeks = _weeks("total_patients", "baseline_capacity") + 5
+    return _week_rows(rows, weeks, max_weeks).select(
         *by,
         "scenario_id",
         "week",

@@ -38,15 +38,17 @@ def lookup_terms(df: DataFrame, column: str = "search") -> DataFrame:
     )
 
 
-def suggest_questions(df: DataFrame, column: str = "typed") -> DataFrame:
-    """Up to five suggestions per typed text, one row each, in list order."""
+def suggest_questions(
+    df: DataFrame, column: str = "typed", shown_at_most: int = SUGGESTIONS_SHOWN
+) -> DataFrame:
+    """Up to ``shown_at_most`` suggestions per typed text, one row each, in list order."""
     listed = ", ".join(
         f"named_struct('text', '{s}', 'lowered', '{s.lower()}')" for s in V.SUGGESTIONS
     )
     shown = F.expr(
         f"""if(length({column}) >= 2, slice(
             filter(array({listed}), s -> contains(s.lowered, _text) and s.lowered <> _text),
-            1, {SUGGESTIONS_SHOWN}), null)"""
+            1, {shown_at_most}), null)"""
     )
     return (
         df.withColumn("_text", F.lower(column))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carequeue.functions.scoring import spread, to_percent, with_efficiency_label
+from carequeue.operators.normalize import to_number
 from carequeue.operators.shared import written
 
 NUMERIC = ["age", "los", "cost_estimate", "cancel_risk", "priority_score"]
@@ -46,7 +47,7 @@ def training_rows(df: DataFrame) -> DataFrame:
     """
     labelled = with_efficiency_label(df)
     numbers = {
-        _feature(c): F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in [*NUMERIC, *STAFFING]
+        _feature(c): F.coalesce(to_number(F.col(c)), F.lit(0.0)) for c in [*NUMERIC, *STAFFING]
     }
     names = {
         _feature(c): F.coalesce(F.col(c), F.lit(NO_VALUE)) for c in CATEGORIES if c in df.columns

@@ -27,7 +27,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     doubles = [
         f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
     ]
-    return df.withColumns({c: F.expr(f"nullif({c}, double('NaN'))") for c in doubles})
+    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in doubles})
 
 
 def parse_age_band(df: DataFrame) -> DataFrame:
@@ -63,6 +63,7 @@ def normalize_patients(df: DataFrame, *id_order: Column | str) -> DataFrame:
     ``id_order`` decides the numbering where the input has no ``patient_id``.
     """
     df = nan_to_null(df)
+    numbered = "patient_id" in df.columns and "age" in df.columns
     if "patient_id" not in df.columns:
         df = add_patient_ids(df, *id_order)
     if "age" in df.columns:
@@ -74,8 +75,10 @@ def normalize_patients(df: DataFrame, *id_order: Column | str) -> DataFrame:
         df = df.withColumn("age", F.lit(V.DEFAULT_AGE))
     df = df.withColumn("specialty", rename_specialty())
     seasons = F.array(*[F.lit(s) for s in V.SEASONS])
+    # without planned patients the layout with age bands has no staffing terms
+    planned = {"planned_count": F.lit(V.DEFAULT_PLANNED_COUNT)} if numbered else {}
     defaults = {
-        "planned_count": F.lit(V.DEFAULT_PLANNED_COUNT),
+        **planned,
         "cancel_risk": F.lit(V.DEFAULT_CANCEL_RISK),
         "los": F.lit(V.DEFAULT_LOS),
         "cost_estimate": F.lit(V.DEFAULT_COST),

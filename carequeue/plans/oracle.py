@@ -154,6 +154,10 @@ questions as (
   from patients
 )"""
 
+# Whole texts as questions.
+SAID = "questions as (select conv_id * 100000 + turn as question_id, text as question from conversations)"
+WRITTEN = "questions as (select doc_id as question_id, text as question from documents)"
+
 TYPED = (
     "typed_as as (select *, case "
     + " ".join(
@@ -445,7 +449,7 @@ ORACLE: dict[str, str] = {
     "sql_passthrough": _scored(
         """select specialty, gender, count(*) as patient_count,
              round(avg(readmit_risk), 6) as avg_readmit_risk
-           from scored where wait_days >= 60 group by specialty, gender"""
+           from scored group by specialty, gender"""
     ),
     "season_of_date": """select o_orderkey,
         case when month(o_orderdate) in (12, 1, 2) then 'Winter'
@@ -744,7 +748,7 @@ ORACLE: dict[str, str] = {
             ceil(queue_position / new_capacity) as new_week from ranked, scenarios s)""",
         """lengths as (select scenario_id, max(old_week) as last_week from placed group by all)""",
         """numbered as (select scenario_id,
-          unnest(range(1, cast(least(last_week, 51) as int) + 1)) as week from lengths)""",
+          unnest(range(1, cast(last_week as int) + 1)) as week from lengths)""",
         select="""select n.scenario_id, cast(n.week as int) as week,
             count(*) filter (p.old_week > n.week) as baseline_backlog,
             count(*) filter (p.new_week > n.week) as new_backlog
@@ -828,8 +832,7 @@ ORACLE: dict[str, str] = {
         """select specialty, scenario_id, cast(week as int) as week,
              greatest(0, n - week * baseline_capacity) as current_remaining,
              greatest(0, n - week * new_capacity) as new_remaining
-           from (select *, unnest(range(1, least(cast(ceil(n / baseline_capacity) as bigint) + 5,
-                   52) + 1)) as week
+           from (select *, unnest(range(1, cast(ceil(n / baseline_capacity) as bigint) + 6)) as week
                  from (select specialty, count(*) as n from scored group by specialty),
                    scenarios)"""
     ),
@@ -872,6 +875,24 @@ ORACLE: dict[str, str] = {
         ROUTED,
         select="select question_id, question, question_type, report from routed",
     ),
+    "route_conversations": _over(
+        SAID, TYPED, ROUTED, select="select question_id, question_type, report from routed"
+    ),
+    "extract_conversations": _over(
+        SAID,
+        TYPED,
+        ROUTED,
+        PARAMETERS,
+        select="""select question_id, percentage,
+            nullif(array_to_string(number_list, '|'), '') as numbers,
+            baseline_capacity, risk_weight, threshold,
+            nullif(array_to_string(specialty_list, '|'), '') as specialties,
+            nullif(array_to_string(season_list, '|'), '') as seasons,
+            age, age_min, age_max, age_group from parameters""",
+    ),
+    "route_documents": _over(
+        WRITTEN, TYPED, ROUTED, select="select question_id, question_type, report from routed"
+    ),
     "answer_questions": _over(
         SCORED,
         ASKED,

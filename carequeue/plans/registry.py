@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +32,10 @@ REDUCTIONS = (5.0, 15.0, 20.0, 37.5)
 SCHEDULE = ["patient_id", "priority_score", "wait_days"]
 
 
-@lru_cache(maxsize=16)
 def patients(spark: SparkSession, folder: str) -> DataFrame:
-    """The same unevaluated DataFrame for every query of a session, as one would write it."""
     return N.normalize_patients(raw_patients(spark, folder))
 
 
-@lru_cache(maxsize=16)
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     return S.score_patients(patients(spark, folder))
 
@@ -107,7 +103,7 @@ def sql_passthrough(spark: SparkSession, folder: str) -> DataFrame:
         scored(spark, folder),
         """select specialty, gender, count(*) as patient_count,
                   round(avg(readmit_risk), 6) as avg_readmit_risk
-           from patients where wait_days >= 60 group by specialty, gender""",
+           from patients group by specialty, gender""",
     )
 
 
@@ -135,6 +131,37 @@ def extract_parameters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _said(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn of the conversations as a question, whole texts."""
+    number = F.col("conv_id") * 100_000 + F.col("turn")
+    return load_table(spark, folder, "conversations").select(
+        number.alias("question_id"), F.col("text").alias("question")
+    )
+
+
+def _written_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return load_table(spark, folder, "documents").select(
+        F.col("doc_id").alias("question_id"), F.col("text").alias("question")
+    )
+
+
+def route_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return Q.route_questions(_said(spark, folder)).select("question_id", "question_type", "report")
+
+
+def route_documents(spark: SparkSession, folder: str) -> DataFrame:
+    routed = Q.route_questions(_written_texts(spark, folder))
+    return routed.select("question_id", "question_type", "report")
+
+
+def extract_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    numbers = F.array_join(F.col("numbers").cast("array<string>"), "|").alias("numbers")
+    return Q.extract_parameters(_said(spark, folder)).select(
+        "question_id", "percentage", numbers, "baseline_capacity", "risk_weight", "threshold",
+        _joined("specialties"), _joined("seasons"), "age", "age_min", "age_max", "age_group",
+    )
+
+
 def answer_questions(spark: SparkSession, folder: str) -> DataFrame:
     people = scored(spark, folder)
     answers = Q.answer_questions(A.patient_questions(people), people)
@@ -258,6 +285,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classify_questions": _questions(Q.classify_questions),
     "extract_parameters": extract_parameters,
     "route_questions": _questions(Q.route_questions),
+    "route_conversations": route_conversations,
+    "extract_conversations": extract_conversations,
+    "route_documents": route_documents,
     "answer_questions": answer_questions,
     "format_answers": format_answers,
     # classifier

@@ -15,7 +15,8 @@ def read_patients(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame
     """
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
-    reader = spark.read.option("header", True)
+    # a file whose header differs from the others' is an error, never read by position
+    reader = spark.read.option("header", True).option("enforceSchema", False)
     return reader.schema(schema_of(reader.csv(path).columns)).csv(path)
 
 

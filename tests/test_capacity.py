@@ -103,8 +103,11 @@ def test_weekly_backlog(patients):
 
 def test_horizons(spark):
     many = spark.range(6000).withColumnRenamed("id", "patient_id")
-    assert C.weekly_backlog(many, [Scenario(1, 100, 0)]).count() == 51
-    assert C.backlog_timeline(many, [Scenario(1, 100, 0)]).count() == 52
+    assert C.weekly_backlog(many, [Scenario(1, 100, 0)]).count() == 60
+    assert C.backlog_timeline(many, [Scenario(1, 100, 0)]).count() == 65
+    assert C.backlog_timeline(many, [Scenario(1, 100, 0)], max_weeks=52).count() == 52
+    weeks = [r.week for r in C.weekly_backlog(many, [Scenario(1, 2, 0)]).collect()]
+    assert sorted(weeks) == list(range(1, 3001))
     assert C.backlog_timeline(many, [Scenario(1, 1000, 0)]).count() == 11
     backlog = [r.new_backlog for r in C.weekly_backlog(many).orderBy("week").collect()]
     assert backlog == sorted(backlog, reverse=True)

@@ -125,3 +125,21 @@ def test_ids_are_one_to_n(spark, n):
     df = spark.range(n).selectExpr("id * 7 as v")
     ids = sorted(r.patient_id for r in N.add_patient_ids(df, "v").collect())
     assert ids == list(range(1, n + 1))
+
+
+def test_bands_without_planned_count_have_no_staffing_terms(spark):
+    from carequeue.functions.scoring import score_patients
+    from carequeue.operators.normalize import normalize_patients
+
+    row = (1, "65-84", "ENT", "Summer", 1.0, 1000.0, 0.1, 1.0, 1.0, 2.0)
+    names = "patient_id age_band specialty season los cost_estimate cancel_risk doctors_fte nurses_fte total_fte"
+    bands = spark.createDataFrame([row], names.split())
+    scored = score_patients(normalize_patients(bands).withColumn("age", F.lit(60))).first()
+    assert round(scored.readmit_risk, 6) == 0.02
+
+
+def test_double_flags_with_spaces_in_names(spark):
+    from carequeue.operators.normalize import nan_to_null
+
+    df = spark.createDataFrame([(1.0,), (float("nan"),)], ["specialty_General Surgery"])
+    assert [r[0] for r in nan_to_null(df).collect()] == [1.0, None]

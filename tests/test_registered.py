@@ -6,9 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from carequeue.plans.oracle import ORACLE
+from carequeue.plans.registry import QUERIES as REGISTERED
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ["orders", "customer", "lineitem"]
+TABLES = ["orders", "customer", "lineitem", "conversations", "documents"]
 DUCK_TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
     "boolean": "BOOLEAN",
@@ -16,7 +18,7 @@ DUCK_TYPES = {
 # fitted by iteration, so there is no SQL for them
 WITHOUT_SQL = {"efficiency_model", "efficiency_model_lr", "efficiency_metrics", "feature_importance"}
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = REGISTERED, ORACLE
 
 
 @pytest.fixture(scope="module")
