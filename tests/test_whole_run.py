@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from carequeue.operators import questions as Q
@@ -74,26 +73,25 @@ def test_questions_share_one_hot_request(spark):
     assert counts == {"average_wait_time": 3000 * 18 * 2, "high_risk_patients": 6000 * 18 * 3}
 
 
-class FakeSession:
-    def __init__(self, master, folder=None, checkpoint=None):
-        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-        self.master, self.checkpoint = master, checkpoint
-        self.sparkContext = self
+def test_shared_folder_rules(spark):
+    class Conf:
+        def __init__(self, **values):
+            self.values = values
 
-    def getCheckpointDir(self):
-        return self.checkpoint
+        def get(self, key, default=None):
+            return self.values.get(key.removeprefix("spark.").replace(".", "_"), default)
 
-    def setCheckpointDir(self, folder):
-        self.checkpoint = folder
+    class Session:
+        def __init__(self, checkpoint=None, **values):
+            self.conf = Conf(**values)
+            self.sparkContext = self
+            self.getCheckpointDir = lambda: checkpoint
 
-
-def test_shared_folder_rules():
-    assert shared_folder(FakeSession("yarn", folder="hdfs:/x")) == "hdfs:/x"
-    assert shared_folder(FakeSession("yarn", checkpoint="hdfs:/y")) == "hdfs:/y"
-    with pytest.raises(RuntimeError):
-        shared_folder(FakeSession("yarn"))
-    local = FakeSession("local[2]")
-    assert shared_folder(local) == shared_folder(local) == local.checkpoint
+    stored = {"sql_warehouse_dir": "hdfs:/w/"}
+    assert shared_folder(Session(checkpoint_dir="hdfs:/x", **stored)) == "hdfs:/x"
+    assert shared_folder(Session(checkpoint="hdfs:/y", **stored)) == "hdfs:/y"
+    assert shared_folder(Session(**stored)) == "hdfs:/w/_intermediate"
+    assert shared_folder(Session(checkpoint_dir="hdfs:/x"), "hdfs:/given") == "hdfs:/given"
 
 
 def test_sort_merge_path_gives_the_same_answers(spark, tmp_path):
