@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carequeue.llm.batches import map_rows
-from carequeue.llm.components import components
+from carequeue.llm.components import settled
 from carequeue.llm.hashed_words import TO_LOWER, mix, word_hashes
 from carequeue.operators.shared import written
 
@@ -236,30 +236,25 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
         F.max_by(F.struct("v", "u_digest", "v_digest"), F.struct("keys", -F.col("v"))).alias("_b")
     )
     best = written(best.select("u", "_b.*"), "near-best")
-    links = written(confirmed(best, classes, docs, words), "near-links")
-    found = written(components(links), "near-components")
+    found = settled(written(confirmed(best, classes, docs, words), "near-links"))
 
     done = best.select("u", "v")
+    worthwhile = True
     while True:
-        labelled = _labelled(members.select("key", "node"), found)
-        open_ = written(_mixed_buckets(labelled), "near-open")
+        open_ = written(_mixed_buckets(_labelled(members.select("key", "node"), found)), "near-open")
         if open_.isEmpty():
             break
-        pairs = written(_next_stars(open_, about, done), "near-best")
-        if pairs.isEmpty():
+        if worthwhile:
+            pairs = written(_next_stars(open_, about, done), "near-best")
+            compared = pairs.count()
+        if not worthwhile or not compared:
+            crossing = written(_crossing(open_, about, docs, done, words), "near-crossing")
+            found = settled(found.union(confirmed(crossing, classes, docs, words)))
             break
         new = written(confirmed(pairs, classes, docs, words), "near-links")
         done = written(done.union(pairs.select("u", "v")), "near-done")
-        links = links.union(new)
-        if WORTHWHILE * new.count() < pairs.count():
-            break
-        found = written(components(links), "near-components")
-    if not open_.isEmpty():
-        found = written(components(links), "near-components")
-        open_ = _mixed_buckets(_labelled(members.select("key", "node"), found))
-        crossing = written(_crossing(open_, about, docs, done, words), "near-crossing")
-        links = links.union(confirmed(crossing, classes, docs, words))
-        found = components(links)
+        found = settled(found.union(new))
+        worthwhile = WORTHWHILE * new.count() >= compared
 
     of_class = _labelled(classes.select("node", "digest"), found).select("digest", "component")
     by_class = rows.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
@@ -272,8 +267,9 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows with a node and its component; a node without links is its own."""
-    return rows.join(found, "node", "left").withColumn(
+    """Rows with a node and its component, its own where it hangs on no other."""
+    least = found.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return rows.join(least, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
 
