@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carequeue.functions import fixed_values as V
@@ -22,12 +22,12 @@ from carequeue.functions.questions import (
 )
 from carequeue.functions.scoring import age_group
 from carequeue.operators.capacity import capacity_answer_columns
+from carequeue.operators.rank import running_sums
 from carequeue.operators.sampling import preview
 from carequeue.operators.shared import written
 
 ALL = "*"  # stands for every specialty or season
 ALL_AGES = -1
-RISK_STEPS = 10000
 
 SPECIALTY_REPORTS = ["average_wait_time", "specialty_analysis", "cost_impact"]
 AGE_REPORTS = ["age_based_risk", "age_based_cancellation", "age_based_cost"]
@@ -225,73 +225,57 @@ def _specialty_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
 def high_risk_totals(patients: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Sums over patients above each threshold, by specialty.
 
-    ``thresholds`` has a distinct column ``threshold``. Every risk is placed among the
-    sorted thresholds: a fine fixed step of risk gives the thresholds of lower steps, and
-    those of its own step are compared one by one. Running sums down from the highest
-    place then answer each threshold without pairing patients and thresholds.
+    ``thresholds`` has a distinct column ``threshold``. Risks and thresholds are sorted
+    together; the thresholds counted up to a risk are its place. Running sums down from
+    the highest place then answer each threshold without pairing patients and thresholds.
     """
-
-    def step(risk: Column) -> Column:
-        inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk))
-        return F.floor(inside * RISK_STEPS).cast("long")
-
-    spark = patients.sparkSession
-    thresholds = thresholds.where("threshold < 1")  # no risk is above 1
-    lower = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    # the window covers the fixed number of steps; the size of the written table tells
-    # Spark whether to broadcast it
-    steps = written(
-        spark.range(RISK_STEPS + 1)
-        .withColumnRenamed("id", "step")
-        .join(
-            thresholds.groupBy(step(F.col("threshold")).alias("step")).agg(
-                F.collect_list("threshold").alias("in_step"), F.count("*").alias("n_in_step")
-            ),
-            "step",
-            "left",
-        )
-        .select(
-            "step",
-            "in_step",
-            F.coalesce(F.sum("n_in_step").over(lower), F.lit(0)).alias("below"),
-        ),
-        "steps",
+    # no risk is above 1
+    marks = thresholds.where("threshold < 1").select(
+        F.col("threshold").alias("value"), F.lit(1).alias("is_threshold")
     )
-    in_step_below = F.size(F.filter("in_step", lambda t: t < F.col("readmit_risk")))
-    placed = (
-        patients.where(F.col("specialty").isNotNull() & F.col("readmit_risk").isNotNull())
-        .withColumn("step", step(F.col("readmit_risk")))
-        .join(steps, "step")
-        .withColumn(
-            "place",
-            F.col("below")
-            + F.when(F.col("in_step").isNotNull(), in_step_below).otherwise(F.lit(0)),
-        )
-        .groupBy("specialty", "place")
-        .agg(
+    placeable = patients.where(F.col("specialty").isNotNull() & F.col("readmit_risk").isNotNull())
+    by_risk = written(
+        placeable.groupBy("specialty", F.col("readmit_risk").alias("value")).agg(
             F.count("patient_id").alias("n"),
             F.count("*").alias("rows"),
             F.sum("readmit_risk").alias("risk"),
             F.sum("cost_estimate").alias("cost"),
             F.count("cost_estimate").alias("costed"),
-        )
+        ),
+        "risks",
+    )
+    risks = by_risk.select("value").distinct().withColumn("is_threshold", F.lit(0))
+    # a risk equal to a threshold is not above it and so comes first
+    places = written(
+        running_sums(
+            marks.union(risks).withColumn("all", F.lit(True)),
+            F.col("value"),
+            F.col("is_threshold"),
+            sums={"place": "is_threshold"},
+            by="all",
+        ).drop("all"),
+        "places",
+    )
+    placed = (
+        by_risk.join(places.where("is_threshold = 0").select("value", "place"), "value")
         .where(F.col("place") > 0)
+        .groupBy("specialty", "place")
+        .agg(*[F.sum(c).alias(c) for c in ["n", "rows", "risk", "cost", "costed"]])
+    )
+    down = written(
+        running_sums(
+            placed.withColumn("at", F.lit(1)),
+            F.desc("place"),
+            sums={c: c for c in ["n", "rows", "risk", "cost", "costed", "at"]},
+            by="specialty",
+        ),
+        "high-risk",
     )
-    down = Window.partitionBy("specialty").orderBy(F.desc("place"))
-    before = Window.partitionBy("specialty").orderBy("place")
-    sums = {c: F.sum(c).over(down) for c in ["n", "rows", "risk", "cost", "costed"]}
-    reached = placed.withColumns(
-        {**sums, "from_place": F.lag("place", 1, 0).over(before) + 1}
-    ).withColumn("place", F.explode(F.sequence("from_place", "place")))
-    numbered = thresholds.withColumn(
-        "step", step(F.col("threshold"))
-    ).join(steps.select("step", "in_step", "below"), "step").select(
-        "threshold",
-        (
-            F.col("below")
-            + F.size(F.filter("in_step", lambda t: t <= F.col("threshold")))
-        ).alias("place"),
+    lower = down.select("specialty", (F.col("at") - 1).alias("at"), F.col("place").alias("lower"))
+    reached = down.join(lower, ["specialty", "at"], "left").withColumn(
+        "place", F.explode(F.sequence(F.coalesce("lower", F.lit(0)) + 1, F.col("place")))
     )
+    numbered = places.where("is_threshold = 1").select(F.col("value").alias("threshold"), "place")
     return numbered.join(reached, "place").select(
         "threshold",
         "specialty",

@@ -1,4 +1,4 @@
-"""Whole-table ranks without a single-partition window."""
+"""Whole-table ranks and running sums without a single-partition window."""
 
 from __future__ import annotations
 
@@ -36,3 +36,37 @@ def rank_rows(df: DataFrame, *order: Column, position: str = "queue_position") -
         *[F.col(f"`{c}`") for c in df.columns],
         (F.col("_start") + F.col("_row") + 1).alias(position),
     )
+
+
+def running_sums(df: DataFrame, *order: Column, sums: dict[str, str], by: str) -> DataFrame:
+    """Add to each row sums over itself and the rows of its ``by`` value that come before.
+
+    ``sums`` names the added columns and the columns that they add up. ``order`` must be
+    total within ``by``, which has no nulls. Rows are range-sorted by both, so a heavy value is split over
+    partitions; each adds up its own rows and starts from the sums of those before, of
+    which there is one row per partition and value.
+    """
+    sorted_rows = df.orderBy(by, *order).withColumn("_partition", F.spark_partition_id())
+    stored = written(sorted_rows, "running")
+    within = Window.partitionBy("_partition", by).orderBy(*order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = (
+        Window.partitionBy(by)
+        .orderBy("_partition")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = (
+        stored.groupBy(by, "_partition")
+        .agg(*[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()])
+        .select(by, "_partition", *[F.sum(f"_sum_{n}").over(before).alias(f"_start_{n}") for n in sums])
+    )
+    added = {n: F.sum(c).over(so_far) for n, c in sums.items()}
+    totals = stored.select("*", *[c.alias(f"_so_far_{n}") for n, c in added.items()])
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in sums]
+    return totals.join(starts, [by, "_partition"]).select(
+        *kept,
+        *[
+            (F.col(f"_so_far_{n}") + F.coalesce(f"_start_{n}", F.lit(0))).alias(n)
+            for n in sums
+        ],
+    )

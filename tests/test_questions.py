@@ -231,3 +231,24 @@ def test_texts(ask, people):
     assert "Doctors only: +0.6 doctors for £48,000 a year." in rows[1].answer
     assert rows[2].answer.startswith("Found 1 records. ENT: avg_wait_days=")
     assert rows[3].answer == "No results found for this question."
+
+
+def test_many_thresholds_close_together(spark):
+    people = spark.createDataFrame(
+        [(i, "ENT" if i % 3 else "Urology", 0.5 + i / 1e7, 10.0 + i) for i in range(300)]
+        + [(900, "ENT", 0.5, None), (901, None, 0.9, 1.0), (902, "ENT", None, 1.0)],
+        "patient_id long, specialty string, readmit_risk double, cost_estimate double",
+    )
+    # 100,000 thresholds, all between the risks of neighbouring patients or equal to one
+    thresholds = spark.range(100_000).select((0.5 + F.col("id") / 1e10).alias("threshold"))
+    found = Q.high_risk_totals(people, thresholds)
+    assert found.count() == 2 * 100_000
+    chosen = [0.5, 0.5 + 5 / 1e10, 0.5 + 1000 / 1e10, 0.5 + 99_999 / 1e10]
+    got = {
+        (r.threshold, r.specialty): r.high_risk_count
+        for r in found.where(F.col("threshold").isin(chosen)).collect()
+    }
+    risks = [(r.specialty, r.readmit_risk) for r in people.dropna(subset=["specialty", "readmit_risk"]).collect()]
+    for t in chosen:
+        for who in ("ENT", "Urology"):
+            assert got[t, who] == sum(s == who and risk > t for s, risk in risks)

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from carequeue.operators import capacity as C
-from carequeue.operators.rank import rank_rows
+from carequeue.operators.rank import rank_rows, running_sums
 from carequeue.operators.sampling import fixed_sample, preview, sample_key
 from carequeue.operators.shared import shared_folder
 
@@ -106,3 +106,16 @@ def test_preview(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_running_sums_split_a_heavy_value(spark):
+    rows = [("a", i, i % 7) for i in range(5000)] + [("b", 3, 1), ("b", 1, 4)]
+    df = spark.createDataFrame(rows, "who string, at long, n long")
+    found = running_sums(df, F.desc("at"), sums={"so_far": "n", "n": "n"}, by="who")
+    got = {(r.who, r.at): (r.so_far, r.n) for r in found.collect()}
+    assert len(got) == len(rows)
+    for who in ("a", "b"):
+        total = 0
+        for _, at, n in sorted((r for r in rows if r[0] == who), key=lambda r: -r[1]):
+            total += n
+            assert got[who, at] == (total, total)
