@@ -254,7 +254,7 @@ def high_risk_totals(patients: DataFrame, thresholds: DataFrame) -> DataFrame:
             sums={"place": "is_threshold"},
             by="all",
         ).drop("all"),
-        "places",
+        "steps",
     )
     placed = (
         by_risk.join(places.where("is_threshold = 0").select("value", "place"), "value")
