@@ -5,10 +5,16 @@ tokens for its characters, falls back to bytes or repeats few tokens. Three figu
 taken per document: characters per token, the share of tokens that are bytes, and the
 entropy of its tokens. For each language and size class of documents the corpus gives
 the quartiles of each figure, and a document is rejected where one lies beyond the
-quartiles by more than ``WIDTH`` times their distance (with a floor on the distance, so
-that a class of equal documents rejects none of its like). Classes with fewer than
-``MIN_CLASS`` documents use the band of their size class over all languages; where that is
-as small, nothing is rejected. Documents that fail the base rules set no bands.
+quartiles by more than ``WIDTH`` times their distance (with a floor on the distance).
+Documents that fail the base rules set no bands.
+
+Every document has a band, however small the table. The quartiles of a class are means of
+its own and its parent's, by the weights n (its documents) and ``PRIOR``. The parent of a
+class is the class with its neighbours on both sides, merged until they hold ``MIN_NEAR``
+documents or the whole language; the parent of that is the language and of this the corpus.
+So a class of equal documents that is far from the rest of its language may be rejected as
+a whole. Quartiles are exact over values rounded to ``STEPS``, whose number does not depend
+on the number of documents.
 
 Defined cases: null texts have no words and fail the base rules; a null language is a
 language of its own; an empty table gives no rows.
@@ -29,9 +35,12 @@ from carequeue.operators.shared import written
 
 MIN_WORDS = 50
 WIDTH = 4.0
-MIN_CLASS = 100
+MIN_NEAR = 100
+PRIOR = 25
 # smallest distance between quartiles that a band is built on
 FLOORS = {"chars_per_token": 0.15, "byte_share": 0.005, "token_entropy": 0.15}
+# values are rounded to these steps before quartiles are taken
+STEPS = {"chars_per_token": 0.01, "byte_share": 0.0005, "token_entropy": 0.01}
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -104,25 +113,87 @@ def figures(docs: DataFrame, model_path: str) -> DataFrame:
     )
 
 
-def _bands(rows: DataFrame, *keys: str) -> DataFrame:
-    quartiles = [
-        F.percentile_approx(c, [0.25, 0.75], 1000).alias(f"_q_{c}") for c in FLOORS
+def _steps(usable: DataFrame) -> DataFrame:
+    """Documents per language, size class, figure and step of its value."""
+    values = [
+        F.struct(F.lit(c).alias("_figure"), (F.round(F.col(c) / step) * step).alias("_at"))
+        for c, step in STEPS.items()
     ]
-    bands = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *quartiles)
-    return bands.where(F.col("_n") >= MIN_CLASS).select(
-        *keys, F.struct(*[F.col(f"_q_{c}").alias(c) for c in FLOORS]).alias("_band")
+    return (
+        usable.select("_lang", "_class", F.explode(F.array(*values)).alias("_v"))
+        .groupBy("_lang", "_class", "_v._figure", "_v._at")
+        .agg(F.count("*").alias("_n"))
     )
 
 
-def _outside(value: str, band: Column) -> Column:
-    low, high = band[value][0], band[value][1]
-    reach = WIDTH * F.greatest(high - low, F.lit(FLOORS[value]))
-    return (F.col(value) < low - reach) | (F.col(value) > high + reach)
+def _quartiles(steps: DataFrame, to: str, *keys: str) -> DataFrame:
+    found = F.struct(
+        F.sum("_n").alias("n"), F.percentile("_at", [0.25, 0.75], F.col("_n")).alias("q")
+    )
+    return steps.groupBy(*keys, "_figure").agg(found.alias(to))
 
 
-def quality_rules(docs: DataFrame, model_path: str) -> DataFrame:
-    """Figures of every document and ``kept``. Texts are read once; the bands come from
-    partial aggregates over the narrow rows, however many one language has."""
+def _near(steps: DataFrame) -> DataFrame:
+    """(_lang, _class, _other): each class with those whose documents are merged with it."""
+    cells = (
+        steps.where(F.col("_figure") == next(iter(STEPS)))
+        .groupBy("_lang", "_class")
+        .agg(F.sum("_n").alias("_n"))
+        .groupBy("_lang")
+        .agg(F.collect_list(F.struct("_class", "_n")).alias("_cells"), F.sum("_n").alias("_all"))
+    )
+
+    def within(reach):
+        return F.filter("_cells", lambda c: F.abs(c["_class"] - F.col("_class")) <= reach)
+
+    def held(reach):
+        return F.aggregate(within(reach), F.lit(0).cast("long"), lambda n, c: n + c["_n"])
+
+    enough = F.least(F.lit(MIN_NEAR), F.col("_all"))
+    reach = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda r: held(r) >= enough))
+    return (
+        cells.select("*", F.explode(F.transform("_cells", lambda c: c["_class"])).alias("_class"))
+        .withColumn("_reach", reach)
+        .select("_lang", "_class", F.explode(within(F.col("_reach"))["_class"]).alias("_other"))
+    )
+
+
+def _shrunk(own: Column, parent: Column) -> Column:
+    """Quartiles of a group, drawn to those of its parent."""
+    return F.zip_with(
+        own["q"], parent, lambda a, b: (own["n"] * a + PRIOR * b) / (own["n"] + PRIOR)
+    )
+
+
+def _bands(steps: DataFrame) -> DataFrame:
+    """One row per language and size class, with a column of quartiles for each figure."""
+    merged = _near(steps).join(
+        steps.withColumnRenamed("_class", "_other"), ["_lang", "_other"]
+    )
+    band = _shrunk(F.col("_language"), F.col("_corpus.q"))
+    for level in ("_merged", "_own"):
+        band = _shrunk(F.col(level), band)
+    return (
+        _quartiles(steps, "_own", "_lang", "_class")
+        .join(_quartiles(merged, "_merged", "_lang", "_class"), ["_lang", "_class", "_figure"])
+        .join(_quartiles(steps, "_language", "_lang"), ["_lang", "_figure"])
+        .join(_quartiles(steps, "_corpus"), "_figure")
+        .groupBy("_lang", "_class")
+        .agg(*[F.max(F.when(F.col("_figure") == c, band)).alias(f"_q_{c}") for c in FLOORS])
+    )
+
+
+def _beyond(value: str) -> Column:
+    """How many quartile distances a value lies beyond its quartiles; 0 or less inside."""
+    low, high = F.col(f"_q_{value}")[0], F.col(f"_q_{value}")[1]
+    distance = F.greatest(high - low, F.lit(FLOORS[value]))
+    return F.greatest(low - F.col(value), F.col(value) - high) / distance
+
+
+def measured(docs: DataFrame, model_path: str) -> DataFrame:
+    """Figures of every document and ``beyond``, the most that one lies beyond its band (null
+    where the base rules fail and nothing else of the class sets one). Texts are read once;
+    the bands come from counts per step of a value, however many documents a language has."""
     rows = written(
         figures(docs, model_path).withColumns(
             {
@@ -132,17 +203,16 @@ def quality_rules(docs: DataFrame, model_path: str) -> DataFrame:
         ),
         "fertility",
     )
-    usable = rows.where(~F.col("base_failed"))
-    own = _bands(usable, "_lang", "_class").withColumnRenamed("_band", "_own")
-    shared = _bands(usable, "_class").withColumnRenamed("_band", "_shared")
-    band = F.coalesce("_own", "_shared")
-    outside = None
-    for value in FLOORS:
-        o = _outside(value, band)
-        outside = o if outside is None else outside | o
+    steps = written(_steps(rows.where(~F.col("base_failed"))), "fertility-steps")
+    bands = _bands(steps)
     return (
-        rows.join(own, ["_lang", "_class"], "left")
-        .join(shared, "_class", "left")
-        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False)))
-        .drop("_lang", "_class", "_own", "_shared", "lang")
+        rows.join(bands, ["_lang", "_class"], "left")
+        .withColumn("beyond", F.greatest(*[_beyond(c) for c in FLOORS]))
+        .drop("_lang", "_class", "lang", *[f"_q_{c}" for c in FLOORS])
     )
+
+
+def quality_rules(docs: DataFrame, model_path: str) -> DataFrame:
+    """Figures of every document and ``kept``."""
+    kept = ~F.col("base_failed") & (F.col("beyond") <= WIDTH)
+    return measured(docs, model_path).withColumn("kept", F.coalesce(kept, F.lit(False))).drop("beyond")

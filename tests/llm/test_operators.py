@@ -258,6 +258,23 @@ def test_fertility_figures(docs, empty, rows):
     assert fertility.quality_rules(empty, tokenizer_path(PIECE_MODEL)).count() == 0
 
 
+def test_fertility_bands_on_small_tables(spark):
+    rng = random.Random(5)
+    words = (
+        "time house water people world school night story paper music light field green small town"
+        " river letter winter garden father mother table window street summer morning doctor market"
+        " island forest bridge engine picture village teacher kitchen history machine weather"
+    ).split()
+    clean = [" ".join(rng.choice(words) for _ in range(rng.choice([60, 120, 250]))) for _ in range(30)]
+    clean.append(" ".join(rng.choice(words) for _ in range(6000)))  # alone in its size class
+    junk = " ".join(f"{''.join(rng.choice('qxzjkvw') for _ in range(7))}\u0e5b\u0d79" for _ in range(5000))
+    made = [(i, t, "en") for i, t in enumerate([*clean, junk, junk[:900]])]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)
+    found = fertility.quality_rules(df, tokenizer_path(PIECE_MODEL)).collect()
+    assert len(found) == len(made) and not any(r.base_failed for r in found if r.doc_id >= 30)
+    assert {r.doc_id for r in found if not r.kept and not r.base_failed} == {31, 32}
+
+
 def test_quality_held_out(spark, empty, docs):
     folder = "/root/testdata/sf0.1"  # some 2,000 labels to learn from, as many held out
     df = spark.read.parquet(f"{folder}/documents.parquet")
