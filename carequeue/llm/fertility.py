@@ -34,7 +34,8 @@ from carequeue.llm.sentencepiece_spans import encoder_of
 from carequeue.operators.shared import written
 
 MIN_WORDS = 50
-WIDTH = 4.0
+# the least, in quarters, that loses 0.5% of good labelled documents with even ids at most
+WIDTH = 2.5
 MIN_NEAR = 100
 PRIOR = 25
 # smallest distance between quartiles that a band is built on

@@ -275,6 +275,38 @@ def test_fertility_bands_on_small_tables(spark):
     assert {r.doc_id for r in found if not r.kept and not r.base_failed} == {31, 32}
 
 
+def test_fertility_width(spark):
+    folder = "/root/testdata/sf0.1"  # the width is chosen on even ids and tried on odd ones
+    df = spark.read.parquet(f"{folder}/documents.parquet").repartition(16)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = fertility.measured(df, tokenizer_path(PIECE_MODEL)).where("not base_failed")
+    found = rows.join(labels, "doc_id").select("doc_id", "quality", "beyond").collect()
+    beyond = {(h, q): [r.beyond for r in found if (r.doc_id % 2, r.quality) == (h, q)] for h in (0, 1) for q in (0, 1)}
+
+    def rejected(half, label, width):
+        return sum(x > width for x in beyond[half, label]) / len(beyond[half, label])
+
+    assert rejected(0, 1, fertility.WIDTH) <= 0.005 < rejected(0, 1, fertility.WIDTH - 0.25)
+    assert rejected(1, 0, fertility.WIDTH) >= 0.75
+    assert rejected(1, 1, fertility.WIDTH) <= 0.005
+
+
+def test_fertility_rejects_junk(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    clean = df.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id")
+    clean = [(r.doc_id, r.text, r.lang) for r in clean.select("doc_id", "text", "lang").collect()]
+    words = [w for _, text, lang in clean if lang == "en" for w in text.split()][:300]
+    junk = [
+        (-1, " ".join(f"{w}{c * 3}" for w, c in zip(words, "%&#$" * 75)), "en"),
+        (-2, " | ".join(words), "en"),
+    ]
+    made = spark.createDataFrame([*clean, *junk], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in fertility.quality_rules(made.repartition(4), tokenizer_path(PIECE_MODEL)).collect()}
+    assert not any(found[i].base_failed or found[i].kept for i, *_ in junk)
+    passed = [found[i] for i, *_ in clean if not found[i].base_failed]
+    assert sum(r.kept for r in passed) >= 0.99 * len(passed)
+
+
 def test_quality_held_out(spark, empty, docs):
     folder = "/root/testdata/sf0.1"  # some 2,000 labels to learn from, as many held out
     df = spark.read.parquet(f"{folder}/documents.parquet")
