@@ -1,6 +1,8 @@
 """Document fingerprints by winnowing, in SQL functions only.
 
-A text is cut into tokens (runs of word characters, at most ``TOKEN`` long). Every
+A text is cut into tokens: runs of characters other than white space, at most ``TOKEN``
+long. Longer runs, and the letters of scripts written without spaces, are tokens of one
+character each, so that a cut depends on nothing but the run it lies in. Every
 ``GRAM`` tokens in a row are hashed; of each window of ``WINDOW`` hashes the least is
 chosen, the rightmost of equal ones, with its position. Two texts that share
 ``WINDOW + GRAM - 1`` tokens in a row share a chosen hash. Hashes (40 bits) and positions
@@ -9,7 +11,8 @@ with the position, so that a window's least is its choice.
 
 Likeness is the Jaccard similarity of chosen hashes. Defined cases: null and empty texts
 have an empty fingerprint, two of which are alike with 1 and any other with 0; texts
-shorter than a gram are hashed whole; equal texts have equal fingerprints.
+shorter than a gram are hashed whole; equal texts have equal fingerprints; positions count
+up to 2^23 grams and then from 0 again.
 """
 
 from __future__ import annotations
@@ -22,6 +25,14 @@ from carequeue.operators.shared import written
 TOKEN = 16
 GRAM = 4
 WINDOW = 8
+_SPACE = r"\x20\x09-\x0D"
+_UNSPACED = "".join(
+    rf"\p{{Is{script}}}"
+    for script in "Han Hiragana Katakana Thai Lao Khmer Myanmar Tibetan".split()
+)
+_IN_RUN = f"[^{_SPACE}{_UNSPACED}]"
+# a whole run of up to TOKEN characters, or else one character
+_TOKENS = rf"(?<!{_IN_RUN}){_IN_RUN}{{1,{TOKEN}}}+(?!{_IN_RUN})|[^{_SPACE}]"
 _POSITION_BITS = 23
 _POSITIONS = (1 << _POSITION_BITS) - 1
 
@@ -36,7 +47,7 @@ def fingerprint_columns(df: DataFrame, text: str, to: str) -> DataFrame:
     """Add the packed choices of a text column as an array of longs."""
     grams, packed = f"_{to}_grams", f"_{to}_packed"
     tokens = F.regexp_extract_all(
-        F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % TOKEN), F.lit(0)
+        F.coalesce(F.col(text), F.lit("")), F.lit(_TOKENS), F.lit(0)
     )
     df = df.withColumn(grams, F.transform(tokens, lambda t: F.xxhash64(t)))
     # doubling: hashes of 2 tokens, then of 4; a short text is one gram

@@ -246,6 +246,29 @@ def test_winnowing(docs, empty, rows):
     assert winnowing.fingerprinted_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("first, last", [("一", "龥"), ("ก", "ฮ"), ("ぁ", "ゖ"), ("a", "z"), ("𠀀", "𠿿")])
+def test_winnowing_of_unspaced_text(spark, first, last):
+    rng = random.Random(6)
+    text = "".join(chr(rng.randint(ord(first), ord(last))) for _ in range(5000))
+    made = [(text, first + text), (text, text[:2500] + first + text[2500:]), (text, text[1:] + " end")]
+    df = spark.createDataFrame(made, "a string, b string")
+    for side in "ab":
+        df = winnowing.fingerprint_columns(df, side, f"_{side}")
+    for r in df.select(winnowing.likeness(F.col("_a"), F.col("_b")).alias("same"), F.size("_a").alias("n")).collect():
+        assert r.same > 0.97 and r.n > 500
+
+
+def test_winnowing_tokens(spark):
+    texts = {
+        "short words\tand\n16 sixteen-letters": ["short", "words", "and", "16", "sixteen-letters"],
+        "x" * 16 + " " + "y" * 17: ["x" * 16, *"y" * 17],
+        "一二 ab三cd，四": ["一", "二", "ab", "三", "cd，", "四"],
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", F.regexp_extract_all("t", F.lit(winnowing._TOKENS), F.lit(0)).alias("of")).collect()
+    assert {r.t: r.of for r in found} == texts
+
+
 def test_fertility_figures(docs, empty, rows):
     found = {r.doc_id: r for r in fertility.quality_rules(docs, tokenizer_path(PIECE_MODEL)).collect()}
     for i, text, *_ in rows:
