@@ -14,6 +14,7 @@ from carequeue.llm import (
     personal_data,
     quality,
     sentencepiece_spans,
+    simhash,
     suffix_dedup,
     token_counts,
     winnowing,
@@ -89,6 +90,10 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.read_back(formatted))
 
 
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_groups(documents(spark, folder))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_personal_data": op2_personal_data,
@@ -100,4 +105,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": op8_winnowing,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
+    "op11_simhash": op11_simhash,
 }
