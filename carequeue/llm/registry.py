@@ -17,6 +17,8 @@ from carequeue.llm import (
     simhash,
     suffix_dedup,
     token_counts,
+    vector_codes,
+    whitening,
     winnowing,
 )
 from carequeue.llm.oracle import LLM_ORACLE
@@ -94,6 +96,14 @@ def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, folder))
 
 
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.vector_codes(load_table(spark, folder, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_embeddings(load_table(spark, folder, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_personal_data": op2_personal_data,
@@ -106,4 +116,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
     "op11_simhash": op11_simhash,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_whitening": op13_whitening,
 }
