@@ -28,15 +28,58 @@ OWN_REPORT_TYPES = [
 ]
 
 
+# Lines end at \n only, for the dot as for the beginning of a line.
+_LINES = "(?md)"
+
+
+def _least(words: list[str]) -> list[str]:
+    """Words of which none contains another: where a longer one occurs, so does a shorter."""
+    return [w for w in words if not any(other != w and other in w for other in words)]
+
+
+def one_pass(pattern: str) -> str:
+    """A pattern of word lists that follow each other on a line, to be read once.
+
+    From the beginning of a line the first word of the first list is looked for, after it
+    the first of the next, and so on; none is given up for a later one. The first to begin
+    is the first to end, as no word contains another, so that it leaves most of the line
+    to the rest: where it does not lead to a match, no later one does. The time then grows
+    with the text and not with its third power.
+    """
+    ways = []
+    for sequence in pattern.split(")|("):
+        lists = sequence.removeprefix("(").removesuffix(")").split(").*(")
+        steps = [r"\d"] if r"\d" in lists[-1] else []
+        words = lists[:-1] if steps else lists
+        steps = ["|".join(_least(part.split("|"))) for part in words] + steps
+        ways.append("".join(f"(?>.*?(?:{step}))" for step in steps))
+    return f"{_LINES}^(?:{'|'.join(ways)})"
+
+
 def question_type(lowered: str) -> Column:
     """First type whose pattern occurs in the lower-cased text."""
     text = F.col(lowered)
     return F.coalesce(
-        *[F.when(text.rlike(p), F.lit(name)) for name, p in V.QUESTION_PATTERNS],
+        *[F.when(text.rlike(one_pass(p)), F.lit(name)) for name, p in V.QUESTION_PATTERNS],
         F.lit(V.DEFAULT_QUESTION_TYPE),
     )
 
 
+def _number_after(words: str, number: str) -> str:
+    """The first words on a line that a number follows there, without trying later ones."""
+    return f"{_LINES}^(?>.*?{words}).*?{number}"
+
+
+# The patterns of parameters in forms that read a text once. Spaces between the words of a
+# capacity may go over the end of a line, which can only be so for its last such words.
+_BASELINE = (
+    rf"{_LINES}^(?:(?>.*?baseline[^\S\n]+capacity)|.*baseline[^\S\n]*\n\s*+capacity).*?(\d+)"
+)
+_RISK_WEIGHT = _number_after(*V.RISK_WEIGHT_PATTERN.split(".*?"))
+_THRESHOLD = _number_after(*V.THRESHOLD_PATTERN.split(".*?"))
+_PERCENT = r"(?<!\d)(\d++(?:\.\d++)?)%"
+
+
 def _group(text: str, pattern: str, type_name: str, group: int = 1) -> Column:
     found = F.regexp_extract(text, pattern, group)
     return F.when(found != "", found).try_cast(type_name)
@@ -69,7 +112,7 @@ def question_parameters(text: str, lowered: str) -> dict[str, Column]:
     numbers = F.regexp_extract_all(text, F.lit(V.NUMBER_PATTERN), 1)
     # a stated capacity that is no 64-bit number stays missing
     baseline = F.when(
-        F.col(lowered).rlike(V.BASELINE_PATTERN), _group(lowered, V.BASELINE_PATTERN, "bigint")
+        F.col(lowered).rlike(_BASELINE), _group(lowered, _BASELINE, "bigint")
     ).when(
         F.expr(f"contains({lowered}, 'capacity') or contains({lowered}, 'increase')"),
         F.lit(V.DEFAULT_BASELINE).cast("bigint"),
@@ -77,11 +120,11 @@ def question_parameters(text: str, lowered: str) -> dict[str, Column]:
     # the last word of the list that occurs
     words = " ".join(f"when {_word(lowered, w)} then '{w}'" for w, _, _ in reversed(V.AGE_WORDS))
     return {
-        "percentage": _group(text, V.PERCENT_PATTERN, "double"),
+        "percentage": _group(text, _PERCENT, "double"),
         "numbers": F.when(F.size(numbers) > 0, numbers).try_cast("array<double>"),
         "baseline_capacity": baseline,
-        "risk_weight": _group(lowered, V.RISK_WEIGHT_PATTERN, "double"),
-        "threshold": _group(lowered, V.THRESHOLD_PATTERN, "double"),
+        "risk_weight": _group(lowered, _RISK_WEIGHT, "double"),
+        "threshold": _group(lowered, _THRESHOLD, "double"),
         "specialties": _found(V.QUESTION_SPECIALTIES, lowered, _mentions),
         "seasons": _found(V.SEASONS, lowered, _word),
         "age": _group(lowered, V.AGE_PATTERN, "int"),

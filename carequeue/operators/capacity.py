@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carequeue.functions import fixed_values as V
+from carequeue.functions.exact import mean
 from carequeue.functions.scoring import combined_score
 from carequeue.operators.rank import rank_rows
 from carequeue.schema import has_staffing
@@ -110,8 +111,8 @@ def capacity_impact(
     staffing = has_staffing(df)
     aggregates = (
         [
-            F.avg("doctors_fte").alias("current_doctors"),
-            F.avg("nurses_fte").alias("current_nurses"),
+            mean("doctors_fte").alias("current_doctors"),
+            mean("nurses_fte").alias("current_nurses"),
             F.coalesce(F.sum("planned_count"), F.lit(0)).alias("planned"),
         ]
         if staffing
@@ -366,7 +367,7 @@ def _mean_staff(df: DataFrame) -> list[Column]:
     if not {"doctors_fte", "nurses_fte"} <= set(df.columns):
         nothing = F.lit(None).cast("double")
         return [F.first(nothing).alias("mean_doctors"), F.first(nothing).alias("mean_nurses")]
-    return [F.avg("doctors_fte").alias("mean_doctors"), F.avg("nurses_fte").alias("mean_nurses")]
+    return [mean("doctors_fte").alias("mean_doctors"), mean("nurses_fte").alias("mean_nurses")]
 
 
 def staffing_options_v1(
@@ -460,7 +461,7 @@ def capacity_roi(
     earlier_rules: bool = False,
 ) -> DataFrame:
     """Revenue of the added places less the mixed team; no payback while net is not positive."""
-    rows = _over_scenarios(df, scenarios, by, F.avg("cost_estimate").alias("avg_cost"))
+    rows = _over_scenarios(df, scenarios, by, mean("cost_estimate").alias("avg_cost"))
     rows = (_with_mixed_team_v1 if earlier_rules else _with_mixed_team)(rows)
     added, cost = F.col("additional_capacity"), F.col("cost_mixed")
     rows = rows.withColumns(

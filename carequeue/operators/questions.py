@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carequeue.functions import exact
 from carequeue.functions import fixed_values as V
 from carequeue.functions.questions import (
     age_range,
@@ -27,10 +28,10 @@ from carequeue.operators.sampling import preview
 from carequeue.operators.shared import written
 
 ALL = "*"  # stands for every specialty or season
-ALL_AGES = -1
 
 SPECIALTY_REPORTS = ["average_wait_time", "specialty_analysis", "cost_impact"]
 AGE_REPORTS = ["age_based_risk", "age_based_cancellation", "age_based_cost"]
+PREVIEW_SIZE = 10
 PREVIEW_METRICS = [
     "age",
     "los",
@@ -161,31 +162,31 @@ SUMMED = {
     "readmit": "readmit_risk",
     "loss": "cost_estimate * cancel_risk",
 }
+CELL_SUMS = ["rows", "n", *[part for name in SUMMED for part in exact.part_names(name)]]
 
 
 def patient_cells(patients: DataFrame) -> DataFrame:
     """Sums and counts of every age, season and specialty: what most reports read.
 
     The size depends on how many ages, seasons and specialties there are, not on the
-    number of patients.
+    number of patients. Sums are kept in exact parts, so that cells can be added up, and
+    taken from each other, in any order.
     """
-    sums = [
-        F.expr(part)
-        for name, value in SUMMED.items()
-        for part in (f"sum({value}) as {name}", f"count({value}) as {name}_n")
-    ]
+    sums = [x for name, value in SUMMED.items() for x in exact.part_sums(name, F.expr(value))]
     return patients.groupBy("age", "season", "specialty").agg(
         F.count("*").alias("rows"), F.count("patient_id").alias("n"), *sums
     )
 
 
 def _summed_up() -> list[Column]:
-    names = ["rows", "n", *[x for name in SUMMED for x in (name, f"{name}_n")]]
-    return [F.expr(f"sum({c}) as {c}") for c in names]
+    return [F.sum(c).alias(c) for c in CELL_SUMS]
 
 
-def _mean(name: str) -> str:
-    return f"if({name}_n > 0, {name} / {name}_n, null)"
+def _figures(cells: DataFrame) -> DataFrame:
+    """The sums of added cells, by their names, and their means, ``mean_<name>``."""
+    figures = {name: exact.of_parts(name) for name in SUMMED}
+    means = {f"mean_{name}": exact.mean_of_parts(name) for name in SUMMED}
+    return cells.withColumns({**figures, **means})
 
 
 def _total(name: str) -> str:
@@ -194,27 +195,24 @@ def _total(name: str) -> str:
 
 def _specialty_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
     # one row per specialty, and again for requests that want all of them
-    totals = (
-        cells.where(F.col("specialty").isNotNull())
-        .groupBy("specialty")
-        .agg(*_summed_up())
-        .withColumn("scope", _scoped("specialty"))
-    )
+    totals = _figures(
+        cells.where(F.col("specialty").isNotNull()).groupBy("specialty").agg(*_summed_up())
+    ).withColumn("scope", _scoped("specialty"))
     asked = requests.where(F.col("report").isin(SPECIALTY_REPORTS)).select(
         "request", "report", _wanted("specialties").alias("scope")
     )
     metrics = {
-        "average_wait_time": {"avg_wait_days": _mean("wait"), "patient_count": "n"},
+        "average_wait_time": {"avg_wait_days": "mean_wait", "patient_count": "n"},
         "specialty_analysis": {
             "patient_count": "n",
-            "avg_wait_days": _mean("wait"),
-            "avg_cost": _mean("cost"),
-            "avg_cancel_risk": _mean("cancel"),
-            "avg_readmit_risk": _mean("readmit"),
+            "avg_wait_days": "mean_wait",
+            "avg_cost": "mean_cost",
+            "avg_cancel_risk": "mean_cancel",
+            "avg_readmit_risk": "mean_readmit",
         },
         "cost_impact": {
             "total_cost": _total("cost"),
-            "avg_cost": _mean("cost"),
+            "avg_cost": "mean_cost",
             "patient_count": "cost_n",
             "potential_loss_from_cancellations": _total("loss"),
         },
@@ -234,13 +232,13 @@ def high_risk_totals(patients: DataFrame, thresholds: DataFrame) -> DataFrame:
         F.col("threshold").alias("value"), F.lit(1).alias("is_threshold")
     )
     placeable = patients.where(F.col("specialty").isNotNull() & F.col("readmit_risk").isNotNull())
+    sums = ["n", "rows", *exact.part_names("risk"), *exact.part_names("cost")]
     by_risk = written(
         placeable.groupBy("specialty", F.col("readmit_risk").alias("value")).agg(
             F.count("patient_id").alias("n"),
             F.count("*").alias("rows"),
-            F.sum("readmit_risk").alias("risk"),
-            F.sum("cost_estimate").alias("cost"),
-            F.count("cost_estimate").alias("costed"),
+            *exact.part_sums("risk", F.col("readmit_risk")),
+            *exact.part_sums("cost", F.col("cost_estimate")),
         ),
         "risks",
     )
@@ -260,29 +258,47 @@ def high_risk_totals(patients: DataFrame, thresholds: DataFrame) -> DataFrame:
         by_risk.join(places.where("is_threshold = 0").select("value", "place"), "value")
         .where(F.col("place") > 0)
         .groupBy("specialty", "place")
-        .agg(*[F.sum(c).alias(c) for c in ["n", "rows", "risk", "cost", "costed"]])
+        .agg(*[F.sum(c).alias(c) for c in sums])
     )
     down = written(
         running_sums(
             placed.withColumn("at", F.lit(1)),
             F.desc("place"),
-            sums={c: c for c in ["n", "rows", "risk", "cost", "costed", "at"]},
+            sums={c: c for c in [*sums, "at"]},
             by="specialty",
         ),
         "high-risk",
     )
     lower = down.select("specialty", (F.col("at") - 1).alias("at"), F.col("place").alias("lower"))
-    reached = down.join(lower, ["specialty", "at"], "left").withColumn(
-        "place", F.explode(F.sequence(F.coalesce("lower", F.lit(0)) + 1, F.col("place")))
+    ranged = down.join(lower, ["specialty", "at"], "left").withColumn(
+        "lower", F.coalesce("lower", F.lit(0))
     )
     numbered = places.where("is_threshold = 1").select(F.col("value").alias("threshold"), "place")
-    return numbered.join(reached, "place").select(
+    return numbered.join(_each_place(ranged), "place").select(
         "threshold",
         "specialty",
         F.col("n").alias("high_risk_count"),
-        (F.col("risk") / F.col("rows")).alias("avg_risk"),
-        F.when(F.col("costed") > 0, F.col("cost") / F.col("costed")).alias("avg_cost"),
+        exact.mean_of_parts("risk").alias("avg_risk"),
+        exact.mean_of_parts("cost").alias("avg_cost"),
+    )
+
+
+#: Places that one row of a block stands for before it is spread out.
+PLACES_IN_BLOCK = 1000
+
+
+def _each_place(ranged: DataFrame) -> DataFrame:
+    """A row for each place above ``lower`` up to ``place``. Blocks of places are dealt out
+    before they are spread, so that no row holds them all and no task makes them all."""
+    block = F.sequence(
+        F.expr(f"lower div {PLACES_IN_BLOCK}"), F.expr(f"(place - 1) div {PLACES_IN_BLOCK}")
+    )
+    dealt = ranged.withColumn("_block", F.explode(block)).repartition("_block", "specialty")
+    first = F.col("_block") * PLACES_IN_BLOCK
+    reached = F.sequence(
+        F.greatest(F.col("lower"), first) + 1, F.least("place", first + PLACES_IN_BLOCK)
     )
+    return dealt.withColumn("place", F.explode(reached)).drop("_block", "lower")
 
 
 def _high_risk_answers(requests: DataFrame, patients: DataFrame) -> DataFrame:
@@ -316,7 +332,7 @@ def _seasonal_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
         .withColumn("season_scope", _wanted("seasons"))
         .select("request", "report", "specialty_scope", "season_scope")
     )
-    found = (
+    found = _figures(
         asked.join(scoped, ["specialty_scope", "season_scope"])
         .groupBy("request", "report", "season")
         .agg(*_summed_up())
@@ -325,53 +341,94 @@ def _seasonal_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
         found,
         "season",
         {
-            "avg_cancel_risk": _mean("cancel"),
-            "avg_readmit_risk": _mean("readmit"),
-            "avg_cost": _mean("cost"),
+            "avg_cancel_risk": "mean_cancel",
+            "avg_readmit_risk": "mean_readmit",
+            "avg_cost": "mean_cost",
             "total_cases": "n",
         },
     )
 
 
-def _age_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
+def age_sums(cells: DataFrame) -> DataFrame:
+    """Sums over all ages up to each, by specialty and for all of them.
+
+    One row per specialty and age from 0 to the last that belongs to a group. The sums of
+    a range of ages are those up to its end less those up to the age before it.
+    """
+    oldest = V.AGE_BINS[-1][1]
     scoped = (
-        cells.withColumn("age_group", age_group())
-        .where(F.col("age_group").isNotNull())
-        .groupBy("age", "age_group", "specialty")
+        cells.where(F.col("age").between(0, oldest))
+        .groupBy("age", "specialty")
         .agg(*_summed_up())
-        .withColumn("specialty_scope", _scoped("specialty"))
-        .withColumn("age_scope", F.explode(F.array(F.col("age"), F.lit(ALL_AGES))))
+        .withColumn("scope", _scoped("specialty"))
+        .groupBy("scope", "age")
+        .agg(*_summed_up())
+    )
+    every = (
+        scoped.select("scope")
+        .distinct()
+        .withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(oldest))))
+    )
+    # as many rows in a window as there are ages
+    up_to = Window.partitionBy("scope").orderBy("age")
+    return every.join(scoped, ["scope", "age"], "left").select(
+        "scope",
+        "age",
+        *[
+            F.sum(F.coalesce(c, F.lit(0))).over(up_to).alias(c)
+            for c in CELL_SUMS
+        ],
     )
+
+
+def _age_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
+    sums = written(age_sums(cells), "ages")
     low, high = F.col("age_min"), F.col("age_max")
-    last = F.least(high, F.lit(V.AGE_BINS[-1][1]))  # older patients belong to no group
-    ages = (
-        F.when(low.isNull(), F.array(F.lit(ALL_AGES)))
-        .when(low <= last, F.sequence(low, last))
-        .otherwise(F.array().cast("array<int>"))
+    bins = ", ".join(
+        f"named_struct('after', {after}, 'last', {last}, 'age_group', '{name}')"
+        for after, last, name in V.AGE_BINS
     )
+    # a range is cut at the ends of the age groups; no bounds are those of the group
     asked = (
         requests.where(F.col("report").isin(AGE_REPORTS))
-        .withColumn("specialty_scope", _wanted("specialties"))
-        .withColumn("age_scope", F.explode(ages))
-        .select("request", "report", "specialty_scope", "age_scope")
-    )
-    found = (
-        asked.join(scoped, ["specialty_scope", "age_scope"])
-        .groupBy("request", "report", "age_group")
-        .agg(*_summed_up())
-        .where((F.col("report") != "age_based_cost") | (F.col("cost_n") > 0))
+        .withColumn("scope", _wanted("specialties"))
+        .select("request", "report", "scope", "age_min", "age_max", F.expr(f"inline(array({bins}))"))
+        .withColumns(
+            {
+                "after": F.greatest(F.col("after"), F.coalesce(low - 1, F.col("after"))),
+                "last": F.least(F.col("last"), F.coalesce(high, F.col("last"))),
+            }
+        )
+        .where("after < last")
+        .drop("age_min", "age_max")
+    )
+    # two lookups give the sums of a range
+    upper = sums.select("scope", F.col("age").alias("last"), *[F.col(c).alias(f"to_{c}") for c in CELL_SUMS])
+    below = sums.select("scope", F.col("age").alias("after"), *[F.col(c).alias(f"of_{c}") for c in CELL_SUMS])
+    ranges = (
+        asked.join(upper, ["scope", "last"])
+        .join(below, ["scope", "after"])
+        .select(
+            "request",
+            "report",
+            "age_group",
+            *[(F.col(f"to_{c}") - F.col(f"of_{c}")).alias(c) for c in CELL_SUMS],
+        )
     )
+    found = _figures(
+        ranges.groupBy("request", "report", "age_group").agg(*_summed_up()).where("rows > 0")
+    ).where((F.col("report") != "age_based_cost") | (F.col("cost_n") > 0))
     metrics = {
         "age_based_risk": {
-            "avg_readmit_risk": _mean("readmit"),
+            "avg_readmit_risk": "mean_readmit",
             "total_patients": "n",
         },
         "age_based_cancellation": {
-            "avg_cancel_risk": _mean("cancel"),
+            "avg_cancel_risk": "mean_cancel",
             "total_patients": "n",
         },
         "age_based_cost": {
-            "avg_cost": _mean("cost"),
+            "avg_cost": "mean_cost",
             "total_cost": "cost",
             "patient_count": "cost_n",
         },
@@ -381,10 +438,10 @@ def _age_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
 
 def _cancellation_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
     # the report name joins one row of sums to every reduction asked for
-    sums = cells.agg(*_summed_up()).withColumn("report", F.lit("cancellation_whatif"))
+    sums = _figures(cells.agg(*_summed_up())).withColumn("report", F.lit("cancellation_whatif"))
     expected = _total("cancel")
     prevented = f"{expected} * (percentage / 100)"
-    bed_days = f"{prevented} * {_mean('los')}"
+    bed_days = f"{prevented} * mean_los"
     return _long(
         requests.where(F.col("report") == "cancellation_whatif").join(sums, "report"),
         "''",
@@ -392,7 +449,7 @@ def _cancellation_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
             "reduction_percentage": "percentage",
             "current_expected_cancellations": f"bround({expected}, 2)",
             "cancellations_prevented": f"bround({prevented}, 2)",
-            "cost_savings": f"bround({prevented} * {_mean('cost')}, 2)",
+            "cost_savings": f"bround({prevented} * mean_cost, 2)",
             "bed_days_freed": f"bround({bed_days}, 2)",
             "weekly_capacity_freed": f"bround({bed_days} / 7 * 5, 2)",
         },
@@ -443,8 +500,8 @@ def _capacity_answers(requests: DataFrame, cells: DataFrame) -> DataFrame:
     return _long(capacity_answer_columns(rows), "''", {c: c for c in CAPACITY_METRICS})
 
 
-def _preview_answers(requests: DataFrame, patients: DataFrame) -> DataFrame:
-    first = preview(patients.select("patient_id", *PREVIEW_METRICS)).withColumn(
+def _preview_answers(requests: DataFrame, patients: DataFrame, size: int) -> DataFrame:
+    first = preview(patients.select("patient_id", *PREVIEW_METRICS), size).withColumn(
         "report", F.lit("preview")
     )
     return _long(
@@ -463,25 +520,35 @@ def _written_requests(questions: DataFrame) -> DataFrame:
     return written(with_requests(texts).drop("question"), "questions")
 
 
-def answer_requests(requested: DataFrame, patients: DataFrame) -> DataFrame:
-    """Answers of the distinct requests: request, report, key, metric, value.
+REQUEST = [
+    "request",
+    "report",
+    "specialties",
+    "seasons",
+    "age_min",
+    "age_max",
+    "percentage",
+    "baseline_capacity",
+]
+#: What answers read of a patient.
+PATIENT_COLUMNS = ["patient_id", "specialty", "season", *PREVIEW_METRICS]
 
-    The distinct requests and the patient cells are written once and read by every family
-    of reports that was asked for.
-    """
-    requests = written(
-        requested.select(
-            "request",
-            "report",
-            "specialties",
-            "seasons",
-            "age_min",
-            "age_max",
-            "percentage",
-            "baseline_capacity",
-        ).distinct(),
-        "requests",
+
+def request_table(requested: DataFrame) -> DataFrame:
+    """The distinct requests with the number of questions that ask each, ``asked``."""
+    return written(
+        requested.groupBy(*REQUEST).agg(F.count("*").alias("asked")), "requests"
     )
+
+
+def answer_requests(
+    requests: DataFrame, patients: DataFrame, preview_size: int = PREVIEW_SIZE
+) -> DataFrame:
+    """Answers of a request table: request, report, key, metric, value.
+
+    The requests and the patient cells are written once and read by every family of
+    reports that was asked for.
+    """
     # at most the eleven names of reports; families nobody asked for are left out
     asked = {row.report for row in requests.select("report").distinct().collect()}
     answers = []
@@ -492,7 +559,7 @@ def answer_requests(requested: DataFrame, patients: DataFrame) -> DataFrame:
     if "high_risk_patients" in asked:
         answers.append(_high_risk_answers(requests, patients))
     if "preview" in asked:
-        answers.append(_preview_answers(requests, patients))
+        answers.append(_preview_answers(requests, patients, preview_size))
     if not answers:
         return requests.sparkSession.createDataFrame([], ANSWER_SCHEMA)
     return reduce(DataFrame.unionByName, answers)
@@ -508,16 +575,78 @@ _CELL_FAMILIES = [
 ANSWER_SCHEMA = "request string, report string, key string, metric string, value double"
 
 
-def answer_questions(questions: DataFrame, patients: DataFrame) -> DataFrame:
+def stored_patients(patients: DataFrame) -> DataFrame:
+    """What answers read of the patients, evaluated once; several families read it."""
+    return written(patients.select(*PATIENT_COLUMNS), "patients")
+
+
+def answers_by_request(
+    questions: DataFrame, patients: DataFrame, preview_size: int = PREVIEW_SIZE
+) -> DataFrame:
+    """Answers at the grain of requests: request, report, asked, key, metric, value.
+
+    However many questions ask for the same thing, it is answered in as many rows as the
+    report has; ``asked`` is the number of those questions. ``requests_of`` tells which
+    question asks for which request. Requests whose report finds nothing have no rows.
+    """
+    requests = request_table(_written_requests(questions))
+    answers = answer_requests(requests, patients, preview_size)
+    return answers.join(requests.select("request", "asked"), "request").select(
+        "request", "report", "asked", "key", "metric", "value"
+    )
+
+
+def requests_of(questions: DataFrame) -> DataFrame:
+    """question_id, question_type, report and request of every question."""
+    return with_requests(questions).select("question_id", "question_type", "report", "request")
+
+
+#: A request that more than one question in so many asks is spread over ``SALTS`` keys.
+#: There can be no more such requests than this, whatever the number of questions.
+HOT_SHARE = 1000
+SALTS = 64
+
+
+def _salted(requested: DataFrame, requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows of questions joined with the answers of their requests, whatever the skew.
+
+    Questions of a hot request are dealt out over salts, and its answers, a few rows, are
+    repeated for each salt.
+    """
+    total = requests.agg(F.sum("asked")).first()[0] or 0
+    # fewer than HOT_SHARE rows
+    hot = F.broadcast(
+        requests.where(F.col("asked") * HOT_SHARE > total).select(
+            "request", F.lit(True).alias("_hot")
+        )
+    )
+    salt = F.pmod(F.xxhash64("question_id"), F.lit(SALTS)).cast("int")
+    left = (
+        requested.join(hot, "request", "left")
+        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
+        .drop("_hot")
+    )
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    right = (
+        answers.join(hot, "request", "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    )
+    return left.join(right, ["request", "_salt"]).drop("_salt")
+
+
+def answer_questions(
+    questions: DataFrame, patients: DataFrame, preview_size: int = PREVIEW_SIZE
+) -> DataFrame:
     """Answers in long form: question_id, report, key, metric, value.
 
     A question whose report finds nothing has no rows.
     """
     requested = _written_requests(questions)
-    return (
-        requested.select("question_id", "request")
-        .join(answer_requests(requested, patients), "request")
-        .select("question_id", "report", "key", "metric", "value")
+    requests = request_table(requested)
+    answers = answer_requests(requests, patients, preview_size)
+    return _salted(requested.select("question_id", "request"), requests, answers).select(
+        "question_id", "report", "key", "metric", "value"
     )
 
 
@@ -592,14 +721,17 @@ def _capacity_text() -> Column:
     )
 
 
-def format_answers(questions: DataFrame, patients: DataFrame) -> DataFrame:
+def format_answers(
+    questions: DataFrame, patients: DataFrame, preview_size: int = PREVIEW_SIZE
+) -> DataFrame:
     """One line of text per question: question_id, question_type, report, answer.
 
     What-if answers are sentences; table answers say how many records were found and list
     them by key, with metrics rounded to four decimals.
     """
     requested = _written_requests(questions)
-    answers = answer_requests(requested, patients)
+    requests = request_table(requested)
+    answers = answer_requests(requests, patients, preview_size)
     figures = ["reduction_percentage", "cost_savings", "bed_days_freed",
                "weekly_capacity_freed", "cancellations_prevented", *CAPACITY_METRICS]
     is_text = F.col("report").isin("cancellation_whatif", "capacity_answer")
@@ -614,8 +746,7 @@ def format_answers(questions: DataFrame, patients: DataFrame) -> DataFrame:
             .alias("answer"),
         )
     )
-    # means that end in 5 are shown alike in whatever order they were summed
-    shown = F.coalesce(_plain(F.col("value") + 1e-9, 4), F.lit("missing"))
+    shown = F.coalesce(_plain("value", 4), F.lit("missing"))
     # a request has one line per specialty, season, age group or previewed patient
     lines = (
         answers.where(~is_text)
@@ -642,13 +773,12 @@ def format_answers(questions: DataFrame, patients: DataFrame) -> DataFrame:
             ).alias("answer")
         )
     )
-    return (
-        requested.select("question_id", "question_type", "report", "request")
-        .join(sentences.unionByName(lines), "request", "left")
-        .select(
-            "question_id",
-            "question_type",
-            "report",
-            F.coalesce("answer", F.lit("No results found for this question.")).alias("answer"),
-        )
+    # a line for every request, so that the questions meet each of theirs once
+    texts = requests.select("request").join(sentences.unionByName(lines), "request", "left")
+    asked = requested.select("question_id", "question_type", "report", "request")
+    return _salted(asked, requests, written(texts, "texts")).select(
+        "question_id",
+        "question_type",
+        "report",
+        F.coalesce("answer", F.lit("No results found for this question.")).alias("answer"),
     )

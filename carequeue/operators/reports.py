@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from carequeue.functions import fixed_values as V
 from carequeue.functions import scoring as S
 from carequeue.functions.calendar import previous_season
+from carequeue.functions.exact import mean, total
 
 HIGH_RISK = 0.7
 
@@ -32,7 +33,7 @@ def _patients(alias: str = "patient_count") -> Column:
 
 def _sum(column: str | Column) -> Column:
     """Sum that is 0 when there is nothing to add."""
-    return F.coalesce(F.sum(column), F.lit(0.0))
+    return F.coalesce(total(column), F.lit(0.0))
 
 
 # -- filters -------------------------------------------------------------------------
@@ -85,9 +86,9 @@ def specialty_analysis(df: DataFrame, specialties: Sequence[str] | None = None)
         "specialty",
         _patients(),
         F.avg("wait_days").alias("avg_wait_days"),
-        F.avg("cost_estimate").alias("avg_cost"),
-        F.avg("cancel_risk").alias("avg_cancel_risk"),
-        F.avg("readmit_risk").alias("avg_readmit_risk"),
+        mean("cost_estimate").alias("avg_cost"),
+        mean("cancel_risk").alias("avg_cancel_risk"),
+        mean("readmit_risk").alias("avg_readmit_risk"),
     ).orderBy("specialty")
 
 
@@ -106,8 +107,8 @@ def high_risk_by_specialty(
         _keep(df.where(F.col("readmit_risk") > percentage / 100), "specialty", specialties),
         "specialty",
         _patients("high_risk_count"),
-        F.avg("readmit_risk").alias("avg_risk"),
-        F.avg("cost_estimate").alias("avg_cost"),
+        mean("readmit_risk").alias("avg_risk"),
+        mean("cost_estimate").alias("avg_cost"),
     ).orderBy("specialty")
 
 
@@ -116,7 +117,7 @@ def cost_impact(df: DataFrame, specialties: Sequence[str] | None = None) -> Data
         _keep(df, "specialty", specialties),
         "specialty",
         _sum("cost_estimate").alias("total_cost"),
-        F.avg("cost_estimate").alias("avg_cost"),
+        mean("cost_estimate").alias("avg_cost"),
         F.count("cost_estimate").alias("patient_count"),
         _sum(S.potential_cancellation_loss()).alias("potential_loss_from_cancellations"),
     ).orderBy("specialty")
@@ -135,7 +136,7 @@ def wait_ranking(df: DataFrame) -> DataFrame:
 
 
 def cancel_ranking(df: DataFrame) -> DataFrame:
-    return _by(df, "specialty", F.avg("cancel_risk").alias("avg_cancel_risk")).orderBy(
+    return _by(df, "specialty", mean("cancel_risk").alias("avg_cancel_risk")).orderBy(
         F.desc("avg_cancel_risk"), "specialty"
     )
 
@@ -147,7 +148,7 @@ def top_specialty(df: DataFrame) -> DataFrame:
 
 def highest_risk_specialty(df: DataFrame) -> DataFrame:
     return (
-        _by(df, "specialty", F.avg("readmit_risk").alias("avg_readmit_risk"))
+        _by(df, "specialty", mean("readmit_risk").alias("avg_readmit_risk"))
         .orderBy(F.desc("avg_readmit_risk"), "specialty")
         .limit(1)
     )
@@ -162,7 +163,7 @@ def seasonal_analysis_basic(
     return _by(
         _keep(df, "specialty", specialties),
         "season",
-        F.avg("cancel_risk").alias("avg_cancel_risk"),
+        mean("cancel_risk").alias("avg_cancel_risk"),
         _patients("total_cases"),
     ).orderBy(F.desc("avg_cancel_risk"), "season")
 
@@ -175,9 +176,9 @@ def seasonal_analysis(
     return _by(
         _keep(_keep(df, "season", seasons), "specialty", specialties),
         "season",
-        F.avg("cancel_risk").alias("avg_cancel_risk"),
-        F.avg("readmit_risk").alias("avg_readmit_risk"),
-        F.avg("cost_estimate").alias("avg_cost"),
+        mean("cancel_risk").alias("avg_cancel_risk"),
+        mean("readmit_risk").alias("avg_readmit_risk"),
+        mean("cost_estimate").alias("avg_cost"),
         _patients("total_cases"),
     ).orderBy(F.desc("avg_cancel_risk"), "season")
 
@@ -204,8 +205,8 @@ def season_risk(df: DataFrame) -> DataFrame:
         _by(
             df,
             "season",
-            F.bround(F.avg("cancel_risk"), 3).alias("avg_cancel_risk"),
-            F.bround(F.avg("readmit_risk"), 3).alias("avg_readmit_risk"),
+            F.bround(mean("cancel_risk"), 3).alias("avg_cancel_risk"),
+            F.bround(mean("readmit_risk"), 3).alias("avg_readmit_risk"),
         )
     )
 
@@ -216,10 +217,10 @@ def season_cost_delta(df: DataFrame, current: str | None = None) -> DataFrame:
     Where one of the two seasons has no patients, a tenth of the whole cost is shown
     instead and the row is marked.
     """
-    total = _sum("cost_estimate").alias("total")
+    whole = _sum("cost_estimate").alias("total")
     if "season" in df.columns:
         sums = [
-            F.sum(F.when(F.col("season") == s, F.coalesce("cost_estimate", F.lit(0.0)))).alias(s)
+            total(F.when(F.col("season") == s, F.coalesce("cost_estimate", F.lit(0.0)))).alias(s)
             for s in V.SEASONS
         ]
     else:
@@ -233,7 +234,7 @@ def season_cost_delta(df: DataFrame, current: str | None = None) -> DataFrame:
     )
     costs = F.create_map(*[x for s in V.SEASONS for x in (F.lit(s), F.col(s))])
     return (
-        df.agg(total, *sums)
+        df.agg(whole, *sums)
         .select("total", costs.alias("costs"), F.inline(rows))
         .withColumn("previous_season", previous_season(F.col("current_season")))
         .withColumn("previous_cost", F.element_at("costs", F.col("previous_season")))
@@ -276,7 +277,7 @@ def age_based_risk(df: DataFrame, **ages) -> DataFrame:
     """Readmission risk by age bin, youngest first. Keywords as in ``filter_ages``."""
     return _by_age_group(
         filter_ages(df, **ages),
-        F.avg("readmit_risk").alias("avg_readmit_risk"),
+        mean("readmit_risk").alias("avg_readmit_risk"),
         _patients("total_patients"),
     ).orderBy(S.age_group_order(F.col("age_group")))
 
@@ -284,7 +285,7 @@ def age_based_risk(df: DataFrame, **ages) -> DataFrame:
 def age_based_cancellation(df: DataFrame, **ages) -> DataFrame:
     return _by_age_group(
         filter_ages(df, **ages),
-        F.avg("cancel_risk").alias("avg_cancel_risk"),
+        mean("cancel_risk").alias("avg_cancel_risk"),
         _patients("total_patients"),
     ).orderBy(F.desc("avg_cancel_risk"), S.age_group_order(F.col("age_group")))
 
@@ -292,8 +293,8 @@ def age_based_cancellation(df: DataFrame, **ages) -> DataFrame:
 def age_based_cost(df: DataFrame, **ages) -> DataFrame:
     return _by_age_group(
         filter_ages(df, **ages).where(F.col("cost_estimate").isNotNull()),
-        F.avg("cost_estimate").alias("avg_cost"),
-        F.sum("cost_estimate").alias("total_cost"),
+        mean("cost_estimate").alias("avg_cost"),
+        total("cost_estimate").alias("total_cost"),
         F.count("cost_estimate").alias("patient_count"),
     ).orderBy(F.desc("avg_cost"), S.age_group_order(F.col("age_group")))
 
@@ -368,7 +369,7 @@ def high_risk_summary(df: DataFrame, percentage: float = V.DEFAULT_RISK_PERCENTA
     return df.agg(
         count.alias("high_risk_patient_count"),
         F.lit(threshold).alias("risk_threshold"),
-        F.bround(F.coalesce(F.avg(F.when(high, F.col("cost_estimate"))), F.lit(0.0)), 2).alias(
+        F.bround(F.coalesce(mean(F.when(high, F.col("cost_estimate"))), F.lit(0.0)), 2).alias(
             "avg_cost_high_risk"
         ),
         (count > 0).alias("potential_intervention_needed"),
@@ -381,8 +382,8 @@ def cancellation_whatif(
     """What fewer cancellations would save, per reduction and optionally per group."""
     totals = df.groupBy(*by).agg(
         _sum("cancel_risk").alias("expected"),
-        F.avg("cost_estimate").alias("avg_cost"),
-        F.avg("los").alias("avg_los"),
+        mean("cost_estimate").alias("avg_cost"),
+        mean("los").alias("avg_los"),
     )
     reductions = F.explode(F.array(*[F.lit(float(p)) for p in percentages]))
     prevented = F.col("expected") * (F.col("reduction_percentage") / 100)

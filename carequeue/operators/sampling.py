@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # A quadratic over the residues of a prime: its products stay within 64 bits.
 PRIME = 2147483647
 MULTIPLIER = 48271
-_BUCKET_WIDTH = 32768  # 65,536 buckets
+#: Groups in which tasks' smallest rows are merged before they meet.
+MERGES = 64
 
 
 def sample_key(row_id: str, seed: int) -> Column:
@@ -20,28 +21,21 @@ def sample_key(row_id: str, seed: int) -> Column:
 def fixed_sample(df: DataFrame, size: int, seed: int = 42, row_id: str = "patient_id") -> DataFrame:
     """The ``size`` rows with the smallest keys, or all rows if there are fewer.
 
-    Counts per key bucket tell how many rows each bucket gives; only buckets that give
-    any are looked at again, and each is numbered on its own.
+    Rows are read once. Each task keeps the smallest of its own rows, which are merged in
+    ``MERGES`` groups and these in the end: what is passed on never exceeds ``size`` rows
+    per task and group.
     """
-    keyed = df.withColumn("_key", sample_key(row_id, seed)).withColumn(
-        "_bucket", F.floor(F.col("_key") / _BUCKET_WIDTH).cast("int")
-    )
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        keyed.groupBy("_bucket")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .where(F.col("_before") < size)
-        .select("_bucket", (F.lit(size) - F.col("_before")).alias("_take"))
-    )
-    nth = Window.partitionBy("_bucket").orderBy("_key", row_id)
-    return (
-        # at most 65,536 pairs of numbers, whatever the number of patients
-        keyed.join(F.broadcast(buckets), "_bucket")
-        .withColumn("_nth", F.row_number().over(nth))
-        .where(F.col("_nth") <= F.col("_take"))
-        .select(*df.columns)
+    if size <= 0:
+        return df.limit(0)
+    keyed = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+        sample_key(row_id, seed).alias("_key"),
+        F.col(row_id).alias("_id"),
+        (F.spark_partition_id() % MERGES).alias("_group"),
     )
+    nth = Window.partitionBy("_group").orderBy("_key", "_id")
+    smallest = keyed.withColumn("_nth", F.row_number().over(nth)).where(F.col("_nth") <= size)
+    return smallest.orderBy("_key", "_id").limit(size).select("_row.*")
 
 
 def preview(df: DataFrame, size: int = 10, row_id: str = "patient_id") -> DataFrame:

@@ -5,9 +5,17 @@ Used by the registered queries, so that what they read grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carequeue.functions import fixed_values as V
+from carequeue.operators.lookup import glossary
+from carequeue.operators.rank import rank_rows
+from carequeue.sources.tables import load_table
+
+# A word of a text: characters between spaces and marks.
+WORD = "[^ .,;:!?\n]+"
+
 # Question forms; one per patient, filled from the patient's own columns.
 QUESTION_FORMS = [
     "What is the average wait time for {specialty}?",
@@ -90,3 +98,34 @@ def typed_questions(patients: DataFrame) -> DataFrame:
     return asked.select(
         "question_id", F.substring("question", F.lit(1), length).alias("typed")
     )
+
+
+def whole_and_prefixes(patients: DataFrame) -> DataFrame:
+    """What is in the box while a question is typed: its beginning, and all of it."""
+    whole = patient_questions(patients).select("question_id", F.col("question").alias("typed"))
+    return typed_questions(patients).union(whole)
+
+
+def asked_before(patients: DataFrame) -> DataFrame:
+    """The distinct questions of all patients as suggestions, the most frequent first."""
+    counted = patient_questions(patients).groupBy(F.col("question").alias("suggestion")).agg(
+        F.count("*").alias("n")
+    )
+    order = (F.desc("n"), F.asc("suggestion"))
+    return rank_rows(counted, *order, position="position").select("position", "suggestion")
+
+
+def terms_and_words(spark: SparkSession, folder: str) -> DataFrame:
+    """A long glossary: the fixed one, then the words of the benchmark in order."""
+    fixed = glossary(spark).select("position", "term", "title", "url")
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    named = load_table(spark, folder, "benchmark").select(words.alias("term")).distinct()
+    ranked = rank_rows(named, F.col("term").asc(), position="position")
+    return fixed.union(
+        ranked.select(
+            F.col("position") + len(V.MEDICAL_TERMS) - 1,
+            "term",
+            F.concat(F.lit("The word "), F.col("term")),
+            F.lit(None).cast("string"),
+        )
+    )

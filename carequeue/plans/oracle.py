@@ -7,10 +7,12 @@ and questions are paired with patients.
 
 from __future__ import annotations
 
+import re
+
 from carequeue.functions import fixed_values as V
 from carequeue.operators.lookup import SUGGESTIONS_SHOWN
 from carequeue.operators.sampling import MULTIPLIER, PRIME
-from carequeue.plans.asked import QUESTION_FORMS, SEARCH_FORMS
+from carequeue.plans.asked import QUESTION_FORMS, SEARCH_FORMS, WORD
 from carequeue.plans.registry import REDUCTIONS, SCENARIOS
 
 RAW = """
@@ -50,6 +52,22 @@ patients as (
   from raw
 )"""
 
+# In the texts below <sum x> and <avg x> stand for sums and means of doubles that do not
+# depend on the order of the rows: in units of 2^-52, the least fraction that is added.
+_UNITS = "4503599627370496"
+
+
+def _sum(value: str) -> str:
+    """Whole units are added exactly and rounded once. No value here is negative."""
+    units = f"sum(cast(floor(({value}) * {_UNITS}e0) as hugeint))"
+    return f"(cast({units} // {_UNITS} as double) + cast({units} % {_UNITS} as double) / {_UNITS}e0)"
+
+
+def _expanded(sql: str) -> str:
+    sql = re.sub(r"<avg ([^>]+)>", r"(<sum \1> / count(\1))", sql)
+    return re.sub(r"<sum ([^>]+)>", lambda m: _sum(m[1]), sql)
+
+
 SCORED = (
     RAW
     + """,
@@ -271,14 +289,14 @@ grouped as (
   select request, report,
     case when report = 'seasonal_analysis' then season
       when report like 'age_based%' then age_group else specialty end as key,
-    count(*) as n, avg(wait_days) as wait, avg(cost_estimate) as cost,
-    avg(cancel_risk) as cancel, avg(readmit_risk) as readmit, sum(cost_estimate) as total,
-    sum(cost_estimate * cancel_risk) as loss
+    count(*) as n, avg(wait_days) as wait, <avg cost_estimate> as cost,
+    <avg cancel_risk> as cancel, <avg readmit_risk> as readmit, <sum cost_estimate> as total,
+    <sum cost_estimate * cancel_risk> as loss
   from pairs group by all
 ),
 totals as (
-  select count(*) as total_patients, sum(cancel_risk) as expected, avg(cost_estimate) as cost,
-    avg(los) as los from scored
+  select count(*) as total_patients, <sum cancel_risk> as expected, <avg cost_estimate> as cost,
+    <avg los> as los from scored
 ),
 whatif as (
   select request, report, percentage, expected, expected * (percentage / 100) as prevented,
@@ -354,7 +372,7 @@ FORMATTED = """
 lines as (
   select request, report, key, string_agg(metric || '=' || shown, ', '
       order by metric || '=' || shown) as line
-  from (select *, coalesce(format('{:.4f}', value + 1e-9), 'missing') as shown from answers)
+  from (select *, coalesce(format('{:.4f}', value), 'missing') as shown from answers)
   where report not in ('cancellation_whatif', 'capacity_answer') group by all
 ),
 tables as (
@@ -397,6 +415,37 @@ def _glossary() -> str:
     )
 
 
+FIXED_TERMS = f"fixed_terms(position, term, title, url) as (values {_glossary()})"
+
+# Whole texts against the table glossary: the exact term first, else the first partial one.
+LOOKED_UP = """
+looked_up as (
+  select q.question_id, g.* from questions q left join (
+    select wanted, unnest(min_by(g, (case when g.term = wanted then 0 else 1 end, g.position)))
+    from (select distinct trim(lower(question)) as wanted from questions) d
+    join glossary g on d.wanted <> '' and (contains(g.term, d.wanted)
+      or contains(d.wanted, g.term) or contains(lower(g.title), d.wanted))
+    group by wanted) g on g.wanted = trim(lower(q.question))
+)"""
+
+# What is typed, beginnings and whole questions, against the table offered.
+SUGGESTED = f"""
+typing as (
+  select question_id, substring(question, 1, cast(1 + question_id * 7 % 20 as int)) as typed
+  from questions
+  union all select question_id, question from questions
+),
+matching as (
+  select typed, suggestion, row_number() over (partition by typed order by position) as nth
+  from (select distinct typed from typing where length(typed) >= 2) join offered
+    on contains(lower(suggestion), lower(typed)) and lower(suggestion) <> lower(typed)
+),
+suggested as (
+  select question_id, typed, cast(nth as int) as rank, suggestion
+  from typing join matching using (typed) where nth <= {SUGGESTIONS_SHOWN}
+)"""
+
+
 def _over(*parts: str, select: str) -> str:
     return "with " + ", ".join(p.strip() for p in parts) + "\n" + select.strip()
 
@@ -421,8 +470,8 @@ ONE_HOT = ",\n".join(
 STAFF_BASE = """
 base as (
   select s.*, t.* from scenarios s,
-    (select count(*) as n, avg(doctors_fte) as doctors, avg(nurses_fte) as nurses,
-       avg(cost_estimate) as avg_cost from scored) t
+    (select count(*) as n, <avg doctors_fte> as doctors, <avg nurses_fte> as nurses,
+       <avg cost_estimate> as avg_cost from scored) t
 )"""
 
 ORACLE: dict[str, str] = {
@@ -448,7 +497,7 @@ ORACLE: dict[str, str] = {
     ),
     "sql_passthrough": _scored(
         """select specialty, gender, count(*) as patient_count,
-             round(avg(readmit_risk), 6) as avg_readmit_risk
+             avg(wait_days) as avg_wait_days
            from scored group by specialty, gender"""
     ),
     "season_of_date": """select o_orderkey,
@@ -470,14 +519,14 @@ ORACLE: dict[str, str] = {
            where readmit_risk > 0.7e0"""
     ),
     "avg_wait_filtered": _scored(
-        """select specialty, round(avg(wait_days), 6) as avg_wait_days, count(*) as patient_count
+        """select specialty, avg(wait_days) as avg_wait_days, count(*) as patient_count
            from scored where specialty in ('Cardiology', 'ENT', 'Orthopedics')
            group by specialty"""
     ),
     "seasonal_filtered": _scored(
-        """select season, round(avg(cancel_risk), 6) as avg_cancel_risk,
-             round(avg(readmit_risk), 6) as avg_readmit_risk,
-             round(avg(cost_estimate), 6) as avg_cost, count(*) as total_cases
+        """select season, <avg cancel_risk> as avg_cancel_risk,
+             <avg readmit_risk> as avg_readmit_risk,
+             <avg cost_estimate> as avg_cost, count(*) as total_cases
            from scored where season in ('Winter', 'Summer')
              and specialty in ('Cardiology', 'Urology') group by season"""
     ),
@@ -499,8 +548,8 @@ ORACLE: dict[str, str] = {
            left join patients p using (season) group by s.season"""
     ),
     "season_risk": _scored(
-        """select s.season, coalesce(round_even(avg(cancel_risk), 3), 0) as avg_cancel_risk,
-             coalesce(round_even(avg(readmit_risk), 3), 0) as avg_readmit_risk
+        """select s.season, coalesce(round_even(<avg cancel_risk>, 3), 0) as avg_cancel_risk,
+             coalesce(round_even(<avg readmit_risk>, 3), 0) as avg_readmit_risk
            from (values ('Autumn'), ('Spring'), ('Summer'), ('Winter')) s(season)
            left join scored p using (season) group by s.season"""
     ),
@@ -520,91 +569,110 @@ ORACLE: dict[str, str] = {
         select="""select s.patient_id, s.search, f.term, f.title, f.url
           from searches s left join found f on f.search = s.search and f.nth = 1""",
     ),
+    "term_lookup_conversations": _over(
+        SAID,
+        FIXED_TERMS,
+        "glossary as (select * from fixed_terms)",
+        LOOKED_UP,
+        select="""select question_id, cast(position as bigint) as position, term, title, url
+          from looked_up""",
+    ),
+    "term_lookup_documents": _over(
+        WRITTEN,
+        FIXED_TERMS,
+        f"""words as (select distinct unnest(regexp_extract_all(lower(text), {_literal(WORD)})) as term
+          from benchmark)""",
+        f"""glossary as (select * from fixed_terms union all
+          select {len(V.MEDICAL_TERMS)} - 1 + row_number() over (order by term), term,
+            'The word ' || term, null from words)""",
+        LOOKED_UP,
+        select="""select question_id, cast(position as bigint) as position, term, title, url
+          from looked_up""",
+    ),
     "suggest_queries": _over(
         RAW,
         QUESTIONS,
         f"""offered(position, suggestion) as (
           values {_values((i + 1, s) for i, s in enumerate(V.SUGGESTIONS))})""",
-        """typing as (select question_id,
-          substring(question, 1, cast(1 + question_id * 7 % 20 as int)) as typed
-          from questions)""",
-        """distinct_typed as (select distinct typed from typing where length(typed) >= 2)""",
-        """matching as (
-          select typed, suggestion, row_number() over (
-            partition by typed order by position) as nth
-          from distinct_typed join offered
-            on contains(lower(suggestion), lower(typed)) and lower(suggestion) <> lower(typed))""",
-        select=f"""select question_id, typed, cast(nth as int) as rank, suggestion
-          from typing join matching using (typed) where nth <= {SUGGESTIONS_SHOWN}""",
+        SUGGESTED,
+        select="select question_id, typed, rank, suggestion from suggested",
+    ),
+    "suggest_asked": _over(
+        RAW,
+        QUESTIONS,
+        """offered as (select row_number() over (order by count(*) desc, question) as position,
+          question as suggestion from questions group by question)""",
+        SUGGESTED,
+        select="select question_id, typed, rank, suggestion from suggested",
     ),
     "average_wait_time": _scored(
-        """select specialty, round(avg(wait_days), 6) as avg_wait_days, count(*) as patient_count
+        """select specialty, avg(wait_days) as avg_wait_days, count(*) as patient_count
            from scored group by specialty"""
     ),
     "specialty_analysis": _scored(
-        """select specialty, count(*) as patient_count, round(avg(wait_days), 6) as avg_wait_days,
-             round(avg(cost_estimate), 6) as avg_cost,
-             round(avg(cancel_risk), 6) as avg_cancel_risk,
-             round(avg(readmit_risk), 6) as avg_readmit_risk
+        """select specialty, count(*) as patient_count, avg(wait_days) as avg_wait_days,
+             <avg cost_estimate> as avg_cost,
+             <avg cancel_risk> as avg_cancel_risk,
+             <avg readmit_risk> as avg_readmit_risk
            from scored group by specialty"""
     ),
     "high_risk_by_specialty": _scored(
-        """select specialty, count(*) as high_risk_count, round(avg(readmit_risk), 6) as avg_risk,
-             round(avg(cost_estimate), 6) as avg_cost
+        """select specialty, count(*) as high_risk_count, <avg readmit_risk> as avg_risk,
+             <avg cost_estimate> as avg_cost
            from scored where readmit_risk > 70 / 100e0 group by specialty"""
     ),
     "cost_impact": _scored(
-        """select specialty, round(sum(cost_estimate), 4) as total_cost,
-             round(avg(cost_estimate), 4) as avg_cost, count(cost_estimate) as patient_count,
-             round(sum(cost_estimate * cancel_risk), 4) as potential_loss_from_cancellations
+        """select specialty, <sum cost_estimate> as total_cost,
+             <avg cost_estimate> as avg_cost, count(cost_estimate) as patient_count,
+             <sum cost_estimate * cancel_risk> as potential_loss_from_cancellations
            from scored group by specialty"""
     ),
     "seasonal_analysis_basic": _scored(
-        """select season, round(avg(cancel_risk), 6) as avg_cancel_risk, count(*) as total_cases
+        """select season, <avg cancel_risk> as avg_cancel_risk, count(*) as total_cases
            from scored group by season"""
     ),
     "seasonal_analysis": _scored(
-        """select season, round(avg(cancel_risk), 6) as avg_cancel_risk,
-             round(avg(readmit_risk), 6) as avg_readmit_risk,
-             round(avg(cost_estimate), 6) as avg_cost, count(*) as total_cases
+        """select season, <avg cancel_risk> as avg_cancel_risk,
+             <avg readmit_risk> as avg_readmit_risk,
+             <avg cost_estimate> as avg_cost, count(*) as total_cases
            from scored group by season"""
     ),
     "age_based_risk": _scored(
-        """select age_group, round(avg(readmit_risk), 6) as avg_readmit_risk,
+        """select age_group, <avg readmit_risk> as avg_readmit_risk,
              count(*) as total_patients
            from scored where age_group is not null group by age_group"""
     ),
     "age_based_cancellation": _scored(
-        """select age_group, round(avg(cancel_risk), 6) as avg_cancel_risk,
+        """select age_group, <avg cancel_risk> as avg_cancel_risk,
              count(*) as total_patients
            from scored where age_group is not null group by age_group"""
     ),
     "age_based_cost": _scored(
-        """select age_group, round(avg(cost_estimate), 4) as avg_cost,
-             round(sum(cost_estimate), 4) as total_cost, count(cost_estimate) as patient_count
+        """select age_group, <avg cost_estimate> as avg_cost,
+             <sum cost_estimate> as total_cost, count(cost_estimate) as patient_count
            from scored where age_group is not null group by age_group"""
     ),
     "overview_kpis": _scored(
-        """select count(*) as total_patients, round(avg(wait_days), 4) as avg_wait_days,
+        """select count(*) as total_patients, avg(wait_days) as avg_wait_days,
              count(*) filter (readmit_risk > 0.7e0) as high_risk_patients,
-             round(sum(cost_estimate), 4) as total_cost, round(avg(age), 4) as avg_age,
+             <sum cost_estimate> as total_cost, avg(age) as avg_age,
              count(*) filter (season = 'Winter') as winter_patients from scored"""
     ),
     "season_cost_delta": _over(
         SCORED,
-        "costs as (select season, sum(cost_estimate) as cost from scored group by season)",
+        "costs as (select season, <sum cost_estimate> as cost from scored group by season)",
         """pairs(current_season, previous_season) as (values ('Winter', 'Autumn'),
           ('Spring', 'Winter'), ('Summer', 'Spring'), ('Autumn', 'Summer'))""",
         """deltas as (
           select p.*, c.cost as current_cost, b.cost as previous_cost,
             c.cost is null or b.cost is null as is_fallback,
             case when c.cost is null or b.cost is null
-              then (select sum(cost_estimate) from scored) / 10
+              then (select <sum cost_estimate> from scored) / 10
               else c.cost - b.cost end as cost_delta
           from pairs p left join costs c on c.season = p.current_season
             left join costs b on b.season = p.previous_season)""",
-        select="""select current_season, previous_season, round(current_cost, 2) as current_cost,
-            round(previous_cost, 2) as previous_cost, round(cost_delta, 2) as cost_delta,
+        select="""select current_season, previous_season, current_cost,
+            previous_cost, cost_delta,
             is_fallback, case when cost_delta >= 0 then '+£' else '£' end
               || format('{:.1f}', cost_delta / 1000000) || 'M '
               || case when is_fallback then 'this quarter'
@@ -615,24 +683,24 @@ ORACLE: dict[str, str] = {
         "select specialty, count(*) as patient_count from patients group by specialty"
     ),
     "wait_ranking": _scored(
-        "select specialty, round(avg(wait_days), 6) as avg_wait_days from scored group by specialty"
+        "select specialty, avg(wait_days) as avg_wait_days from scored group by specialty"
     ),
     "specialty_performance": _scored(
         """select specialty, count(*) as patient_count,
              round_even(avg(wait_days), 2) as avg_wait_days,
-             round_even(avg(cost_estimate), 2) as avg_cost,
-             round_even(avg(cancel_risk), 2) as avg_cancel_risk,
-             round_even(avg(readmit_risk), 2) as avg_readmit_risk
+             round_even(<avg cost_estimate>, 2) as avg_cost,
+             round_even(<avg cancel_risk>, 2) as avg_cancel_risk,
+             round_even(<avg readmit_risk>, 2) as avg_readmit_risk
            from scored group by specialty"""
     ),
     "risk_histogram": _scored(
-        """select bin, round(bin * 0.05e0, 6) as bin_start, count(*) as patient_count,
+        """select bin, bin * 0.05e0 as bin_start, count(*) as patient_count,
              count(*) filter (readmit_risk > 0.7e0) as above_threshold
            from (select *, least(cast(floor(readmit_risk / 0.05e0) as int), 19) as bin
                  from scored) group by bin"""
     ),
     "cancel_ranking": _scored(
-        """select specialty, round(avg(cancel_risk), 6) as avg_cancel_risk from scored
+        """select specialty, <avg cancel_risk> as avg_cancel_risk from scored
            group by specialty"""
     ),
     "top_specialty": _patients(
@@ -640,8 +708,8 @@ ORACLE: dict[str, str] = {
            order by patient_count desc, specialty limit 1"""
     ),
     "highest_risk_specialty": _scored(
-        """select specialty, round(avg(readmit_risk), 6) as avg_readmit_risk from scored
-           group by specialty order by avg(readmit_risk) desc, specialty limit 1"""
+        """select specialty, <avg readmit_risk> as avg_readmit_risk from scored
+           group by specialty order by <avg readmit_risk> desc, specialty limit 1"""
     ),
     "column_profile": _patients(
         """select 'specialty' as column, count(distinct specialty) as distinct_values,
@@ -652,13 +720,13 @@ ORACLE: dict[str, str] = {
              from patients"""
     ),
     "label_rate": _scored(
-        """select round(avg(efficiency_label), 6) as efficiency_rate, count(*) as patient_count
+        """select avg(efficiency_label) as efficiency_rate, count(*) as patient_count
            from scored"""
     ),
     "cancellation_whatif": _over(
         SCORED,
         f"r(reduction_percentage) as (values {_values((p,) for p in REDUCTIONS)})",
-        """t as (select sum(cancel_risk) as expected, avg(cost_estimate) as cost, avg(los) as los
+        """t as (select <sum cancel_risk> as expected, <avg cost_estimate> as cost, <avg los> as los
           from scored)""",
         """p as (select *, expected * (reduction_percentage / 100) as prevented from r, t)""",
         select="""select reduction_percentage,
@@ -670,7 +738,7 @@ ORACLE: dict[str, str] = {
     ),
     "high_risk_summary": _scored(
         """select count(*) as high_risk_patient_count, 0.7e0 as risk_threshold,
-             coalesce(round_even(avg(cost_estimate), 2), 0) as avg_cost_high_risk,
+             coalesce(round_even(<avg cost_estimate>, 2), 0) as avg_cost_high_risk,
              count(*) > 0 as potential_intervention_needed
            from scored where readmit_risk > 0.7e0"""
     ),
@@ -679,6 +747,14 @@ ORACLE: dict[str, str] = {
         RANKED,
         select="select patient_id, priority_score, wait_days, queue_position from ranked",
     ),
+    "queue_after_batches": _over(
+        SCORED,
+        "after(batches) as (values (1), (2), (3))",
+        select="""select patient_id, priority_score, wait_days, row_number() over (
+            partition by batches order by priority_score desc, wait_days desc, patient_id)
+            as queue_position, batches
+          from scored join after on patient_id % 3 < batches""",
+    ),
     "capacity_schedule": _over(
         SCORED,
         RANKED,
@@ -718,7 +794,7 @@ ORACLE: dict[str, str] = {
               < ceil(queue_position / baseline_capacity)) as moved,
             avg(ceil(queue_position / baseline_capacity)
               - ceil(queue_position / new_capacity)) as avg_saved,
-            avg(doctors_fte) as doctors, avg(nurses_fte) as nurses,
+            <avg doctors_fte> as doctors, <avg nurses_fte> as nurses,
             cast(sum(planned_count) as bigint) as planned
           from ranked, scenarios s group by s.scenario_id)""",
         """staffed as (select *, planned / doctors as per_doctor, planned / nurses as per_nurse
@@ -726,16 +802,16 @@ ORACLE: dict[str, str] = {
         select="""select scenario_id, total_patients, base as baseline_capacity,
             new as new_capacity, added as additional_capacity, baseline_weeks, new_weeks,
             baseline_weeks - new_weeks as weeks_saved, moved as patients_moved_earlier,
-            round(avg_saved, 6) as avg_weeks_saved, round(doctors, 6) as current_doctors,
-            round(nurses, 6) as current_nurses, round(per_doctor, 6) as patients_per_doctor,
-            round(per_nurse, 6) as patients_per_nurse,
-            round(added / per_doctor, 6) as additional_doctors_needed,
-            round(added / per_nurse, 6) as additional_nurses_needed,
-            round(added * 0.6e0 / per_doctor, 6) as mixed_scenario_doctors,
-            round(added * 0.4e0 / per_nurse, 6) as mixed_scenario_nurses,
-            round(added / per_doctor * 80000, 6) as cost_doctors_only,
-            round(added / per_nurse * 35000, 6) as cost_nurses_only,
-            round(added * 0.6e0 / per_doctor * 80000 + added * 0.4e0 / per_nurse * 35000, 6)
+            avg_saved as avg_weeks_saved, doctors as current_doctors,
+            nurses as current_nurses, per_doctor as patients_per_doctor,
+            per_nurse as patients_per_nurse,
+            added / per_doctor as additional_doctors_needed,
+            added / per_nurse as additional_nurses_needed,
+            added * 0.6e0 / per_doctor as mixed_scenario_doctors,
+            added * 0.4e0 / per_nurse as mixed_scenario_nurses,
+            added / per_doctor * 80000 as cost_doctors_only,
+            added / per_nurse * 35000 as cost_nurses_only,
+            added * 0.6e0 / per_doctor * 80000 + added * 0.4e0 / per_nurse * 35000
               as cost_mixed_scenario
           from staffed""",
     ),
@@ -800,7 +876,7 @@ ORACLE: dict[str, str] = {
             cast(round_even(doctors, 0) as bigint) as actual_doctors,
             cast(round_even(nurses, 0) as bigint) as actual_nurses, approach, doctors_added,
             nurses_added, doctors_added * 80000 + nurses_added * 35000 as annual_cost,
-            round((doctors_added * 80000 + nurses_added * 35000) / 12e0, 6) as monthly_cost
+            (doctors_added * 80000 + nurses_added * 35000) / 12e0 as monthly_cost
           from options""",
     ),
     "staffing_options": _over(
@@ -825,7 +901,7 @@ ORACLE: dict[str, str] = {
             cast(round_even(doctors, 0) as bigint) as actual_doctors,
             cast(round_even(nurses, 0) as bigint) as actual_nurses, approach, doctors_added,
             nurses_added, doctors_added * 80000 + nurses_added * 35000 as annual_cost,
-            round((doctors_added * 80000 + nurses_added * 35000) / 12e0, 6) as monthly_cost
+            (doctors_added * 80000 + nurses_added * 35000) / 12e0 as monthly_cost
           from options""",
     ),
     "backlog_timeline": _capacity(
@@ -847,12 +923,12 @@ ORACLE: dict[str, str] = {
         """net as (select *, additional_capacity * 4 * avg_cost as monthly,
           additional_capacity * 52 * avg_cost as annual,
           additional_capacity * 4 * avg_cost - staff / 12e0 as monthly_net from costs)""",
-        select="""select scenario_id, additional_capacity, round(avg_cost, 3) as avg_cost,
-            round(monthly, 3) as monthly_revenue, round(annual, 3) as annual_revenue,
-            staff as annual_staff_cost, round(staff / 12e0, 3) as monthly_staff_cost,
-            round(monthly_net, 3) as monthly_net_benefit,
-            round(annual - staff, 3) as annual_net_benefit,
-            round(case when monthly_net > 0 then staff / monthly_net end, 3) as payback_months
+        select="""select scenario_id, additional_capacity, avg_cost,
+            monthly as monthly_revenue, annual as annual_revenue,
+            staff as annual_staff_cost, staff / 12e0 as monthly_staff_cost,
+            monthly_net as monthly_net_benefit,
+            annual - staff as annual_net_benefit,
+            case when monthly_net > 0 then staff / monthly_net end as payback_months
           from net""",
     ),
     "classify_questions": _over(
@@ -890,14 +966,43 @@ ORACLE: dict[str, str] = {
             nullif(array_to_string(season_list, '|'), '') as seasons,
             age, age_min, age_max, age_group from parameters""",
     ),
+    "extract_documents": _over(
+        WRITTEN,
+        TYPED,
+        ROUTED,
+        PARAMETERS,
+        select="""select question_id, percentage,
+            nullif(array_to_string([try_cast(floor(x) as bigint) || '+'
+              || cast(x - floor(x) as decimal(9, 6)) for x in number_list], '|'), '')
+              as numbers,
+            baseline_capacity, risk_weight, threshold,
+            nullif(array_to_string(specialty_list, '|'), '') as specialties,
+            nullif(array_to_string(season_list, '|'), '') as seasons,
+            age, age_min, age_max, age_group from parameters""",
+    ),
     "route_documents": _over(
         WRITTEN, TYPED, ROUTED, select="select question_id, question_type, report from routed"
     ),
+    "answers_by_request": _over(
+        SCORED,
+        ASKED,
+        REQUESTS,
+        """keys as (select request, any_value(key) as key, count(*) as asked from (
+          select r.request, concat_ws('|', r.report,
+            case when len(r.specialties) > 0 then array_to_string(r.specialties, ',') else '-' end,
+            case when len(r.seasons) > 0 then array_to_string(r.seasons, ',') else '-' end,
+            coalesce(cast(r.low as varchar), '-'), coalesce(cast(r.high as varchar), '-'),
+            coalesce(cast(cast(r.percentage as double) as varchar), '-'),
+            coalesce(cast(r.baseline as varchar), '-')) as key
+          from asked_for a join requests r using (request)) group by request)""",
+        select="""select k.key as request, a.report, k.asked, a.key, a.metric, a.value
+          from answers a join keys k using (request)""",
+    ),
     "answer_questions": _over(
         SCORED,
         ASKED,
         REQUESTS,
-        select="""select q.question_id, a.report, a.key, a.metric, round(a.value + 1e-9, 6) as value
+        select="""select q.question_id, a.report, a.key, a.metric, a.value
           from asked_for q join answers a using (request)""",
     ),
     "format_answers": _over(
@@ -916,3 +1021,5 @@ ORACLE: dict[str, str] = {
              cast(season = 'Winter' as int) as "season_Winter" from patients"""
     ),
 }
+
+ORACLE = {name: _expanded(sql) for name, sql in ORACLE.items()}

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from carequeue.functions import scoring as S
 from carequeue.functions.calendar import season_of_date
@@ -15,6 +15,7 @@ from carequeue.operators import lookup as L
 from carequeue.operators import model as M
 from carequeue.operators import normalize as N
 from carequeue.operators import questions as Q
+from carequeue.operators import queue_index as W
 from carequeue.operators import reports as R
 from carequeue.operators.sampling import fixed_sample, preview
 from carequeue.plans import asked as A
@@ -29,6 +30,7 @@ SCENARIOS = (
     C.Scenario(5, 500, 100),
 )
 REDUCTIONS = (5.0, 15.0, 20.0, 37.5)
+BATCHES = 3
 SCHEDULE = ["patient_id", "priority_score", "wait_days"]
 
 
@@ -40,16 +42,6 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     return S.score_patients(patients(spark, folder))
 
 
-def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
-    """Doubles rounded: sums of doubles differ in their last bits between runs."""
-    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(c, decimals) for c in doubles})
-
-
-def _report(build: Callable[[DataFrame], DataFrame], decimals: int = 6):
-    return lambda spark, folder: rounded(build(scored(spark, folder)), decimals)
-
-
 def _exact(build: Callable[[DataFrame], DataFrame]):
     return lambda spark, folder: build(scored(spark, folder))
 
@@ -102,8 +94,8 @@ def sql_passthrough(spark: SparkSession, folder: str) -> DataFrame:
     return run_sql(
         scored(spark, folder),
         """select specialty, gender, count(*) as patient_count,
-                  round(avg(readmit_risk), 6) as avg_readmit_risk
-           from patients group by specialty, gender""",
+                  avg(wait_days) as avg_wait_days
+           from {patients} group by specialty, gender""",
     )
 
 
@@ -154,25 +146,80 @@ def route_documents(spark: SparkSession, folder: str) -> DataFrame:
     return routed.select("question_id", "question_type", "report")
 
 
-def extract_conversations(spark: SparkSession, folder: str) -> DataFrame:
-    numbers = F.array_join(F.col("numbers").cast("array<string>"), "|").alias("numbers")
-    return Q.extract_parameters(_said(spark, folder)).select(
+def _extracted(texts: DataFrame, shown: str = "cast(x as string)") -> DataFrame:
+    numbers = F.array_join(F.expr(f"transform(numbers, x -> {shown})"), "|").alias("numbers")
+    return Q.extract_parameters(texts).select(
         "question_id", "percentage", numbers, "baseline_capacity", "risk_weight", "threshold",
         _joined("specialties"), _joined("seasons"), "age", "age_min", "age_max", "age_group",
     )
 
 
+def extract_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return _extracted(_said(spark, folder))
+
+
+def term_lookup_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    said = _said(spark, folder)
+    return L.lookup_terms_in(said, L.glossary(spark), "question", "question_id").select(
+        "question_id", "position", "term", "title", "url"
+    )
+
+
+def term_lookup_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole documents against a glossary of all words of the benchmark."""
+    texts = _written_texts(spark, folder)
+    terms = A.terms_and_words(spark, folder)
+    return L.lookup_terms_in(texts, terms, "question", "question_id").select(
+        "question_id", "position", "term", "title", "url"
+    )
+
+
+def suggest_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """The fixed suggestions for what is typed, beginnings and whole questions."""
+    typed = A.whole_and_prefixes(patients(spark, folder))
+    return L.suggest_from(typed, L.suggestions(spark))
+
+
+def suggest_asked(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions that others asked, for what is typed."""
+    people = patients(spark, folder)
+    return L.suggest_from(A.whole_and_prefixes(people), A.asked_before(people))
+
+
+def extract_documents(spark: SparkSession, folder: str) -> DataFrame:
+    # card numbers are long, and engines write large doubles in unlike ways
+    shown = """concat(try_cast(floor(x) as bigint), '+', cast(x - floor(x) as decimal(9, 6)))"""
+    return _extracted(_written_texts(spark, folder), shown)
+
+
+def queue_after_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions after each of three batches of patients has joined a stored queue."""
+    people = scored(spark, folder).select(*SCHEDULE)
+    after = []
+    queue = None
+    for k in range(BATCHES):
+        batch = people.where(F.col("patient_id") % BATCHES == k)
+        queue = W.new_queue(batch) if queue is None else W.add_batch(queue, batch)
+        after.append(W.positions(queue, spark).withColumn("batches", F.lit(k + 1)))
+    return reduce(DataFrame.unionByName, after)
+
+
+def _asking(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """One question per patient, and the patients, evaluated once for both."""
+    people = Q.stored_patients(scored(spark, folder))
+    return A.patient_questions(people), people
+
+
 def answer_questions(spark: SparkSession, folder: str) -> DataFrame:
-    people = scored(spark, folder)
-    answers = Q.answer_questions(A.patient_questions(people), people)
-    # many small groups have a mean that ends in 5; the nudge makes such ties come out
-    # the same in whatever order they were summed
-    return answers.withColumn("value", F.round(F.col("value") + 1e-9, 6))
+    return Q.answer_questions(*_asking(spark, folder))
+
+
+def answers_by_request(spark: SparkSession, folder: str) -> DataFrame:
+    return Q.answers_by_request(*_asking(spark, folder))
 
 
 def format_answers(spark: SparkSession, folder: str) -> DataFrame:
-    people = scored(spark, folder)
-    return Q.format_answers(A.patient_questions(people), people)
+    return Q.format_answers(*_asking(spark, folder))
 
 
 def _questions(build: Callable[[DataFrame], DataFrame]):
@@ -218,10 +265,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             p.select("patient_id", "specialty", "readmit_risk", "cost_estimate")
         )
     ),
-    "avg_wait_filtered": _report(
+    "avg_wait_filtered": _exact(
         lambda p: R.average_wait_time(p, ["Cardiology", "ENT", "Orthopedics"])
     ),
-    "seasonal_filtered": _report(
+    "seasonal_filtered": _exact(
         lambda p: R.seasonal_analysis(p, ["Winter", "Summer"], ["Cardiology", "Urology"])
     ),
     "age_filter": _exact(
@@ -235,34 +282,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "term_lookup": lambda spark, folder: L.lookup_terms(
         A.patient_searches(patients(spark, folder))
     ).select("patient_id", "search", "term", "title", "url"),
-    "suggest_queries": lambda spark, folder: L.suggest_questions(
-        A.typed_questions(patients(spark, folder))
-    ),
+    "term_lookup_conversations": term_lookup_conversations,
+    "term_lookup_documents": term_lookup_documents,
+    "suggest_queries": suggest_queries,
+    "suggest_asked": suggest_asked,
     # reports
-    "average_wait_time": _report(R.average_wait_time),
-    "specialty_analysis": _report(R.specialty_analysis),
-    "high_risk_by_specialty": _report(R.high_risk_by_specialty),
-    "cost_impact": _report(R.cost_impact, 4),
-    "seasonal_analysis_basic": _report(R.seasonal_analysis_basic),
-    "seasonal_analysis": _report(R.seasonal_analysis),
-    "age_based_risk": _report(R.age_based_risk),
-    "age_based_cancellation": _report(R.age_based_cancellation),
-    "age_based_cost": _report(R.age_based_cost, 4),
-    "overview_kpis": _report(R.overview_kpis, 4),
-    "season_cost_delta": _report(R.season_cost_delta, 2),
+    "average_wait_time": _exact(R.average_wait_time),
+    "specialty_analysis": _exact(R.specialty_analysis),
+    "high_risk_by_specialty": _exact(R.high_risk_by_specialty),
+    "cost_impact": _exact(R.cost_impact),
+    "seasonal_analysis_basic": _exact(R.seasonal_analysis_basic),
+    "seasonal_analysis": _exact(R.seasonal_analysis),
+    "age_based_risk": _exact(R.age_based_risk),
+    "age_based_cancellation": _exact(R.age_based_cancellation),
+    "age_based_cost": _exact(R.age_based_cost),
+    "overview_kpis": _exact(R.overview_kpis),
+    "season_cost_delta": _exact(R.season_cost_delta),
     "specialty_counts": _exact(R.specialty_counts),
-    "wait_ranking": _report(R.wait_ranking),
+    "wait_ranking": _exact(R.wait_ranking),
     "specialty_performance": _exact(R.specialty_performance),
-    "risk_histogram": _report(R.risk_histogram),
-    "cancel_ranking": _report(R.cancel_ranking),
+    "risk_histogram": _exact(R.risk_histogram),
+    "cancel_ranking": _exact(R.cancel_ranking),
     "top_specialty": _exact(R.top_specialty),
-    "highest_risk_specialty": _report(R.highest_risk_specialty),
+    "highest_risk_specialty": _exact(R.highest_risk_specialty),
     "column_profile": _exact(R.column_profile),
-    "label_rate": _report(lambda p: R.label_rate(S.with_efficiency_label(p))),
+    "label_rate": _exact(lambda p: R.label_rate(S.with_efficiency_label(p))),
     "cancellation_whatif": _exact(lambda p: R.cancellation_whatif(p, REDUCTIONS)),
     "high_risk_summary": _exact(R.high_risk_summary),
     # ranks, schedules, samples
     "queue_position": _exact(lambda p: C.queue_positions(p.select(*SCHEDULE))),
+    "queue_after_batches": queue_after_batches,
     "capacity_schedule": _exact(lambda p: C.capacity_schedule(p.select(*SCHEDULE))),
     "optimize_schedule": _exact(
         lambda p: C.optimize_schedule(p.select(*SCHEDULE, "readmit_risk"))
@@ -274,21 +323,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lambda p: fixed_sample(p.select("patient_id", "specialty", "cost_estimate"), 5000)
     ),
     # capacity and staffing
-    "capacity_impact": _report(lambda p: C.capacity_impact(p, SCENARIOS)),
+    "capacity_impact": _exact(lambda p: C.capacity_impact(p, SCENARIOS)),
     "weekly_backlog": _exact(lambda p: C.weekly_backlog(p, SCENARIOS)),
     "capacity_answer": _exact(lambda p: C.capacity_answer(p, SCENARIOS, ["specialty"])),
-    "staffing_options_v1": _report(lambda p: C.staffing_options_v1(p, SCENARIOS)),
-    "staffing_options": _report(lambda p: C.staffing_options(p, SCENARIOS)),
+    "staffing_options_v1": _exact(lambda p: C.staffing_options_v1(p, SCENARIOS)),
+    "staffing_options": _exact(lambda p: C.staffing_options(p, SCENARIOS)),
     "backlog_timeline": _exact(lambda p: C.backlog_timeline(p, SCENARIOS, ["specialty"])),
-    "capacity_roi": _report(lambda p: C.capacity_roi(p, SCENARIOS), 3),
+    "capacity_roi": _exact(lambda p: C.capacity_roi(p, SCENARIOS)),
     # questions
     "classify_questions": _questions(Q.classify_questions),
     "extract_parameters": extract_parameters,
     "route_questions": _questions(Q.route_questions),
     "route_conversations": route_conversations,
     "extract_conversations": extract_conversations,
+    "extract_documents": extract_documents,
     "route_documents": route_documents,
     "answer_questions": answer_questions,
+    "answers_by_request": answers_by_request,
     "format_answers": format_answers,
     # classifier
     "onehot_features": lambda spark, folder: M.onehot_features(patients(spark, folder)),

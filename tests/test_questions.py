@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +54,66 @@ def test_types_of_all_suggestions_match_python_search(ask):
         assert r.question_type == [*types, V.DEFAULT_QUESTION_TYPE][0]
 
 
+def python_type(text):
+    found = (n for n, p in V.QUESTION_PATTERNS if re.search(p, text.lower()))
+    return next(found, V.DEFAULT_QUESTION_TYPE)
+
+
+def python_number(pattern, text):
+    found = re.search(pattern, text)
+    return float(found.group(1)) if found else None
+
+
+def test_keywords_in_any_order_match_python_search(ask):
+    """Texts of pattern words, numbers and line ends, as the plain patterns read them."""
+    words = sorted({w for _, p in V.QUESTION_PATTERNS for w in re.findall(r"[a-z-]{3,}", p)})
+    words += ["7", "12.5", "3%", "1.2.3%", "4.%", "\n", "\n", " ", "high risk", "high\nrisk",
+              "baseline capacity", "baseline  \n capacity", "baseline\tcapacity", "risk-weight",
+              "risk\nweight", "threshold", "middle-aged", "\r", "\u2028", "x"]
+    rng = random.Random(4)
+    texts = [
+        "".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 9)))
+        for _ in range(3000)
+    ]
+    for _, p in V.QUESTION_PATTERNS:
+        own = re.findall(r"[a-z-]{3,}", p)
+        texts += [
+            " ".join(rng.choice([*own, *own, "7", "\n", "or"]) for _ in range(rng.randrange(2, 6)))
+            for _ in range(150)
+        ]
+    texts += ["risk\nage", "age 5 risk", "capacity\n5", "capacity 5", "5 capacity", "agecost"]
+    rows = Q.extract_parameters(Q.classify_questions(ask(*texts))).collect()
+    for r in rows:
+        low = r.question.lower()
+        assert r.question_type == python_type(r.question), repr(r.question)
+        assert r.percentage == python_number(V.PERCENT_PATTERN, r.question), repr(r.question)
+        assert r.risk_weight == python_number(V.RISK_WEIGHT_PATTERN, low), repr(r.question)
+        assert r.threshold == python_number(V.THRESHOLD_PATTERN, low), repr(r.question)
+        baseline = python_number(V.BASELINE_PATTERN, low)
+        if baseline is None and ("capacity" in low or "increase" in low):
+            baseline = V.DEFAULT_BASELINE
+        assert r.baseline_capacity == baseline, repr(r.question)
+    assert len({r.question_type for r in rows}) == len(V.QUESTION_PATTERNS) + 1
+
+
+LONG = [
+    *["{} ".format(" ".join(re.findall(r"[a-z-]{3,}", p)[:-1])) for _, p in V.QUESTION_PATTERNS],
+    "average wait ", "young patients wait on average, ", "reduce cancel ", "baseline capacity ",
+    "baseline ", "baseline\n", "risk weight ", "threshold ", "1", "1.", "between 1 ", "age ", " ",
+    "high risk\n", "entt ", "seniors ",
+]
+
+
+@pytest.mark.parametrize("words", LONG)
+def test_a_megabyte_takes_its_length_in_time(ask, words):
+    """Words that lead a backtracking search astray, repeated without what would end it."""
+    df = ask(words * (1_000_000 // len(words)))
+    started = time.monotonic()
+    Q.route_questions(df).collect()
+    Q.extract_parameters(df).drop("question").collect()
+    assert time.monotonic() - started < 8  # two jobs and twenty patterns; seconds of seconds
+
+
 PARAMETERS = [
     ("high risk above 70.5% or 80%", {"percentage": 70.5, "numbers": [70.5, 80.0]}),
     ("Impact of Baseline capacity 200 and 3", {"baseline_capacity": 200, "weekly_capacity": 200}),
