@@ -29,10 +29,11 @@ def _finite(value: Column) -> Column:
 def parts(value: Column) -> dict[str, Column]:
     """The three whole numbers that a double is cut into; NULL for what is not added."""
     value = _finite(value.cast("double"))
-    whole = F.floor(value)
+    # towards zero, so that what is left is exact for either sign
+    whole = value.cast("long")
     fraction = (value - whole) * F.lit(float(_SCALE))
-    high = F.floor(fraction)
-    low = F.floor((fraction - high) * F.lit(float(_SCALE)))
+    high = fraction.cast("long")
+    low = ((fraction - high) * F.lit(float(_SCALE))).cast("long")
     return dict(zip(PARTS, (whole, high, low), strict=True))
 
 
