@@ -85,10 +85,17 @@ def onehot_features(df: DataFrame, columns: Sequence[str] = tuple(CATEGORIES)) -
 def train(
     rows: DataFrame, model: str = "forest", numeric_only: bool = False, seed: int = 42
 ) -> PipelineModel:
-    """Fit on ``training_rows``. ``numeric_only`` leaves the label columns out."""
+    """Fit on ``training_rows``. ``numeric_only`` leaves the label columns out.
+
+    A label column with the same value in every row says nothing and is left out too.
+    """
     stages, inputs = [], [_feature(c) for c in [*NUMERIC, *STAFFING]]
-    present = [_feature(c) for c in CATEGORIES if _feature(c) in rows.columns]
-    if present and not numeric_only:
+    named = [_feature(c) for c in CATEGORIES if _feature(c) in rows.columns]
+    present = []
+    if named and not numeric_only:
+        varied = rows.agg(*[(F.min(c) != F.max(c)).alias(c) for c in named]).first()
+        present = [c for c in named if varied[c]]
+    if present:
         encoded = [f"{c}_vector" for c in present]
         stages = [
             _indexer(present).setHandleInvalid("error"),

@@ -1,3 +1,6 @@
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +80,49 @@ def test_one_hot_drops_the_first_value(people):
 def test_model_without_staffing(people):
     bare = people.drop("doctors_fte", "nurses_fte", "total_fte")
     assert M.efficiency_model(bare, numeric_only=True).count() == people.count()
+
+
+@pytest.mark.parametrize("model", ["forest", "logistic"])
+def test_scores_of_every_patient(people, model):
+    """A row for each patient, chances between 0 and 1, and rows held out are told apart."""
+    scored = M.efficiency_model(people, model)
+    ids = scored.select("patient_id").collect()
+    assert sorted(r[0] for r in ids) == sorted(r[0] for r in people.select("patient_id").collect())
+    assert scored.where("score is null or score < 0 or score > 1").count() == 0
+    assert scored.where("prediction <> if(score > 0.5, 1, 0) and score <> 0.5").count() == 0
+    rows = M.stored_rows(people)
+    held = M.spread("patient_id", 5) == 0
+    unseen = M.score(rows.where(held), M.train(rows.where(~held), model))
+    right = unseen.agg(F.avg(F.expr("int(prediction = efficiency_label)"))).first()[0]
+    rate = unseen.agg(F.avg("efficiency_label")).first()[0]
+    assert right > max(rate, 1 - rate)
+
+
+AUC = """with s as (select score, efficiency_label as y from scored)
+select (sum(case when a.score > b.score then 2 when a.score = b.score then 1 else 0 end))
+  / (2.0::double * count(*)) from s a, s b where a.y = 1 and b.y = 0"""
+
+
+def plain_area(rows):
+    scored = rows.select("score", "efficiency_label").toPandas()  # noqa: F841
+    return duckdb.sql(AUC).fetchall()[0][0]
+
+
+def test_area_under_the_curve_is_exact(spark, people):
+    rows = M.efficiency_model(people)
+    assert M.area_under_curve(rows) == pytest.approx(plain_area(rows), abs=1e-12)
+    rng = random.Random(2)
+    ties = [(rng.randrange(12) / 11, rng.randrange(2)) for _ in range(400)]
+    df = spark.createDataFrame(ties, "score double, efficiency_label int")
+    assert M.area_under_curve(df) == pytest.approx(plain_area(df), abs=1e-12)
+    assert M.area_under_curve(df.where("efficiency_label = 1")) is None
+    assert M.area_under_curve(df.limit(0)) is None
+
+
+def test_metrics_agree_with_the_stored_scores(people):
+    rows = M.stored_rows(people)
+    scores = M.score(rows, M.train(rows))
+    found = {r["sample"]: r for r in M.evaluate(people).collect()}["training rows"]
+    assert found.auc == pytest.approx(plain_area(scores), abs=1e-12)
+    right = scores.agg(F.avg(F.expr("int(prediction = efficiency_label)"))).first()[0]
+    assert found.accuracy == pytest.approx(right, abs=1e-12)

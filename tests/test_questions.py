@@ -314,3 +314,85 @@ def test_many_thresholds_close_together(spark):
     for t in chosen:
         for who in ("ENT", "Urology"):
             assert got[t, who] == sum(s == who and risk > t for s, risk in risks)
+
+
+def test_age_ranges_equal_the_reports(ask, people):
+    """Ranges that cut through age groups, or lie beyond them, by two lookups each."""
+    ranges = [(0, 0), (0, 17), (17, 18), (18, 18), (30, 70), (61, 200), (121, 300), (90, 20), (1, 999)]
+    texts = [f"risk of people between {a} and {b} in ENT, by group" for a, b in ranges]
+    texts += [f"By age, the cost of people between {a} and {b} in ENT and Urology" for a, b in ranges]
+    rows = Q.answer_questions(ask(*texts), people).collect()
+    for i, (low, high) in enumerate(ranges):
+        ages = {"age_min": low, "age_max": high}
+        for at, report, names, column in (
+            (i, R.age_based_risk, ["ENT"], "avg_readmit_risk"),
+            (i + len(ranges), R.age_based_cost, ["ENT", "Urology"], "avg_cost"),
+        ):
+            found = {r.key: r.value for r in rows if r.question_id == at and r.metric == column}
+            expected = report(people, **ages, specialties=names).collect()
+            assert found == {r.age_group: r[column] for r in expected}
+
+
+def test_age_answers_take_two_lookups(ask, people):
+    cells = Q.patient_cells(people)
+    sums = Q.age_sums(cells).where("scope = 'ENT'").orderBy("age").collect()
+    assert [r.age for r in sums] == list(range(121))
+    assert sums[-1].n == people.where("specialty = 'ENT' and age between 0 and 120").count()
+    assert all(a.n <= b.n for a, b in zip(sums, sums[1:]))
+
+
+def test_answers_by_request(spark, people):
+    """Half of all questions ask one thing; its answer is there once, with their number."""
+    asked = spark.range(2000).selectExpr(
+        "id as question_id",
+        "if(id % 2 = 0, 'average wait time', concat('high risk case ', id % 40, '%')) as question",
+    )
+    rows = Q.answers_by_request(asked, people).collect()
+    hot = [r for r in rows if r.report == "average_wait_time"]
+    assert {r.asked for r in hot} == {1000} and len({r.request for r in hot}) == 1
+    assert len(hot) == len({(r.key, r.metric) for r in hot})
+    assert {r.asked for r in rows if r.report == "high_risk_patients"} == {50}
+    # per question it is the same
+    of = {r.question_id: r.request for r in Q.requests_of(asked).collect()}
+    answers = {}
+    for r in rows:
+        answers.setdefault(r.request, set()).add((r.key, r.metric, r.value))
+    by_question = {}
+    for r in Q.answer_questions(asked, people).collect():
+        by_question.setdefault(r.question_id, set()).add((r.key, r.metric, r.value))
+    assert by_question == {q: answers[k] for q, k in of.items() if k in answers}
+
+
+def test_a_hot_request_is_spread_over_keys(spark, people):
+    """Its questions go to many tasks, without skew handling by the engine."""
+    asked = spark.range(40_000).selectExpr(
+        "id as question_id",
+        "if(id % 2 = 0, 'average wait time', concat('high risk case ', id % 90 + 1, '%')) as question",
+    )
+    settings = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        answered = Q.answer_questions(asked, people)
+        plan = answered._jdf.queryExecution().executedPlan().toString()
+        sizes = [
+            r["count"]
+            for r in answered.where("report = 'average_wait_time' and metric = 'patient_count'")
+            .groupBy(F.spark_partition_id()).count().collect()
+        ]
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert "_salt" in plan and "hashpartitioning(request" in plan
+    assert len(sizes) > 16 and max(sizes) < sum(sizes) / 5
+
+
+def test_the_preview_size_is_a_parameter(ask, people):
+    rows = Q.answer_questions(ask("hello"), people, preview_size=3).collect()
+    assert len(rows) == 3 * len(Q.PREVIEW_METRICS)
+    text = Q.format_answers(ask("hello"), people, preview_size=2).first().answer
+    assert text.startswith("Found 2 records.")

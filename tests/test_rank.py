@@ -91,6 +91,14 @@ def test_sample_is_exact_and_repeatable(spark, size):
     assert len(kept) == min(size, 5000)
 
 
+def test_sample_reads_its_rows_once_and_passes_few_on(spark):
+    df = spark.range(100_000).selectExpr("id as patient_id", "id % 7 as note")
+    plan = fixed_sample(df, 50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and "WindowGroupLimit" in plan and "TakeOrdered" in plan
+    assert plan.index("TakeOrdered") < plan.index("WindowGroupLimit")
+    assert fixed_sample(df, 50).columns == ["patient_id", "note"]
+
+
 def test_sample_depends_on_the_seed(spark):
     df = spark.range(5000).withColumnRenamed("id", "patient_id")
     first = {r[0] for r in fixed_sample(df, 500, seed=1).collect()}
