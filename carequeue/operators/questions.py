@@ -25,7 +25,7 @@ from carequeue.functions.scoring import age_group
 from carequeue.operators.capacity import capacity_answer_columns
 from carequeue.operators.rank import running_sums
 from carequeue.operators.sampling import preview
-from carequeue.operators.shared import written
+from carequeue.operators.shared import at_the_same_time, dealt_out_if_small, written
 
 ALL = "*"  # stands for every specialty or season
 
@@ -244,30 +244,24 @@ def high_risk_totals(patients: DataFrame, thresholds: DataFrame) -> DataFrame:
     )
     risks = by_risk.select("value").distinct().withColumn("is_threshold", F.lit(0))
     # a risk equal to a threshold is not above it and so comes first
-    places = written(
-        running_sums(
-            marks.union(risks).withColumn("all", F.lit(True)),
-            F.col("value"),
-            F.col("is_threshold"),
-            sums={"place": "is_threshold"},
-            by="all",
-        ).drop("all"),
-        "steps",
-    )
+    places = running_sums(
+        marks.union(risks).withColumn("all", F.lit(True)),
+        F.col("value"),
+        F.col("is_threshold"),
+        sums={"place": "is_threshold"},
+        by="all",
+    ).drop("all")
     placed = (
         by_risk.join(places.where("is_threshold = 0").select("value", "place"), "value")
         .where(F.col("place") > 0)
         .groupBy("specialty", "place")
         .agg(*[F.sum(c).alias(c) for c in sums])
     )
-    down = written(
-        running_sums(
-            placed.withColumn("at", F.lit(1)),
-            F.desc("place"),
-            sums={c: c for c in [*sums, "at"]},
-            by="specialty",
-        ),
-        "high-risk",
+    down = running_sums(
+        placed.withColumn("at", F.lit(1)),
+        F.desc("place"),
+        sums={c: c for c in [*sums, "at"]},
+        by="specialty",
     )
     lower = down.select("specialty", (F.col("at") - 1).alias("at"), F.col("place").alias("lower"))
     ranged = down.join(lower, ["specialty", "at"], "left").withColumn(
@@ -512,11 +506,8 @@ def _preview_answers(requests: DataFrame, patients: DataFrame, size: int) -> Dat
 
 
 def _written_requests(questions: DataFrame) -> DataFrame:
-    """Questions with their requests, read from their texts once.
-
-    The patterns cost far more than moving the texts, so these are spread evenly first.
-    """
-    texts = questions.select("question_id", "question").hint("rebalance")
+    """Questions with their requests, read from their texts once, where these lie."""
+    texts = dealt_out_if_small(questions.select("question_id", "question"))
     return written(with_requests(texts).drop("question"), "questions")
 
 
@@ -551,20 +542,25 @@ def answer_requests(
     """
     # at most the eleven names of reports; families nobody asked for are left out
     asked = {row.report for row in requests.select("report").distinct().collect()}
-    answers = []
+    families = []
     of_cells = [f for names, f in _CELL_FAMILIES if asked & set(names)]
     if of_cells:
-        cells = written(patient_cells(patients), "cells")
-        answers += [family(requests, cells) for family in of_cells]
+        families.append(lambda: _of_cells(of_cells, requests, patients))
     if "high_risk_patients" in asked:
-        answers.append(_high_risk_answers(requests, patients))
+        families.append(lambda: [_high_risk_answers(requests, patients)])
     if "preview" in asked:
-        answers.append(_preview_answers(requests, patients, preview_size))
+        families.append(lambda: [_preview_answers(requests, patients, preview_size)])
+    answers = [answer for family in at_the_same_time(*families) for answer in family]
     if not answers:
         return requests.sparkSession.createDataFrame([], ANSWER_SCHEMA)
     return reduce(DataFrame.unionByName, answers)
 
 
+def _of_cells(families: list, requests: DataFrame, patients: DataFrame) -> list[DataFrame]:
+    cells = written(patient_cells(patients), "cells")
+    return [family(requests, cells) for family in families]
+
+
 _CELL_FAMILIES = [
     (SPECIALTY_REPORTS, _specialty_answers),
     (["seasonal_analysis"], _seasonal_answers),

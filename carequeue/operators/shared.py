@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from contextvars import ContextVar
+from contextvars import ContextVar, copy_context
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,29 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Estimated bytes up to which rows that cost much each are dealt out to all cores.
+SMALL_BYTES = 64 << 20
+
+
+def dealt_out_if_small(df: DataFrame) -> DataFrame:
+    """The same rows, spread over all cores if they lie in few files.
+
+    A small table is read by a task or two, however much work each of its rows makes. A
+    large one has splits enough, and its rows stay where they are.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def at_the_same_time(*builds: Callable[[], Any]) -> list[Any]:
+    """Results of functions that write intermediate tables, their jobs side by side."""
+    with ThreadPoolExecutor(max(1, len(builds))) as pool:
+        begun = [pool.submit(copy_context().run, build) for build in builds]
+        return [b.result() for b in begun]
+
+
 def delete_table(spark: SparkSession, path: str) -> None:
     """Delete one intermediate table, through the file system that holds it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -47,9 +47,9 @@ def test_a_question_reads_only_what_its_report_needs(spark, monkeypatch):
         "*", "0D as priority_score", "0.8D as readmit_risk", "1 as wait_days"
     )
     assert Q.ask("hello", people).count() == 10 * len(Q.PREVIEW_METRICS)
-    assert "cells" not in kept and "steps" not in kept
+    assert "cells" not in kept and "risks" not in kept
     assert Q.ask("high risk case", people).count() == 18 * 3
-    assert "cells" not in kept and "steps" in kept
+    assert "cells" not in kept and "risks" in kept
 
 
 def test_no_questions(spark):
