@@ -12,7 +12,8 @@ the marks can be taken out again. The loss mask lists the spans of assistant tex
 
 Defined cases: null texts and roles count as empty; rows without a conversation id form
 one conversation; turns sort nulls first, then by role and text; repeated rows are turns of
-their own; messages whose parent is missing start a tree. An empty table gives no rows.
+their own; messages whose parent is missing start a tree, and so does each message of a
+circle of replies, or one that replies to itself. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from carequeue.operators.shared import written
 
 END = "<|end|>\n"
 LEARNED_ROLE = "assistant"
+#: Length of paths from which on the longest conversation is asked for.
+FIRST_LOOK = 16
 
 
 def escape(text: Column) -> Column:
@@ -85,8 +88,17 @@ def paths(messages: DataFrame) -> DataFrame:
     found = ids.join(parents, ["_conv", "node"], "left_anti").select(
         "_conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance")
     )
-    step = 1
+    step, longest = 1, None
     while not reach.isEmpty():
+        if step >= FIRST_LOOK and longest is None:
+            longest = ids.groupBy("_conv").count().agg(F.max("count")).first()[0]
+        if longest is not None and step > longest:
+            # no chain is that long: what is still an ancestor lies on a circle of replies
+            circles = reach.select("_conv", F.col("ancestor").alias("node")).distinct()
+            on_one = circles.withColumn("_circle", F.lit(True))
+            cut = F.when(F.col("_circle").isNull(), F.col("parent"))
+            straight = ids.join(on_one, ["_conv", "node"], "left").withColumn("parent", cut)
+            return paths(written(straight.drop("_circle"), "chat-straight"))
         further = found.join(reach, ["_conv", "node"]).select(
             "_conv", "leaf", F.col("ancestor").alias("node"), F.col("distance") + step
         )

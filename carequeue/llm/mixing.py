@@ -188,9 +188,13 @@ def _with_repeats(rows: DataFrame, plan: DataFrame, source: str) -> DataFrame:
         F.col("l._salt") == F.col("r._salt")
     )
     at = _bucket()
-    extra = (at < F.col("_bucket")) | (
-        (at == F.col("_bucket"))
-        & F.coalesce(F.struct("_hash", "_id", "_size") <= F.col("_cut"), F.lit(False))
+    # a source at its limit takes no extra words, and so no extra copies without words
+    extra = (F.col("_extra") > 0) & (
+        (at < F.col("_bucket"))
+        | (
+            (at == F.col("_bucket"))
+            & F.coalesce(F.struct("_hash", "_id", "_size") <= F.col("_cut"), F.lit(False))
+        )
     )
     return left.join(right, on).withColumn(
         "_repeats", F.col("_whole") + F.when(extra, 1).otherwise(0)

@@ -42,9 +42,10 @@ CHUNKS = 12
 PER_CHUNK = SYMBOLS // CHUNKS
 SIMILARITY = 80  # percent
 #: Sketches have two bits of each of twice as many symbols. At similarity 0.8 they differ
-#: in 24 bits on average, with a deviation of 5.5; pairs that differ in 54 and more are
-#: ruled out. At similarity 0.35, as of documents with one passage in common, it is 78.
-SKETCH_BITS = 54
+#: in 24 bits on average; pairs that differ in 60 and more are ruled out, by calculation
+#: one in 50 million at similarity 0.8, which is less than the keys lose. At similarity
+#: 0.35, as of documents with one passage in common, 78 bits differ on average.
+SKETCH_BITS = 60
 SKETCHES = ("sketch_a", "sketch_b", "sketch_c", "sketch_d")
 #: Rounds of stars go on while one pair in so many is a link; then pairs are compared.
 WORTHWHILE = 20

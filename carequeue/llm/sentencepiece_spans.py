@@ -17,7 +17,9 @@ import re
 import struct
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from carequeue.llm.batches import map_rows
@@ -185,16 +187,43 @@ class Encoder:
         return [self.model.unknown]
 
     def known(self, unit: str) -> tuple:
-        """(ids, ids as text, decoded text) of a unit."""
+        """(ids, ids as text, decoded text, bytes that each id stands for) of a unit."""
         found = self.units.get(unit)
         if found is None:
-            ids = [i for p in self.pieces_of(unit) for i in self.ids_of(p)]
-            found = (ids, ",".join(map(str, ids)), self.decode(ids, bos=False))
+            pieces = self.pieces_of(unit)
+            ids = [i for p in pieces for i in self.ids_of(p)]
+            found = (
+                ids, ",".join(map(str, ids)), self.decode(ids, bos=False), self.lengths(pieces)
+            )
             if len(self.units) >= CACHED_UNITS:
                 self.units.clear()
             self.units[unit] = found
         return found
 
+    def lengths(self, pieces: list[str], added: int = 0) -> tuple[int, ...]:
+        """Bytes of the original that each id of some pieces stands for, where characters
+        stand for themselves; ``added`` of the first piece's are not in the original."""
+        found: list[int] = []
+        for piece in pieces:
+            n = len(self.ids_of(piece))
+            size = len(piece.replace(SPACE, " ").encode()) - added
+            added = 0
+            found += [1] * n if n > 1 and size == n else [0] * (n - 1) + [size]
+        return tuple(found)
+
+    def piece_lengths(self, text: str, units: list[tuple]) -> np.ndarray:
+        """The lengths of the spans of a text's ids: they follow one another from byte 0."""
+        if self.map or self.model.squeeze or SPACE in text:
+            return np.array([p.end - p.begin for p in self.encode_spans(text)], np.int64)
+        if not units:
+            return np.zeros(0, np.int64)
+        first = units[0][3]
+        if self.model.dummy_prefix:
+            normal, _ = self.normalize(text)
+            first = self.lengths(self.pieces_of(self.unit.match(normal).group()), added=1)
+        rest = chain.from_iterable(u[3] for u in units[1:])
+        return np.fromiter(chain(first, rest), np.int64)
+
     def units_of(self, text: str) -> list[tuple]:
         normal, _ = self.normalize(text)
         get, known = self.units.get, self.known
@@ -247,7 +276,13 @@ class Encoder:
 
 
 def encoded_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes_decoded) of each document."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes_decoded, covered_bytes,
+    spans_sha256) of each document.
+
+    ``covered_bytes`` is how many bytes of the original the spans of all ids cover, and
+    ``spans_sha256`` the digest of the pairs (begin, end) as 64-bit numbers.
+    """
+
     def make():
         encoder = encoder_of(model_path)
         model = encoder.model
@@ -261,12 +296,17 @@ def encoded_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 if model.dummy_prefix and decoded.startswith(" "):
                     decoded = decoded[1:]
                 data = decoded.encode()
+                lengths = encoder.piece_lengths(text, units)
+                ends = np.cumsum(lengths)
+                spans = np.column_stack([ends - lengths, ends])
                 rows.append(
                     (
                         ids.count(",") + 1 if ids else 0,
                         hashlib.sha256(ids.encode()).hexdigest(),
                         hashlib.sha256(data).hexdigest(),
                         len(data),
+                        int(lengths.sum()),
+                        hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest(),
                     )
                 )
             return rows
@@ -276,7 +316,8 @@ def encoded_documents(docs: DataFrame, model_path: str) -> DataFrame:
     return map_rows(
         docs.select("doc_id", "text"),
         make,
-        "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes_decoded long",
+        "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes_decoded long,"
+        " covered_bytes long, spans_sha256 string",
     )
 
 

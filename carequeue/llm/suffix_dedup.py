@@ -23,8 +23,9 @@ passage in a third of all documents reaches a bucket once per task. A gram with
 in one task goes to the edges at once and to its bucket with one entry.
 
 Defined cases: null texts are empty; documents without an id come first, ordered by hash
-of the text; rows that share an id must repeat the text, and none of them is earlier than
-the others. Texts of any length are worked on whole, in pieces that overlap.
+of the text; rows that share id and text are one document, and none of them is earlier
+than the others; other texts under one id are documents of their own, one after the other
+by the hash of the text. Texts of any length are worked on whole, in pieces that overlap.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 
 from carequeue.llm.batches import parts_of
 from carequeue.llm.hashed_words import BASE, BYTE_VALUES, mix
+from carequeue.operators.rank import rank_rows
 from carequeue.operators.shared import delete_table, new_path, written
 
 LENGTH = 100
@@ -482,13 +484,52 @@ def _by_document(rows: DataFrame, kind: int, name: str) -> DataFrame:
     )
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The documents with a key in their order, one for each id and text; and their bytes.
+
+    The key is the id where no two texts share one. Else ids are spaced out, and the texts
+    of an id numbered between; where ids lie too far apart for that, their ranks are.
+    """
+    ids, hashed = F.col("doc_id").cast("long"), F.xxhash64("text")
+    unnamed = -F.lit(1 << 62) - hashed.bitwiseAND(F.lit((1 << 61) - 1))
+    narrow = written(
+        docs.select(ids.alias("id"), hashed.alias("hash"), F.octet_length("text").alias("size")),
+        "suffix-ids",
+    )
+    size = narrow.agg(F.sum("size")).first()[0] or 0
+    docs = docs.select("doc_id", ids.alias("_id"), hashed.alias("_hash"), "text")
+    by_id = narrow.where("id is not null").groupBy("id")
+    shared = by_id.agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a != b")
+    shared = written(shared.select("id"), "suffix-shared-ids")
+    if shared.isEmpty():
+        return docs.select("doc_id", F.coalesce("_id", unnamed).alias("_key"), "text"), size
+
+    texts = narrow.join(shared, "id", "left_semi").select("id", "hash").distinct()
+    numbered = rank_rows(texts, F.col("id").asc(), F.col("hash").asc(), position="at")
+    first = numbered.groupBy("id").agg(F.min("at").alias("first"))
+    places = written(
+        numbered.join(first, "id").select(
+            F.col("id").alias("_id"), F.col("hash").alias("_hash"), (F.col("at") - F.col("first")).alias("_place")
+        ),
+        "suffix-places",
+    )
+    few = places.count() <= BROADCAST_KEYS
+    docs = docs.join(F.broadcast(places) if few else places, ["_id", "_hash"], "left")
+    room = places.agg(F.max("_place")).first()[0].bit_length()
+    least, most = narrow.agg(F.min("id"), F.max("id")).first()
+    if (most - least + 1) << room < 1 << 61:
+        docs = docs.withColumn("_of", F.col("_id") - least)
+    else:
+        ranks = rank_rows(narrow.where("id is not null").select("id").distinct(), F.col("id").asc(), position="_of")
+        docs = docs.join(ranks.withColumnRenamed("id", "_id"), "_id", "left")
+    key = F.shiftleft("_of", room) + F.coalesce("_place", F.lit(0))
+    return docs.select("doc_id", F.coalesce(key, unnamed).alias("_key"), "text"), size
+
+
 def deduplicated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
     spark = docs.sparkSession
-    ids = F.col("doc_id").cast("long")
-    unnamed = -F.lit(1 << 62) - F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
-    docs = docs.select("doc_id", F.coalesce(ids, unnamed).alias("_key"), "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs, size = _keyed(docs)
     buckets = 1 + size // BUCKET_BYTES
     found = None
     for path in _index(docs, buckets, batches):

@@ -1,17 +1,17 @@
-"""Token counts by a compiled transducer over pre-tokens, composed chunk by chunk.
+"""Token counts by merging pre-tokens, with counts of chunks composed in order.
 
-The tokenizer is compiled into a deterministic transducer. Between pre-tokens it is in its
-start state; a pre-token leads back there, and the transition is annotated with the number
-of tokens emitted on the way. Transitions are worked out by merging when first met and
-then only followed.
+Between pre-tokens the tokenizer is in one state, and a pre-token leads back to it, emitting
+a number of tokens. Numbers are worked out by merging when a pre-token is first met and then
+kept in a bounded table. Texts are normalized by the library's own normalizer, and letters
+and digits are those of its tables, so that no newer Unicode data takes part.
 
-A long text is read in chunks that are counted independently. What a chunk does from any
-entry state is a map (head, count, tail): the open text before its first white space,
-which belongs to whatever was open when the chunk began, the tokens between its first and
-last white space, and the open text after that. These maps compose associatively, and a
-prefix scan over them gives the tokens up to each chunk and so of the whole. White space
-ends every pre-token, is never part of one, and never takes part in normalization across
-it, so the result equals counting the text at once.
+A long text is read in chunks that are counted independently. What a chunk does is a map
+(head, count, tail): the open text before its first white space, which belongs to whatever
+was open when the chunk began, the tokens between its first and last white space, and the
+open text after that. These maps compose associatively, and a prefix scan over them gives
+the tokens up to each chunk and so of the whole. White space ends every pre-token, is never
+part of one, and never takes part in normalization across it, so the result equals counting
+the text at once.
 
 Special strings inside a text count as one token each, as the library does by default.
 Defined cases: null and empty texts have 0 tokens; texts of any length are counted whole.
@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,7 @@ from carequeue.llm.bpe import NEVER, merge
 
 LIMIT = 2048
 CHUNK = 16_384
+LETTERS_END = 0x40000  # planes from the fourth on have no letters or digits
 KEPT_TRANSITIONS = 600_000
 # The white space of the tokenizer's patterns.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -57,8 +58,52 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+@dataclass(frozen=True)
+class Letters:
+    """The letters and the digits of the library's tables, as the inside of a class."""
+
+    letters: str
+    digits: str
+
+
+@lru_cache(maxsize=2)
+def letters_of(path: str) -> Letters:
+    """Read off the library's own splits, one of every character between spaces."""
+    from tokenizers import Tokenizer
+
+    splitter = Tokenizer.from_file(path).pre_tokenizer
+    kinds: dict[str, list[int]] = {"letters": [], "digits": []}
+    step = 1 << 10
+    for first in range(0, LETTERS_END, step):
+        points = [
+            p for p in range(max(first, 0x80), first + step) if not 0xD800 <= p <= 0xDFFF
+        ]
+        points = [p for p in points if chr(p) not in WHITE]
+        # a letter joins the letters beside it, and two digits are two pieces
+        for kind, form, width, wanted in (("letters", "a{0}a ", 4, 1), ("digits", "{0}{0} ", 3, 2)):
+            line = "".join(form.format(chr(p)) for p in points)
+            begins = [begin for _, (begin, _) in splitter.pre_tokenize_str(line)]
+            pieces = np.bincount(np.array(begins, np.int64) // width, minlength=len(points))
+            kinds[kind] += [p for p, n in zip(points, pieces) if n == wanted]
+    return Letters(_ranges(kinds["letters"]), _ranges(kinds["digits"]))
+
+
+def _ranges(points: list[int]) -> str:
+    """Sorted code points as ranges of a character class."""
+    found: list[list[int]] = []
+    for p in points:
+        if found and p == found[-1][1] + 1:
+            found[-1][1] = p
+        else:
+            found.append([p, p])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found)
+
+
 class Transducer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: Letters):
+        from tokenizers import Tokenizer
+
+        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -74,7 +119,13 @@ class Transducer:
         self.ranks = {tuple(p): i for i, p in enumerate(model["merges"])}
         self.word_end = model["end_of_word_suffix"]
         pattern = split["pattern"]["Regex"]
-        self.pre_token = regex.compile(pattern.replace(r"\s", WHITE))
+        self.pre_token = regex.compile(
+            pattern.replace(r"\s", WHITE)
+            .replace(r"[\p{L}]", f"[a-zA-Z{classes.letters}]")
+            .replace(r"[\p{N}]", f"[0-9{classes.digits}]")
+            .replace(r"\p{L}", f"a-zA-Z{classes.letters}")
+            .replace(r"\p{N}", f"0-9{classes.digits}")
+        )
         self.ascii_pre_token = re.compile(
             pattern.replace(r"\s", "\t\n\x0b\x0c\r ")
             .replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]")
@@ -103,7 +154,7 @@ class Transducer:
         if text.isascii():
             words = self.ascii_pre_token.findall(text.lower())
         else:
-            words = self.pre_token.findall(lowered(unicodedata.normalize("NFC", text)))
+            words = self.pre_token.findall(self.normalize(text))
         get, emitted = self.transitions.get, self.emitted
         return sum([get(w) or emitted(w) for w in words])
 
@@ -147,24 +198,19 @@ _FIRST = re.compile(f"[{WHITE}]")
 _LAST = re.compile(f"(?s)[{WHITE}](?=[^{WHITE}]*$)")
 
 
-def lowered(text: str) -> str:
-    """Lower case character by character: a sigma at a word's end is like any other."""
-    if "Σ" in text:
-        return "σ".join(p.lower() for p in text.split("Σ"))
-    return text.lower()
-
-
 @lru_cache(maxsize=2)
-def transducer_of(path: str) -> Transducer:
+def transducer_of(path: str, classes: Letters) -> Transducer:
     """Tasks of one worker share the transitions compiled so far."""
-    return Transducer(path)
+    return Transducer(path, classes)
 
 
 def counted_documents(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each document."""
 
+    classes = letters_of(path)
+
     def make():
-        transducer = transducer_of(path)
+        transducer = transducer_of(path, classes)
         return lambda texts: [(transducer.count(t),) for t in texts]
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
