@@ -36,6 +36,10 @@ HEADLINE = [
     "term_lookup",
     "suggest_queries",
     "efficiency_model",
+    "answers_by_request",
+    "suggest_asked",
+    "term_lookup_documents",
+    "queue_after_batches",
 ]
 
 
