@@ -8,21 +8,35 @@ from pyspark.sql import functions as F
 from carequeue.operators.shared import written
 
 
+#: A node with more than one link in so many is a hub. Hubs are fewer than twice this, so
+#: they are sent to all tasks, and their links stay where they are.
+HUB_SHARE = 500
+
+
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Rows (u, v) with ``m`` of their node u; ``least`` has (u, m, n), n the node's rows."""
+    is_hub = F.col("n") * HUB_SHARE > total
+    hubs = F.broadcast(least.where(is_hub).select("u", "m"))
+    others = rows.join(hubs.select("u"), "u", "left_anti")
+    return rows.join(hubs, "u").union(others.join(least.where(~is_hub).select("u", "m"), "u"))
+
+
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     near = _both_ways(links)
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    upper = _with_least(near.where("v > u"), least, total)
+    return upper.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     down = down.where("u != v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    joined = _with_least(down, least, total)
     return joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
         least.select("u", F.col("m").alias("v"))
     )
@@ -47,7 +61,9 @@ def settled(links: DataFrame) -> DataFrame:
     current = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     current = written(current.distinct(), "links")
     while _unsettled(current):
-        current = written(_small_star(_large_star(current)).distinct(), "links")
+        total = current.count()
+        starred = _small_star(_large_star(current, total), total)
+        current = written(starred.distinct(), "links")
     return current
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from carequeue.llm.components import components, settled
+from carequeue.llm.components import _with_least, components, settled
 
 
 def plain(links):
@@ -26,3 +26,30 @@ def test_components_equal_plain_union(spark):
     assert set(map(tuple, settled(df).collect())) == hung
     assert set(map(tuple, settled(settled(df)).collect())) == hung
     assert components(df.where("false")).count() == 0
+
+
+def test_links_of_a_hub_are_not_dealt_by_its_key(spark):
+    """A node with a third of all links: no task gets them, without the engine's skew handling."""
+    links = [(0, i) for i in range(1, 3000)] + [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(4000)]
+    df = spark.createDataFrame(links, "u long, v long").repartition(8)
+    settings = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        from pyspark.sql import functions as F
+
+        least = df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = _with_least(df, least, df.count())
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in joined.where("u = 0").groupBy(F.spark_partition_id()).count().collect()]
+        assert joined.count() == len(links) and joined.where("m is null").count() == 0
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert "BroadcastHashJoin" in plan
+    assert len(sizes) >= 8 and max(sizes) < 600
+    assert len(dict(map(tuple, components(df).collect()))) == 3000 + 8000
