@@ -8,7 +8,8 @@ A new batch is sorted by itself, together with the buckets' least keys, which te
 bucket of each row. Only buckets that get rows are read, merged and written again, and cut
 where they have grown too large; all others keep their files, and their rows move up
 because the sizes before them grow. A batch becomes part of the queue when its manifest
-is written; if a job fails before, the queue is as it was.
+is written; if a job fails before, the queue is as it was, and the batch can be added again.
+Each state has one successor: adding another batch to an earlier state replaces the later.
 
 Rows are ordered by columns given as SQL expressions, ascending, the last of them unique.
 """
@@ -54,9 +55,12 @@ class StoredQueue:
     def _rows_path(self, batch: int) -> str:
         return f"{self.folder}/rows-{batch}"
 
+    def _manifest_path(self, batch: int) -> str:
+        return f"{self.folder}/manifest-{batch}"
+
     def manifest(self, spark: SparkSession) -> DataFrame:
         """(bucket, batch, rows, least) of every bucket, ``least`` its first key."""
-        return spark.read.parquet(f"{self.folder}/manifest-{self.batches}")
+        return spark.read.parquet(self._manifest_path(self.batches))
 
     def _live_rows(self, spark: SparkSession, buckets: DataFrame) -> DataFrame:
         """Rows of the given (bucket, batch), each read from the batch that wrote it last."""
@@ -97,7 +101,9 @@ def _stored(
         }
     )
     path = queue._rows_path(batch)
-    placed.select("_bucket", "_place", *[f"`{c}`" for c in columns]).write.parquet(path)
+    placed.select("_bucket", "_place", *[f"`{c}`" for c in columns]).write.mode(
+        "overwrite"
+    ).parquet(path)
     made = (
         spark.read.parquet(path)
         .groupBy(F.col("_bucket").alias("bucket"))
@@ -105,7 +111,7 @@ def _stored(
         .select("bucket", F.lit(batch).alias("batch"), "rows", "least")
     )
     manifest = made if kept is None else kept.unionByName(made)
-    manifest.write.parquet(f"{queue.folder}/manifest-{batch}")
+    manifest.write.mode("overwrite").parquet(queue._manifest_path(batch))
     return StoredQueue(queue.folder, batch, queue.order, queue.rows_in_bucket)
 
 
@@ -121,6 +127,24 @@ def new_queue(
     return _stored(queue, rows.withColumn("_in", F.lit(0).cast("long")), None, 1)
 
 
+def open_queue(
+    spark: SparkSession,
+    folder: str,
+    order: Sequence[str] = BY_PRIORITY,
+    rows_in_bucket: int = ROWS_IN_BUCKET,
+) -> StoredQueue:
+    """The queue in a folder with all batches whose manifest was written to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    queue = StoredQueue(folder, 0, tuple(order), rows_in_bucket)
+    batches = 0
+    while fs.exists(at(f"{queue._manifest_path(batches + 1)}/_SUCCESS")):
+        batches += 1
+    if not batches:
+        raise ValueError(f"there is no queue in {folder}")
+    return StoredQueue(folder, batches, tuple(order), rows_in_bucket)
+
+
 def add_batch(queue: StoredQueue, batch: DataFrame) -> StoredQueue:
     """The queue with the rows of a batch; ids must be new to it."""
     spark = batch.sparkSession

@@ -66,3 +66,18 @@ def test_positions_sort_nothing_but_the_manifest(spark):
     plan = W.positions(queue, spark)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("SinglePartition") == 1
     assert "rangepartitioning" not in plan
+
+
+def test_a_failed_batch_can_be_added_again(spark):
+    queue = W.new_queue(people(spark, 0, 400), rows_in_bucket=100)
+    broken = people(spark, 400, 500).withColumn(
+        "wait_days", F.expr("if(patient_id = 450, cast(raise_error('broken') as int), wait_days)")
+    )
+    with pytest.raises(Exception, match="broken"):
+        W.add_batch(queue, broken)
+    found = W.open_queue(spark, queue.folder, rows_in_bucket=100)
+    assert found == queue
+    same(spark, W.add_batch(found, people(spark, 400, 500)), people(spark, 0, 500))
+    assert W.open_queue(spark, queue.folder).batches == 2
+    with pytest.raises(ValueError):
+        W.open_queue(spark, f"{queue.folder}/none")
