@@ -2,8 +2,9 @@
 
 Between pre-tokens the tokenizer is in one state, and a pre-token leads back to it, emitting
 a number of tokens. Numbers are worked out by merging when a pre-token is first met and then
-kept in a bounded table. Texts are normalized by the library's own normalizer, and letters
-and digits are those of its tables, so that no newer Unicode data takes part.
+kept in a bounded table. Characters that the library's Unicode tables and Python's take in
+unlike ways are found by trying each; a text with any of them is normalized by the library's
+own normalizer and split by the letters and digits of its tables.
 
 A long text is read in chunks that are counted independently. What a chunk does is a map
 (head, count, tail): the open text before its first white space, which belongs to whatever
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
@@ -60,32 +62,55 @@ def byte_letters() -> dict[int, str]:
 
 @dataclass(frozen=True)
 class Letters:
-    """The letters and the digits of the library's tables, as the inside of a class."""
+    """Insides of character classes: the letters and the digits of the library's tables, and
+    the characters that Python's tables take for something else."""
 
     letters: str
     digits: str
+    unlike: str
 
 
 @lru_cache(maxsize=2)
 def letters_of(path: str) -> Letters:
-    """Read off the library's own splits, one of every character between spaces."""
+    """Read off what the library does to every character, many of them at a time."""
     from tokenizers import Tokenizer
 
-    splitter = Tokenizer.from_file(path).pre_tokenizer
-    kinds: dict[str, list[int]] = {"letters": [], "digits": []}
+    library = Tokenizer.from_file(path)
+    found: dict[str, list[int]] = {"letters": [], "digits": [], "unlike": []}
     step = 1 << 10
     for first in range(0, LETTERS_END, step):
         points = [
             p for p in range(max(first, 0x80), first + step) if not 0xD800 <= p <= 0xDFFF
         ]
-        points = [p for p in points if chr(p) not in WHITE]
+        points = [p for p in points if not _FIRST.match(chr(p))]
         # a letter joins the letters beside it, and two digits are two pieces
         for kind, form, width, wanted in (("letters", "a{0}a ", 4, 1), ("digits", "{0}{0} ", 3, 2)):
             line = "".join(form.format(chr(p)) for p in points)
-            begins = [begin for _, (begin, _) in splitter.pre_tokenize_str(line)]
+            begins = [b for _, (b, _) in library.pre_tokenizer.pre_tokenize_str(line)]
             pieces = np.bincount(np.array(begins, np.int64) // width, minlength=len(points))
-            kinds[kind] += [p for p, n in zip(points, pieces) if n == wanted]
-    return Letters(_ranges(kinds["letters"]), _ranges(kinds["digits"]))
+            own = [p for p, n in zip(points, pieces) if n == wanted]
+            found[kind] += own
+            ours = _LETTER if kind == "letters" else _DIGIT
+            found["unlike"] += set(own) ^ {p for p in points if ours.match(chr(p))}
+        # alone, and among marks that composition and reordering move
+        for form in ("{0}", "a{0}\u0323\u0301b", "\u0391\u0345{0}\u0301"):
+            texts = [form.format(chr(p)) for p in points]
+            theirs = library.normalizer.normalize_str(" ".join(texts)).split(" ")
+            if len(theirs) != len(texts):  # white space among them
+                theirs = [library.normalizer.normalize_str(t) for t in texts]
+            plain = [lowered(unicodedata.normalize("NFC", t)) for t in texts]
+            found["unlike"] += [p for p, a, b in zip(points, theirs, plain) if a != b]
+    return Letters(*(_ranges(sorted(set(v))) for v in found.values()))
+
+
+_LETTER, _DIGIT = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+
+
+def lowered(text: str) -> str:
+    """Lower case character by character: a sigma at a word's end is like any other."""
+    if "Σ" in text:
+        return "σ".join(p.lower() for p in text.split("Σ"))
+    return text.lower()
 
 
 def _ranges(points: list[int]) -> str:
@@ -119,7 +144,9 @@ class Transducer:
         self.ranks = {tuple(p): i for i, p in enumerate(model["merges"])}
         self.word_end = model["end_of_word_suffix"]
         pattern = split["pattern"]["Regex"]
-        self.pre_token = regex.compile(
+        self.pre_token = regex.compile(pattern.replace(r"\s", WHITE))
+        self.unlike = re.compile(f"[{classes.unlike}]") if classes.unlike else None
+        self.library_pre_token = regex.compile(
             pattern.replace(r"\s", WHITE)
             .replace(r"[\p{L}]", f"[a-zA-Z{classes.letters}]")
             .replace(r"[\p{N}]", f"[0-9{classes.digits}]")
@@ -153,8 +180,10 @@ class Transducer:
         """Tokens of a text that starts and ends between pre-tokens."""
         if text.isascii():
             words = self.ascii_pre_token.findall(text.lower())
+        elif self.unlike and self.unlike.search(text):
+            words = self.library_pre_token.findall(self.normalize(text))
         else:
-            words = self.pre_token.findall(self.normalize(text))
+            words = self.pre_token.findall(lowered(unicodedata.normalize("NFC", text)))
         get, emitted = self.transitions.get, self.emitted
         return sum([get(w) or emitted(w) for w in words])
 
