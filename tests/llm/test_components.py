@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from carequeue.llm.components import _with_least, components, settled
 
 
@@ -30,18 +32,16 @@ def test_components_equal_plain_union(spark):
 
 def test_links_of_a_hub_are_not_dealt_by_its_key(spark):
     """A node with a third of all links: no task gets them, without the engine's skew handling."""
-    links = [(0, i) for i in range(1, 3000)] + [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(4000)]
+    links = [(0, i) for i in range(1, 1000)] + [(5000 + 2 * i, 5001 + 2 * i) for i in range(1500)]
     df = spark.createDataFrame(links, "u long, v long").repartition(8)
     settings = {
         "spark.sql.adaptive.enabled": "false",
-        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.shuffle.partitions": "8",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
     }
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        from pyspark.sql import functions as F
-
         least = df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         joined = _with_least(df, least, df.count())
         plan = joined._jdf.queryExecution().executedPlan().toString()
@@ -51,5 +51,4 @@ def test_links_of_a_hub_are_not_dealt_by_its_key(spark):
         for k in settings:
             spark.conf.unset(k)
     assert "BroadcastHashJoin" in plan
-    assert len(sizes) >= 8 and max(sizes) < 600
-    assert len(dict(map(tuple, components(df).collect()))) == 3000 + 8000
+    assert len(sizes) >= 6 and max(sizes) < 300

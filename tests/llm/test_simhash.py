@@ -60,7 +60,7 @@ def awkward_rows(rng):
     return rows
 
 
-@pytest.mark.parametrize("leaf", [simhash.LEAF, 20])
+@pytest.mark.parametrize("leaf", [simhash.LEAF, 60])
 def test_groups_equal_all_pairs(spark, leaf):
     rows = awkward_rows(random.Random(11))
     df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], SCHEMA)
@@ -105,7 +105,7 @@ def test_walk_finds_exactly_the_close_pairs(monkeypatch):
         assert {tuple(sorted(p)) for p in own} == {p for p in all_pairs(a, a) if p[0] < p[1]}
 
 
-@pytest.mark.parametrize("leaf", [1 << 14, 60])
+@pytest.mark.parametrize("leaf", [1 << 14, 150])
 def test_links_of_clusters_in_subtrees_of_unlike_depth(spark, leaf):
     values = clusters(random.Random(5), 6, 120)
     signed = values.view(np.int64).tolist()
