@@ -17,7 +17,6 @@ import re
 import struct
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -190,48 +189,57 @@ class Encoder:
         """(ids, ids as text, decoded text, bytes that each id stands for) of a unit."""
         found = self.units.get(unit)
         if found is None:
-            pieces = self.pieces_of(unit)
-            ids = [i for p in pieces for i in self.ids_of(p)]
-            found = (
-                ids, ",".join(map(str, ids)), self.decode(ids, bos=False), self.lengths(pieces)
-            )
+            ids, lengths = self.spelled(self.pieces_of(unit))
+            found = (ids, ",".join(map(str, ids)), self.decode(ids, bos=False), lengths)
             if len(self.units) >= CACHED_UNITS:
                 self.units.clear()
             self.units[unit] = found
         return found
 
-    def lengths(self, pieces: list[str], added: int = 0) -> tuple[int, ...]:
-        """Bytes of the original that each id of some pieces stands for, where characters
-        stand for themselves; ``added`` of the first piece's are not in the original."""
-        found: list[int] = []
+    def spelled(self, pieces: list[str], added: int = 0) -> tuple[list[int], bytes]:
+        """The ids of some pieces and the bytes of the original that each stands for, where
+        characters stand for themselves; ``added`` of the first piece's are not in it.
+
+        Lengths take one byte: pieces of a vocabulary are short, and one of 255 bytes and
+        more says so by 255.
+        """
+        ids: list[int] = []
+        lengths: list[int] = []
         for piece in pieces:
-            n = len(self.ids_of(piece))
-            size = len(piece.replace(SPACE, " ").encode()) - added
+            own = self.ids_of(piece)
+            ids += own
+            size = len(piece.encode()) - 2 * piece.count(SPACE) - added
             added = 0
-            found += [1] * n if n > 1 and size == n else [0] * (n - 1) + [size]
-        return tuple(found)
+            if len(own) == 1:
+                lengths.append(size if size < 255 else 255)
+            elif len(own) == size:
+                lengths += [1] * size
+            else:
+                lengths += [0] * (len(own) - 1) + [min(size, 255)]
+        return ids, bytes(lengths)
 
-    def piece_lengths(self, text: str, units: list[tuple]) -> np.ndarray:
-        """The lengths of the spans of a text's ids: they follow one another from byte 0."""
-        if self.map or self.model.squeeze or SPACE in text:
-            return np.array([p.end - p.begin for p in self.encode_spans(text)], np.int64)
-        if not units:
-            return np.zeros(0, np.int64)
-        first = units[0][3]
-        if self.model.dummy_prefix:
-            normal, _ = self.normalize(text)
-            first = self.lengths(self.pieces_of(self.unit.match(normal).group()), added=1)
-        rest = chain.from_iterable(u[3] for u in units[1:])
-        return np.fromiter(chain(first, rest), np.int64)
-
-    def units_of(self, text: str) -> list[tuple]:
+    def units_of(self, text: str) -> tuple[str, list[tuple]]:
+        """The first unit of a text and what is known of every one."""
         normal, _ = self.normalize(text)
         get, known = self.units.get, self.known
-        return [get(u) or known(u) for u in self.unit.findall(normal)]
+        words = self.unit.findall(normal)
+        return words[0] if words else "", [get(u) or known(u) for u in words]
+
+    def piece_lengths(self, text: str, first: str, units: list[tuple]) -> np.ndarray:
+        """The lengths of the spans of a text's ids: they follow one another from byte 0."""
+        data = None
+        if not (self.map or self.model.squeeze or SPACE in text):
+            parts = [u[3] for u in units]
+            if parts and self.model.dummy_prefix:
+                _, parts[0] = self.spelled(self.pieces_of(first), added=1)
+            data = b"".join(parts)
+        if data is None or b"\xff" in data:
+            return np.array([p.end - p.begin for p in self.encode_spans(text)], np.uint32)
+        return np.frombuffer(data, np.uint8)
 
     # whole texts -------------------------------------------------------------------
     def encode(self, text: str) -> list[int]:
-        return [i for u in self.units_of(text) for i in u[0]]
+        return [i for u in self.units_of(text)[1] for i in u[0]]
 
     def encode_spans(self, text: str) -> list[Piece]:
         """Ids with the bytes of the original each stands for.
@@ -280,7 +288,8 @@ def encoded_documents(docs: DataFrame, model_path: str) -> DataFrame:
     spans_sha256) of each document.
 
     ``covered_bytes`` is how many bytes of the original the spans of all ids cover, and
-    ``spans_sha256`` the digest of the pairs (begin, end) as 64-bit numbers.
+    ``spans_sha256`` the digest of their edges as 32-bit numbers: 0 and the end of each
+    span, which is where the next one begins.
     """
 
     def make():
@@ -290,23 +299,24 @@ def encoded_documents(docs: DataFrame, model_path: str) -> DataFrame:
         def work(texts):
             rows = []
             for text in texts:
-                units = encoder.units_of(text)
+                first, units = encoder.units_of(text)
                 ids = ",".join([u[1] for u in units])
                 decoded = "".join([u[2] for u in units])
                 if model.dummy_prefix and decoded.startswith(" "):
                     decoded = decoded[1:]
                 data = decoded.encode()
-                lengths = encoder.piece_lengths(text, units)
-                ends = np.cumsum(lengths)
-                spans = np.column_stack([ends - lengths, ends])
+                lengths = encoder.piece_lengths(text, first, units)
+                # each span begins where the one before it ends
+                edges = np.zeros(len(lengths) + 1, "<u4")
+                np.cumsum(lengths, out=edges[1:])
                 rows.append(
                     (
-                        ids.count(",") + 1 if ids else 0,
+                        len(lengths),
                         hashlib.sha256(ids.encode()).hexdigest(),
                         hashlib.sha256(data).hexdigest(),
                         len(data),
-                        int(lengths.sum()),
-                        hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest(),
+                        int(edges[-1]),
+                        hashlib.sha256(edges.tobytes()).hexdigest(),
                     )
                 )
             return rows
