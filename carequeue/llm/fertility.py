@@ -95,7 +95,7 @@ def figures(docs: DataFrame, model_path: str) -> DataFrame:
             hashes, bounds = word_hashes([t.encode() for t in texts])
             rows = []
             for text, a, b in zip(texts, bounds, bounds[1:]):
-                ids = [i for u in encoder.units_of(text) for i in u[0]]
+                ids = encoder.encode(text)
                 rows.append(
                     (*base_figures(text, hashes[a:b]), *token_figures(ids, byte_ids, len(text)))
                 )

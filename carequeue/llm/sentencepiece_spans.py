@@ -133,6 +133,7 @@ class Encoder:
             u for u in UNITS if all(len(u.findall(p)) == 1 for p in spaced)
         )
         self.units: dict[str, tuple] = {}
+        self.unit_ids: dict[str, tuple[int, ...]] = {}
 
     # normalization -----------------------------------------------------------------
     def normalize(self, text: str) -> tuple[str, list[int] | None]:
@@ -196,6 +197,16 @@ class Encoder:
             self.units[unit] = found
         return found
 
+    def ids_of_unit(self, unit: str) -> tuple[int, ...]:
+        """The ids of a unit alone, for texts of which no more is asked."""
+        found = self.unit_ids.get(unit)
+        if found is None:
+            found = tuple(i for piece in self.pieces_of(unit) for i in self.ids_of(piece))
+            if len(self.unit_ids) >= CACHED_UNITS:
+                self.unit_ids.clear()
+            self.unit_ids[unit] = found
+        return found
+
     def spelled(self, pieces: list[str], added: int = 0) -> tuple[list[int], bytes]:
         """The ids of some pieces and the bytes of the original that each stands for, where
         characters stand for themselves; ``added`` of the first piece's are not in it.
@@ -239,7 +250,9 @@ class Encoder:
 
     # whole texts -------------------------------------------------------------------
     def encode(self, text: str) -> list[int]:
-        return [i for u in self.units_of(text)[1] for i in u[0]]
+        normal, _ = self.normalize(text)
+        get, found = self.unit_ids.get, self.ids_of_unit
+        return [i for u in self.unit.findall(normal) for i in get(u) or found(u)]
 
     def encode_spans(self, text: str) -> list[Piece]:
         """Ids with the bytes of the original each stands for.

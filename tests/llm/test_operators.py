@@ -281,6 +281,16 @@ def test_fertility_figures(docs, empty, rows):
     assert fertility.quality_rules(empty, tokenizer_path(PIECE_MODEL)).count() == 0
 
 
+def test_fertility_counts_the_tokens_of_the_encoder(docs, rows):
+    encoder = sentencepiece_spans.encoder_of(tokenizer_path(PIECE_MODEL))
+    found = {r.doc_id: r for r in fertility.figures(docs, tokenizer_path(PIECE_MODEL)).collect()}
+    for i, text, *_ in rows:
+        ids = encoder.encode(text or "")
+        spelled = sum(k in encoder.byte_of for k in ids)
+        assert found[i].n_tokens == len(ids)
+        assert found[i].byte_share == (spelled / len(ids) if ids else 0.0)
+
+
 def test_fertility_bands_on_small_tables(spark):
     rng = random.Random(5)
     words = (
