@@ -28,17 +28,22 @@ def parts_of(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 
 def map_rows(
-    df: DataFrame, make: Callable[[], Callable[[list], list]], columns: str, text: str = "text"
+    df: DataFrame,
+    make: Callable[[], Callable[[list], list]],
+    columns: str,
+    text: str = "text",
+    keep_text: bool = False,
 ) -> DataFrame:
-    """Add columns made from the text of each row and drop the text.
+    """Add columns made from the text of each row and drop the text, unless it is kept.
 
     ``make()`` runs once per task and gives a function from a list of texts (nulls as
     empty) to a list of tuples, one value per added column. ``columns`` is the schema of
-    the added columns. Other columns pass unchanged.
+    the added columns. Other columns pass unchanged. What a task has freed goes back to
+    the system, as idle workers count with the executor that they belong to.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kept = [c for c in df.columns if c != text]
+    kept = [c for c in df.columns if keep_text or c != text]
     spark = df.sparkSession
     added = spark.createDataFrame([], columns).schema
     schema = df.select(*[f"`{c}`" for c in kept]).schema
@@ -48,12 +53,17 @@ def map_rows(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
+
+        def worked(part: pa.RecordBatch) -> pa.RecordBatch:
+            texts = [t or "" for t in part.column(text).to_pylist()]
+            made = list(zip(*fn(texts), strict=True))
+            arrays = [part.column(c) for c in kept]
+            arrays += [pa.array(v, f.type) for v, f in zip(made, types, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=[*kept, *types.names])
+
         for batch in batches:
-            for part in parts_of(batch, text):
-                texts = [t or "" for t in part.column(text).to_pylist()]
-                made = list(zip(*fn(texts), strict=True))
-                arrays = [part.column(c) for c in kept]
-                arrays += [pa.array(v, f.type) for v, f in zip(made, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *types.names])
+            yield from map(worked, parts_of(batch, text))
+            del batch  # not held while the next one is read
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(work, schema)

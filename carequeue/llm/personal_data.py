@@ -459,6 +459,7 @@ def redacted_documents(docs: DataFrame, model: SemiMarkov | None = None) -> Data
     """The documents with personal data replaced in their texts; null texts stay null.
 
     Texts without a span are returned as they are; all columns are kept, in their order.
+    A text goes to a worker once, beside the other columns of its row.
     """
     model = model or fit_on(docs)
 
@@ -468,9 +469,10 @@ def redacted_documents(docs: DataFrame, model: SemiMarkov | None = None) -> Data
 
         return work
 
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    kept = docs.select(others.alias("_row"), F.isnotnull("text").alias("_present"), "text")
     made = map_rows(kept, make, "_redacted string")
-    text = F.when(F.col("_row.text").isNotNull(), F.col("_redacted"))
+    text = F.when(F.col("_present"), F.col("_redacted"))
     return made.select(
         *[text.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns]
     )

@@ -124,15 +124,15 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifi
     return fit([(r.own, r.shapes, r.good) for r in found])
 
 
-def evidence(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
+def evidence(docs: DataFrame, model: Classifier, *keep: str, keep_text: bool = False) -> DataFrame:
     """``keep`` columns and ``evidence``, the classifier's log-odds, of each document."""
 
     def make():
         return lambda texts: [(model.log_odds(*f),) for f in features(texts)]
 
-    return map_rows(docs.select(*keep, "text"), make, "evidence double").withColumn(
-        "evidence", F.round("evidence", 6)
-    )
+    return map_rows(
+        docs.select(*keep, "text"), make, "evidence double", keep_text=keep_text
+    ).withColumn("evidence", F.round("evidence", 6))
 
 
 def _logit(p: Column) -> Column:
@@ -221,10 +221,12 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents kept, columns unchanged. Evidence is worked out twice, once for the
-    posteriors and once for the documents, so that no text is stored or shuffled."""
+    posteriors and once for the documents, so that no text is stored or shuffled. A text
+    goes to a worker and back once, beside the other columns of its row."""
     model = fit_on(docs, labels)
-    names = [f"`{c}`" for c in docs.columns]
+    names = [f"`{c}`" for c in docs.columns if c != "text"]
     keyed = docs.select(F.struct(*names).alias("_row"), "text", *[c.alias(n) for n, c in _groups(docs).items()])
     narrow = evidence(docs.withColumns(_groups(docs)), model, "_site", "_section")
-    scored = evidence(keyed, model, "_row", "_site", "_section", "_salt")
-    return with_posterior(scored, site_posteriors(narrow)).where("kept").select("_row.*")
+    scored = evidence(keyed, model, "_row", "_site", "_section", "_salt", keep_text=True)
+    kept = with_posterior(scored, site_posteriors(narrow)).where("kept")
+    return kept.select(*[F.col("text" if c == "text" else f"_row.`{c}`") for c in docs.columns])

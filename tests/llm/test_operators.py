@@ -353,3 +353,23 @@ def test_quality_held_out(spark, empty, docs):
     assert sum(found[i] for i, g in good.items() if g) >= 0.97 * sum(good.values())
     assert quality.good_documents(docs, labels.where("false")).count() == docs.count()
     assert quality.quality(empty, labels).count() == 0
+
+
+def test_texts_go_to_a_worker_once(docs, rows, monkeypatch):
+    sent = []
+    for of in (quality, personal_data):
+        def noted(df, *args, made=of.map_rows, **more):
+            sent.append(df.schema.simpleString())
+            return made(df, *args, **more)
+
+        monkeypatch.setattr(of, "map_rows", noted)
+    labels = docs.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int")
+    good = quality.good_documents(docs, labels)
+    redacted = personal_data.redacted_documents(docs, personal_data.fit([]))
+    assert [s.count("text:string") for s in sent] == [1] * len(sent) and len(sent) == 4
+    assert good.columns == redacted.columns == docs.columns
+    key = lambda r: (r.doc_id, r.text or "")
+    assert sorted(good.collect(), key=key) == sorted(docs.collect(), key=key)
+    found = redacted.collect()
+    assert sorted(r.doc_id for r in found) == sorted(i for i, *_ in rows)
+    assert [r.doc_id for r in found if r.text is None] == [i for i, t, *_ in rows if t is None]
