@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from carequeue.functions.scoring import spread, to_percent, with_efficiency_label
 from carequeue.operators.normalize import to_number
 from carequeue.operators.rank import running_sums
-from carequeue.operators.shared import written
+from carequeue.operators.shared import new_path, written
 
 NUMERIC = ["age", "los", "cost_estimate", "cancel_risk", "priority_score"]
 STAFFING = ["patients_per_doctor", "patients_per_nurse", "total_staff_efficiency"]
 CATEGORIES = ["gender", "specialty", "season"]
 LABEL = "efficiency_label"
+PARTS_PER_CORE = 4
+ROWS_PER_FILE = 1_000_000
 NO_VALUE = "(none)"  # category of a missing value; sorts before any name
 
 
@@ -54,8 +56,21 @@ def training_rows(df: DataFrame) -> DataFrame:
 
 
 def stored_rows(df: DataFrame) -> DataFrame:
-    """Training rows written once in even parts, as fitting reads them many times."""
-    return written(training_rows(df).hint("rebalance"), "training")
+    """Training rows written once in even parts, as fitting reads them many times.
+
+    Every level of a forest reads all rows, so a part more than there are cores, or one
+    that is larger than others, is waited for each time. The parts are ``PARTS_PER_CORE``
+    for each core, dealt by id, and their files alike, so that tasks get as many of them
+    each. Rows that are alike lie together and take the same ways through the trees; the
+    order is total, as the rows that a tree draws depend on it.
+    """
+    rows = training_rows(df)
+    parts = PARTS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    alike = [LABEL, *map(_feature, ["cancel_risk", *STAFFING]), "patient_id"]
+    path = new_path(df.sparkSession, "training")
+    dealt = rows.repartition(parts, "patient_id").sortWithinPartitions(*alike)
+    dealt.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _feature(column: str) -> str:

@@ -98,6 +98,17 @@ def test_scores_of_every_patient(people, model):
     assert right > max(rate, 1 - rate)
 
 
+def test_learning_reads_even_parts(spark, people):
+    """As many parts as cores, none twice as large as the mean, and the same in each run."""
+    for df in (people, people.coalesce(1)):
+        rows = M.stored_rows(df)
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        assert sum(sizes) == people.count() and max(sizes) < 2 * people.count() / len(sizes)
+    found = [M.feature_importance(rows, M.train(rows), top=100).collect() for _ in range(2)]
+    assert found[0] == found[1]
+
+
 AUC = """with s as (select score, efficiency_label as y from scored)
 select (sum(case when a.score > b.score then 2 when a.score = b.score then 1 else 0 end))
   / (2.0::double * count(*)) from s a, s b where a.y = 1 and b.y = 0"""
