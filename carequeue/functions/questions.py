@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +39,16 @@ def _least(words: list[str]) -> list[str]:
     return [w for w in words if not any(other != w and other in w for other in words)]
 
 
+def _ways(pattern: str) -> list[list[list[str]]]:
+    """For each way to match, the lists of words that follow each other on a line; a
+    number is a list of one digit."""
+    ways = []
+    for sequence in pattern.split(")|("):
+        lists = sequence.removeprefix("(").removesuffix(")").split(").*(")
+        ways.append([[r"\d"] if r"\d" in part else _least(part.split("|")) for part in lists])
+    return ways
+
+
 def one_pass(pattern: str) -> str:
     """A pattern of word lists that follow each other on a line, to be read once.
 
@@ -46,21 +58,35 @@ def one_pass(pattern: str) -> str:
     to the rest: where it does not lead to a match, no later one does. The time then grows
     with the text and not with its third power.
     """
-    ways = []
-    for sequence in pattern.split(")|("):
-        lists = sequence.removeprefix("(").removesuffix(")").split(").*(")
-        steps = [r"\d"] if r"\d" in lists[-1] else []
-        words = lists[:-1] if steps else lists
-        steps = ["|".join(_least(part.split("|"))) for part in words] + steps
-        ways.append("".join(f"(?>.*?(?:{step}))" for step in steps))
+    ways = ["".join(f"(?>.*?(?:{'|'.join(words)}))" for words in way) for way in _ways(pattern)]
     return f"{_LINES}^(?:{'|'.join(ways)})"
 
 
+def has_words(text: Column, pattern: str) -> Column:
+    """Whether a text holds, anywhere, a word of each list of a way of the pattern.
+
+    No other text can match. Plain words are found much faster than by an expression, and
+    a list without one settles its way, so that few texts are left to be matched.
+    """
+
+    def holds(word: str) -> Column:
+        # a dot stands for any character: what is around it is looked for
+        return reduce(and_, [F.contains(text, F.lit(part)) for part in word.split(".")])
+
+    def every(way: list[list[str]]) -> Column:
+        return reduce(and_, [reduce(or_, map(holds, w)) for w in way if w != [r"\d"]])
+
+    return reduce(or_, map(every, _ways(pattern)))
+
+
 def question_type(lowered: str) -> Column:
     """First type whose pattern occurs in the lower-cased text."""
     text = F.col(lowered)
     return F.coalesce(
-        *[F.when(text.rlike(one_pass(p)), F.lit(name)) for name, p in V.QUESTION_PATTERNS],
+        *[
+            F.when(has_words(text, p) & text.rlike(one_pass(p)), F.lit(name))
+            for name, p in V.QUESTION_PATTERNS
+        ],
         F.lit(V.DEFAULT_QUESTION_TYPE),
     )
 

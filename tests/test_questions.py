@@ -20,6 +20,22 @@ def ask(spark):
     )
 
 
+def test_words_are_looked_for_before_patterns(spark):
+    """Texts without the words never reach a pattern, and types are those of the patterns."""
+    rng = random.Random(8)
+    lists = " ".join(p for _, p in V.QUESTION_PATTERNS).replace("high.risk", "high-risk highrisk high\nrisk")
+    words = [*re.findall(r"[a-z][a-z\n-]*", lists), "20", "7%", "x", "\n", ".", "highly", "costs"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 6))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "id int, question string")
+    typed = Q.classify_questions(df)
+    plan = typed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") > plan.count("RLIKE") == len(V.QUESTION_PATTERNS)
+    for r in typed.collect():
+        lines = (r.question or "").split("\n")
+        of = [name for name, p in V.QUESTION_PATTERNS if any(re.search(p, line) for line in lines)]
+        assert r.question_type == (of[0] if of else V.DEFAULT_QUESTION_TYPE), r.question
+
+
 GOLDEN = [
     ("What is the average wait time for Cardiology and Orthopedics?", "average_wait_time"),
     ("What is the wait time for high risk patients?", "high_risk_patients"),
