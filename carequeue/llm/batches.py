@@ -3,17 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 ROWS_AT_ONCE = 256
 BYTES_AT_ONCE = 1 << 20
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def parts_of(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to workers ``ROWS_AT_ONCE`` at a time in jobs that run inside the block.
+
+    A batch lies in memory twice, in the executor and in its worker; Spark's 10,000 whole
+    texts are too many. Results do not depend on it. A smaller setting is kept.
+    """
+    before = spark.conf.get(_BATCH_ROWS)
+    if 0 < int(before) <= ROWS_AT_ONCE:
+        yield
+        return
+    spark.conf.set(_BATCH_ROWS, str(ROWS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
+def parts_of(
+    batch: pa.RecordBatch, text: str, bytes_at_once: int = BYTES_AT_ONCE
+) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with some rows and about some bytes of text at most; a text that
     is longer is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0)
@@ -21,7 +43,7 @@ def parts_of(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
-        stop = int(np.searchsorted(ends, before + BYTES_AT_ONCE, "right"))
+        stop = int(np.searchsorted(ends, before + bytes_at_once, "right"))
         stop = max(at + 1, min(stop, at + ROWS_AT_ONCE))
         yield batch.slice(at, stop - at)
         at = stop
@@ -33,13 +55,16 @@ def map_rows(
     columns: str,
     text: str = "text",
     keep_text: bool = False,
+    bytes_at_once: int = BYTES_AT_ONCE,
 ) -> DataFrame:
     """Add columns made from the text of each row and drop the text, unless it is kept.
 
     ``make()`` runs once per task and gives a function from a list of texts (nulls as
     empty) to a list of tuples, one value per added column. ``columns`` is the schema of
-    the added columns. Other columns pass unchanged. What a task has freed goes back to
-    the system, as idle workers count with the executor that they belong to.
+    the added columns. Other columns pass unchanged. The function is given about
+    ``bytes_at_once`` of text at most, fewer where it holds many times as much. What a task
+    has freed goes back to the system, as idle workers count with the executor that they
+    belong to.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -62,7 +87,7 @@ def map_rows(
             return pa.RecordBatch.from_arrays(arrays, names=[*kept, *types.names])
 
         for batch in batches:
-            yield from map(worked, parts_of(batch, text))
+            yield from map(worked, parts_of(batch, text, bytes_at_once))
             del batch  # not held while the next one is read
         pa.default_memory_pool().release_unused()
 

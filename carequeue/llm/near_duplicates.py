@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carequeue.llm.batches import map_rows
+from carequeue.llm.batches import map_rows, small_batches
 from carequeue.llm.components import settled
 from carequeue.llm.hashed_words import TO_LOWER, mix, word_hashes
 from carequeue.operators.shared import written
@@ -52,6 +52,8 @@ WORTHWHILE = 20
 #: Pairs up to this number are sent to the tasks that read the texts (16 bytes each);
 #: beyond it texts and pairs are joined by shuffling.
 BROADCAST_PAIRS = 500_000
+#: Bytes of text a worker takes at once: hashing words holds some 50 times as much.
+BYTES_AT_ONCE = 1 << 18
 
 _rng = np.random.default_rng(5)
 _FACTORS = _rng.integers(1, 1 << 64, 2 * SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -129,6 +131,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         make,
         "n_shingles long, digest binary, sketch_a long, sketch_b long, sketch_c long,"
         " sketch_d long, keys array<long>",
+        bytes_at_once=BYTES_AT_ONCE,
     )
 
 
@@ -136,7 +139,7 @@ def _with_sets(rows: DataFrame, words: int) -> DataFrame:
     def make():
         return lambda texts: [(s.tobytes(),) for s in shingle_sets(texts, words)]
 
-    return map_rows(rows, make, "set binary")
+    return map_rows(rows, make, "set binary", bytes_at_once=BYTES_AT_ONCE)
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -201,6 +204,11 @@ def _may_reach(left: str, right: str):
 
 def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, words)
+
+
+def _near_duplicates(docs: DataFrame, words: int) -> DataFrame:
     rows = written(sketches(docs, words), "near-sketches")
     classes = written(
         rows.where("digest is not null and doc_id is not null")
@@ -331,7 +339,9 @@ def _crossing(
 
         return work
 
-    sets = map_rows(texts, make, "_digest binary, set array<long>").where("_digest = _of")
+    sets = map_rows(
+        texts, make, "_digest binary, set array<long>", bytes_at_once=BYTES_AT_ONCE
+    ).where("_digest = _of")
     shingles = written(
         sets.dropDuplicates(["doc_id"]).select(
             F.col("doc_id").alias("node"), F.explode("set").alias("shingle")

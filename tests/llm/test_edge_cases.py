@@ -1,6 +1,7 @@
 """Awkward rows of the training-data operators, and their figures worked out a second way."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from carequeue.llm import (
+    batches,
     chat,
     mixing,
     near_duplicates,
@@ -252,6 +254,33 @@ def test_links_at_the_edge_of_the_similarity(spark):
     assert {i: found[i] for i in expected} == expected
 
 
+def test_workers_get_few_texts_at_once(spark, monkeypatch, tmp_path):
+    """Neither the batches sent to workers nor the texts hashed together grow with a partition."""
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.random()}" for _ in range(150)) for _ in range(1500)]
+    texts[7] = texts[3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    plain, seen = batches.parts_of, str(tmp_path)
+
+    def noted(batch, *args):
+        with open(f"{seen}/{os.getpid()}", "a") as file:
+            for part in plain(batch, *args):
+                size = sum(len(t.as_py()) for t in part.column("text"))
+                file.write(f"{batch.num_rows} {part.num_rows} {size}\n")
+                yield part
+
+    monkeypatch.setattr(batches, "parts_of", noted)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    found = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(df).collect()}
+    assert found == {i: 3 if i == 7 else i for i in range(1500)}
+    assert spark.conf.get(rows) == before
+    notes = [tuple(map(int, x.split())) for f in tmp_path.iterdir() for x in f.open()]
+    assert sum(part for _, part, _ in notes) >= 1500
+    assert max(sent for sent, _, _ in notes) <= 256
+    assert max(size for _, _, size in notes) <= 1 << 18
+
+
 # -- quality -------------------------------------------------------------------------
 
 
