@@ -143,6 +143,14 @@ def test_rows_are_not_kept_as_objects(spark, monkeypatch):
     assert len(packed) == 2 and len(measured) == 2
 
 
+@pytest.mark.parametrize("n", [0, 40])
+def test_rows_of_one_label(spark, n):
+    """Nothing to tell apart: every patient's chance is 0, and no patients give no rows."""
+    people = score_patients(normalize_patients(reference_grid(spark)))
+    scored = M.efficiency_model(people.where("cancel_risk >= 0.05").limit(n))
+    assert [tuple(r) for r in scored.select("score", "prediction").collect()] == [(0.0, 0)] * n
+
+
 def test_too_many_bins(rows):
     with pytest.raises(ValueError):
         forest.fit_forest(RandomForestClassifier(**LEARNER, maxBins=64), rows, ["x"], [])
